@@ -46,15 +46,12 @@ def feed_counts(items: DataFrame, state: DataFrame) -> DataFrame:
 def group_counts(items: DataFrame, state: DataFrame, feed_groups: DataFrame) -> DataFrame:
     """The same per group, and for all groups together with a null group.
 
-    The grand total counts a feed that lies in two groups once.
+    The grand total counts a feed that lies in two groups once: to the groups'
+    feeds it adds each feed once more, under no group.
     """
-    per_feed = feed_counts(items, state)
-    per_group = per_feed.join(feed_groups, "feed_id").groupBy("group_id").agg(*_sums())
-    overall = per_feed.join(feed_groups.select("feed_id"), "feed_id", "left_semi").agg(
-        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES]
-    )
-    everything = overall.select(F.lit(None).cast("bigint").alias("group_id"), *MEASURES)
-    return per_group.unionByName(everything)
+    every_feed = feed_groups.select(F.lit(None).cast("bigint").alias("group_id"), "feed_id")
+    places = feed_groups.select("group_id", "feed_id").unionByName(every_feed.distinct())
+    return feed_counts(items, state).join(places, "feed_id").groupBy("group_id").agg(*_sums())
 
 
 def zero_count_groups(groups: DataFrame, counts: DataFrame) -> DataFrame:
@@ -87,17 +84,21 @@ def counts_rollup(items: DataFrame, state: DataFrame, feed_groups: DataFrame) ->
 
 
 def regroup_items(
-    items: DataFrame, state: DataFrame, *groupings: Sequence[str]
+    items: DataFrame,
+    state: DataFrame,
+    *groupings: Sequence[str],
+    feed_groups: DataFrame | None = None,
 ) -> DataFrame:
     """Counts under one or more groupings the reader chose.
 
     A column that is no part of a row's grouping is null there, and `level`, a
     bit per column (1 = left out, first column highest), tells such a null from a
     missing value. The finest grouping is counted once and the others are sums of
-    it, so items are not multiplied by the number of groupings.
+    it, so items are not multiplied by the number of groupings. `group_id` may be a
+    column if `feed_groups` is given.
     """
     columns = list(dict.fromkeys(c for grouping in groupings for c in grouping))
-    finest = _finest(items, state, columns)
+    finest = _finest(items, state, columns, feed_groups)
     return (
         finest.groupingSets(
             [[F.col(c) for c in grouping] for grouping in groupings],
@@ -108,15 +109,27 @@ def regroup_items(
     )
 
 
-def counts_cube(items: DataFrame, state: DataFrame, columns: Sequence[str]) -> DataFrame:
+def counts_cube(
+    items: DataFrame,
+    state: DataFrame,
+    columns: Sequence[str],
+    feed_groups: DataFrame | None = None,
+) -> DataFrame:
     """Counts under every combination of the chosen columns."""
     return (
-        _finest(items, state, columns)
+        _finest(items, state, columns, feed_groups)
         .cube(*columns)
         .agg(F.grouping_id().cast("bigint").alias("level"), *_sums())
         .select(*columns, "level", *MEASURES)
     )
 
 
-def _finest(items: DataFrame, state: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return with_flags(items, state).groupBy(*columns).agg(*_measures())
+def _finest(
+    items: DataFrame, state: DataFrame, columns: Sequence[str], feed_groups: DataFrame | None
+) -> DataFrame:
+    flagged = with_flags(items, state)
+    if "group_id" not in columns:
+        return flagged.groupBy(*columns).agg(*_measures())
+    inner = dict.fromkeys([*[c for c in columns if c != "group_id"], "feed_id"])
+    per_feed = flagged.groupBy(*inner).agg(*_measures())
+    return per_feed.join(feed_groups, "feed_id").groupBy(*columns).agg(*_sums())

@@ -17,24 +17,58 @@ def build_index(items: DataFrame) -> DataFrame:
     item and term needs no further shuffle of the many more word rows, and a word
     that is in every article makes no hot key.
     """
-    spread = items.select("item_id", "text").repartition("item_id")
-    words = spread.select("item_id", tokens("text").alias("_words"))
-    each = words.select(
+    return _grouped(_words_of(items.select("item_id", "text").repartition("item_id")))
+
+
+def find_postings(items: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """What the index holds on `terms`, straight from the articles where no index is kept.
+
+    Only words that were asked for are shuffled, never text.
+    """
+    return _grouped(_words_of(items).where(F.col("term").isin(_wanted(terms))))
+
+
+def corpus_figures(items: DataFrame) -> DataFrame:
+    """One row: items with at least one word, and their mean length in words."""
+    length = items.select(F.size(tokens("text")).alias("_n")).where(F.col("_n") > 0)
+    return length.agg(
+        F.count(F.lit(1)).alias("items"),
+        (F.sum("_n") / F.count(F.lit(1)).cast("double")).alias("mean_length"),
+    )
+
+
+def index_figures(index: DataFrame) -> DataFrame:
+    """`corpus_figures` of a stored index, without a distinct: position 0 exists once per item."""
+    items = F.count_if(F.col("positions")[0] == 0)
+    return index.agg(
+        items.alias("items"), (F.sum("tf") / items.cast("double")).alias("mean_length")
+    )
+
+
+def _words_of(items: DataFrame) -> DataFrame:
+    return items.select("item_id", tokens("text").alias("_words")).select(
         "item_id",
         F.size("_words").cast("bigint").alias("item_length"),
-        F.posexplode("_words").alias("_position", "term"),
-    )
+        # Outer, as the plain form has Spark cut every text once more to test for words.
+        F.posexplode_outer("_words").alias("_position", "term"),
+    ).where(F.col("term").isNotNull())
+
+
+def _grouped(words: DataFrame) -> DataFrame:
     return (
-        each.groupBy("item_id", "term")
+        words.groupBy("item_id", "term", "item_length")
         .agg(
             F.count(F.lit(1)).alias("tf"),
             F.sort_array(F.collect_list("_position")).alias("positions"),
-            F.first("item_length").alias("item_length"),
         )
         .select("term", "item_id", "tf", "positions", "item_length")
     )
 
 
+def _wanted(terms: Sequence[str]) -> list[str]:
+    return sorted({t.lower() for t in terms})
+
+
 def write_index(index: DataFrame, path: str, files: int) -> None:
     """Store the index in ranges of (term, item).
 
@@ -53,15 +87,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTINGS).parquet(path)
 
 
-def _postings(index: DataFrame, terms: Sequence[str]) -> DataFrame:
-    return index.where(F.col("term").isin(list(terms)))
-
+def search_all(postings: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Items that hold every one of the terms, with the number of hits in all.
 
-def search_all(index: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Items that hold every one of the terms, with the number of hits in all."""
-    wanted = sorted({t.lower() for t in terms})
+    `postings` is an index or what `find_postings` gives; so in the other searches.
+    """
+    wanted = _wanted(terms)
     return (
-        _postings(index, wanted)
+        postings.where(F.col("term").isin(wanted))
         .groupBy("item_id")
         # An item has one posting per term.
         .agg(F.count(F.lit(1)).alias("_terms"), F.sum("tf").alias("hits"))
@@ -71,32 +104,30 @@ def search_all(index: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def search_ranked(
-    index: DataFrame, terms: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75
+    postings: DataFrame,
+    corpus: DataFrame,
+    terms: Sequence[str],
+    k: int,
+    k1: float = 1.2,
+    b: float = 0.75,
 ) -> DataFrame:
     """The k best items by BM25, items of equal score by id.
 
-    Broadcast are one row of corpus figures and one row per search term. The
-    corpus is the items with at least one word.
+    `corpus` is the one row of `corpus_figures` or `index_figures`. It and one row
+    per search term are all that is broadcast.
     """
-    wanted = sorted({t.lower() for t in terms})
-    # Position 0 exists once per item, so this counts items without a distinct.
-    corpus = index.agg(
-        F.count_if(F.col("positions")[0] == 0).alias("_items"),
-        (F.sum("tf") / F.count_if(F.col("positions")[0] == 0).cast("double")).alias("_mean"),
-    )
-    postings = _postings(index, wanted)
+    wanted = postings.where(F.col("term").isin(_wanted(terms)))
     # As many rows as search terms, at most.
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_with_term"))
+    frequency = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_with_term"))
     idf = F.log(
-        1.0
-        + (F.col("_items") - F.col("_with_term") + F.lit(0.5)) / (F.col("_with_term") + F.lit(0.5))
+        1.0 + (F.col("items") - F.col("_with_term") + F.lit(0.5)) / (F.col("_with_term") + F.lit(0.5))
     )
-    length = F.col("item_length") / F.col("_mean")
+    length = F.col("item_length") / F.col("mean_length")
     gain = idf * (F.col("tf") * F.lit(k1 + 1.0)) / (
         F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length)
     )
     return (
-        postings.join(F.broadcast(frequency), "term")
+        wanted.join(F.broadcast(frequency), "term")
         .crossJoin(F.broadcast(corpus))
         .groupBy("item_id")
         .agg(F.round(F.sum(gain), 6).alias("score"))
@@ -105,16 +136,16 @@ def search_ranked(
     )
 
 
-def search_phrase(index: DataFrame, phrase: str) -> DataFrame:
+def search_phrase(postings: DataFrame, phrase: str) -> DataFrame:
     """Items with the words of `phrase` next to each other in order, and how often.
 
     Each word's positions, moved back by its place in the phrase, are intersected
     per item; an item brings at most one posting per word.
     """
-    words = _words(phrase)
+    words = phrase_words(phrase)
     distinct = sorted(set(words))
     per_item = (
-        _postings(index, distinct)
+        postings.where(F.col("term").isin(distinct))
         .groupBy("item_id")
         .agg(
             *[
@@ -137,7 +168,7 @@ def _back_by(place: int):
     return lambda position: position - F.lit(place)
 
 
-def _words(phrase: str) -> list[str]:
+def phrase_words(phrase: str) -> list[str]:
     word, words = "", []
     for char in phrase.lower() + " ":
         if char.isalnum():

@@ -53,19 +53,15 @@ def state_as_of(
     """
     value = switch(flag)
     states = events.where(value.isNotNull()).select(
-        *KEYS, "ts", F.lit(0).alias("_kind"), F.col("event_id").alias("_id"), value.alias("_value")
+        *KEYS, "ts", F.col("event_id").alias("_id"), value.alias("_value")
     )
     probes = syncs.select(
-        *KEYS,
-        "ts",
-        F.lit(1).alias("_kind"),
-        F.col("sync_id").alias("_id"),
-        F.lit(None).cast("boolean").alias("_value"),
+        *KEYS, "ts", F.col("sync_id").alias("_id"), F.lit(None).cast("boolean").alias("_value")
     )
     merged = last_known(
-        states.unionByName(probes), KEYS, "ts", ["_kind", "_id"], "_value", "_known", bucket
+        states.unionByName(probes), KEYS, "ts", "_id", "_value", "_known", bucket
     )
-    return merged.where(F.col("_kind") == 1).select(
+    return merged.where(F.col("_value").isNull()).select(
         F.col("_id").alias("sync_id"),
         *KEYS,
         "ts",
@@ -137,12 +133,16 @@ def toggle_history(events: DataFrame, flag: str = "is_saved", bucket: str = "hou
 
     Before the first switch an item is unread and unsaved. Scanned per time bucket,
     so that one busy item is spread over tasks; per bucket only its first and last
-    state and its flips are carried on.
+    state and its flips are carried on. An event without account, item or time
+    switches nothing.
     """
     key_bucket = [*KEYS, "_bucket"]
     switches = events.select(
         "event_id", *KEYS, "ts", switch(flag).alias("to_state")
-    ).where(F.col("to_state").isNotNull())
+    )
+    # Spelt out as the join below infers it, so that both its sides share one shuffle.
+    for name in (*KEYS, "ts", "to_state"):
+        switches = switches.where(F.col(name).isNotNull())
     inside = Window.partitionBy(*key_bucket).orderBy("ts", "event_id")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = (

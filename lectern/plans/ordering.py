@@ -29,28 +29,28 @@ def last_known(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    tie: Sequence[str],
+    event_id: str,
     value: str,
     out: str,
     bucket: str = "hour",
 ) -> DataFrame:
     """Add `out`: the latest non-null `value` of the same keys up to and with this row.
 
-    Rows are ordered by `ts`, then the integer columns `tie`. One key may own most
-    rows, so it is scanned in time buckets that run as separate tasks; only the
-    closing value of each bucket is carried from bucket to bucket.
+    Rows are ordered by `ts`, then `event_id`; at the same `ts` rows that bring a
+    value go first. One key may own most rows, so it is scanned in time buckets
+    that run as separate tasks. The closing value of each bucket, aggregated before
+    any shuffle, is carried from bucket to bucket.
     """
     key_bucket = [*keys, "_bucket"]
     bucketed = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
     inside = (
         Window.partitionBy(*key_bucket)
-        .orderBy(ts, *tie)
+        .orderBy(F.col(ts), F.col(value).isNull(), F.col(event_id))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     scanned = bucketed.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
-    closing = scanned.groupBy(*key_bucket).agg(
-        F.max_by("_inside", F.struct(ts, *tie)).alias("_closing")
-    )
+    order = F.when(F.col(value).isNotNull(), event_order(ts, event_id))
+    closing = bucketed.groupBy(*key_bucket).agg(F.max_by(value, order).alias("_closing"))
     before = (
         Window.partitionBy(*keys)
         .orderBy("_bucket")

@@ -8,13 +8,29 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings that operators rely on and that can be set on a running session.
+RUNTIME = {
+    # Event times carry no zone; UTC makes every cast of them neutral.
+    "spark.sql.session.timeZone": "UTC",
+    # Whole pages of HTML pass to Python in these batches.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the settings that results and memory depend on."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def get_session(app_name: str = "lectern", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; `conf` overrides any of them.
 
     Keyword names use underscores for dots: `spark_sql_shuffle_partitions="2000"`.
     """
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 REJECT = "_rejected"
@@ -10,15 +10,14 @@ REJECT = "_rejected"
 
 def _parsed(landed: DataFrame, payload: str, schema: StructType) -> DataFrame:
     with_reject = StructType([*schema.fields, StructField(REJECT, StringType())])
-    return landed.withColumn(
-        "_parsed",
-        F.from_json(
-            payload, with_reject, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
-        ),
+    parsed = F.from_json(
+        payload, with_reject, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
     )
+    # Generated, since a projected column would be parsed again in each filter on it.
+    return landed.select("*", F.inline(F.array(F.struct(parsed.alias("_parsed")))))
 
 
-def _is_bad(payload: str):
+def _is_bad() -> Column:
     return F.col("_parsed").isNull() | F.col(f"_parsed.{REJECT}").isNotNull()
 
 
@@ -27,14 +26,14 @@ def ingest_snapshot(landed: DataFrame, payload: str, schema: StructType) -> Data
     kept = [c for c in landed.columns if c != payload]
     return (
         _parsed(landed, payload, schema)
-        .where(~_is_bad(payload))
+        .where(~_is_bad())
         .select(*kept, *[F.col(f"_parsed.{f}").alias(f) for f in schema.fieldNames()])
     )
 
 
 def ingest_rejected(landed: DataFrame, payload: str, schema: StructType) -> DataFrame:
     """The rows whose payload does not parse, kept whole for inspection."""
-    return _parsed(landed, payload, schema).where(_is_bad(payload)).drop("_parsed")
+    return _parsed(landed, payload, schema).where(_is_bad()).drop("_parsed")
 
 
 def flatten_items(payloads: DataFrame) -> DataFrame:

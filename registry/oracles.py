@@ -187,6 +187,18 @@ PHRASE_HITS = """
   FROM words a JOIN words b ON a.item_id = b.item_id AND b.position = a.position + 1
   WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.item_id
 """
+RANKED = f"""
+        , tf AS (SELECT term, item_id, CAST(count(*) AS DOUBLE) AS tf,
+                        CAST(any_value(item_length) AS DOUBLE) AS dl FROM words
+                 WHERE term IN {TERMS} GROUP BY term, item_id),
+        df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
+        corpus AS (SELECT count(DISTINCT item_id) AS docs,
+                          count(*) / CAST(count(DISTINCT item_id) AS DOUBLE) AS mean FROM words)
+        SELECT item_id, round(sum(ln(1.0::DOUBLE + (docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE))
+                 * tf * 2.2::DOUBLE
+                 / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
+        FROM tf JOIN df USING (term), corpus
+        GROUP BY item_id ORDER BY score DESC, item_id LIMIT 20"""
 UPSERTED = """
   SELECT coalesce(r.item_id, l.item_id) AS item_id,
          CASE WHEN r.item_id IS NOT NULL THEN r.feed_id ELSE l.feed_id END AS feed_id,
@@ -455,20 +467,9 @@ QUERIES = {
     "search_all": f"""
         SELECT item_id, count(*) AS hits FROM words WHERE term IN {TERMS}
         GROUP BY item_id HAVING count(DISTINCT term) = 3""",
-    "search_ranked": f"""
-        , tf AS (SELECT term, item_id, CAST(count(*) AS DOUBLE) AS tf,
-                        CAST(any_value(item_length) AS DOUBLE) AS dl FROM words
-                 WHERE term IN {TERMS} GROUP BY term, item_id),
-        df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
-        corpus AS (SELECT count(DISTINCT item_id) AS docs,
-                          count(*) / CAST(count(DISTINCT item_id) AS DOUBLE) AS mean FROM words)
-        SELECT item_id, round(sum(ln(1.0::DOUBLE + (docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE))
-                 * tf * 2.2::DOUBLE
-                 / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
-        FROM tf JOIN df USING (term), corpus
-        GROUP BY item_id ORDER BY score DESC, item_id LIMIT 20""",
+    "search_ranked": RANKED,
     "search_phrase": PHRASE_HITS,
-    "search_stored_index": PHRASE_HITS,
+    "search_stored_index": RANKED,
     # Streams
     "stream_items": "SELECT item_id, feed_id, lang, title, url, created_at FROM items",
     "stream_dedupe": "SELECT event_id, account_id, item_id, action, ts FROM state_events",

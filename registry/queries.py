@@ -21,7 +21,7 @@ from lectern.operators import (
 )
 from lectern.plans.reader_list import reader_list
 from lectern.plans.views import build_views
-from lectern.session import new_folder
+from lectern.session import new_folder, prepare
 from lectern.sources import ingest, reader_model as model, tables
 from lectern.sources.reader_model import ReaderTables
 from lectern.streaming import feeds as streams, runner
@@ -217,8 +217,9 @@ def q_regroup_items(r: ReaderTables) -> DataFrame:
 
 
 def q_regroup_by_group(r: ReaderTables) -> DataFrame:
-    grouped = r.items.join(r.feed_groups, "feed_id")
-    return counts.regroup_items(grouped, _account(r), ["group_id", "lang"])
+    return counts.regroup_items(
+        r.items, _account(r), ["group_id", "lang"], feed_groups=r.feed_groups
+    )
 
 
 def q_counts_cube(r: ReaderTables) -> DataFrame:
@@ -417,23 +418,27 @@ def q_build_index(r: ReaderTables) -> DataFrame:
 
 
 def q_search_all(r: ReaderTables) -> DataFrame:
-    return search.search_all(search.build_index(r.items), SEARCH_TERMS)
+    return search.search_all(search.find_postings(r.items, SEARCH_TERMS), SEARCH_TERMS)
 
 
 def q_search_ranked(r: ReaderTables) -> DataFrame:
-    return search.search_ranked(search.build_index(r.items), SEARCH_TERMS, 20)
+    postings = search.find_postings(r.items, SEARCH_TERMS)
+    return search.search_ranked(postings, search.corpus_figures(r.items), SEARCH_TERMS, 20)
 
 
 def q_search_phrase(r: ReaderTables) -> DataFrame:
-    return search.search_phrase(search.build_index(r.items), PHRASE)
+    return search.search_phrase(
+        search.find_postings(r.items, search.phrase_words(PHRASE)), PHRASE
+    )
 
 
 def q_search_stored_index(r: ReaderTables) -> DataFrame:
-    """The same phrase, from an index written as a table."""
+    """The ranked search, from an index written as a table."""
     path = new_folder(r.spark, "index")
     files = int(r.spark.conf.get("spark.sql.shuffle.partitions"))
     search.write_index(search.build_index(r.items), path, files)
-    return search.search_phrase(search.read_index(r.spark, path), PHRASE)
+    index = search.read_index(r.spark, path)
+    return search.search_ranked(index, search.index_figures(index), SEARCH_TERMS, 20)
 
 
 # Streams
@@ -502,9 +507,7 @@ def q_stream_enriched(r: ReaderTables) -> DataFrame:
 
 def _over(build: Callable[[ReaderTables], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Event times carry no zone; UTC makes every cast of them neutral.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return build(ReaderTables(spark, sf_dir))
+        return build(ReaderTables(prepare(spark), sf_dir))
 
     return query
 
