@@ -35,7 +35,7 @@ ARTICLE = r"(?is)<article\b[^>]*>(.*)</article\s*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
 TAG = r"<[^>]*>"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def _col(c: str | Column) -> Column:
@@ -78,15 +78,23 @@ def without_distractions(html: str | Column) -> Column:
 
 def dense_blocks(html: str | Column, min_chars: int = 80, min_density: float = 0.6) -> Column:
     """Text blocks long enough and with enough text per markup, in page order, one per line."""
-    blocks = F.split(
-        drop_unseen(without_distractions(html)), rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"
-    )
+    bare = F.regexp_replace(F.regexp_replace(drop_unseen(html), VIDEOS, ""), ADS, "")
+    blocks = F.split(bare, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>")
+
+    def measured(block: Column) -> Column:
+        # Only inline tags are left, which part no words.
+        shown = squeeze(F.regexp_replace(block, TAG, ""))
+        return F.struct(shown.alias("shown"), F.length(block).alias("size"))
 
     def dense(block: Column) -> Column:
-        visible = F.length(squeeze(F.regexp_replace(block, TAG, "")))
-        return (visible >= min_chars) & (visible >= F.length(block) * F.lit(min_density))
+        chars = F.length(block["shown"])
+        return (chars >= min_chars) & (chars >= block["size"] * F.lit(min_density))
+
+    def readable(block: Column) -> Column:
+        return squeeze(decode_entities(block["shown"]))
 
-    return F.array_join(F.transform(F.filter(blocks, dense), plain_text), "\n")
+    kept = F.filter(F.transform(blocks, measured), dense)
+    return F.array_join(F.transform(kept, readable), "\n")
 
 
 def escape_html(text: str | Column) -> Column:
@@ -108,4 +116,4 @@ def blank_to_null(text: str | Column) -> Column:
 
 def tokens(text: str | Column) -> Column:
     """Lower-case words, in order: runs of letters and digits of any script."""
-    return F.filter(F.split(F.lower(_col(text)), NOT_WORD), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))

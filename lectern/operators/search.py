@@ -3,29 +3,73 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import tokens
-from lectern.schemas import POSTINGS
+from lectern.schemas import CORPUS_FIGURES, STORED_POSTINGS
 
 
 def build_index(items: DataFrame) -> DataFrame:
     """One row per term and item: how often and at which positions (from 0) the item has it.
 
-    Articles are spread by item before they are cut into words, so grouping by
-    item and term needs no further shuffle of the many more word rows, and a word
-    that is in every article makes no hot key.
+    An article's words are sorted and grouped inside its own row, so nothing is
+    shuffled, and a word that is in every article makes no hot key.
     """
-    return _grouped(_words_of(items.select("item_id", "text").repartition("item_id")))
+    return _postings(items.select("item_id", tokens("text").alias("_words")), None)
 
 
 def find_postings(items: DataFrame, terms: Sequence[str]) -> DataFrame:
     """What the index holds on `terms`, straight from the articles where no index is kept.
 
-    Only words that were asked for are shuffled, never text.
+    Only articles that contain one of them, if only inside a longer word, are cut
+    into words.
     """
-    return _grouped(_words_of(items).where(F.col("term").isin(_wanted(terms))))
+    wanted = _wanted(terms)
+    candidates = items.where(
+        reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t)) for t in wanted])
+    )
+    return _postings(candidates.select("item_id", tokens("text").alias("_words")), wanted)
+
+
+def _postings(words: DataFrame, wanted: Sequence[str] | None) -> DataFrame:
+    """Postings of (item_id, _words) rows, of all words or of the wanted ones.
+
+    The steps stay separate projections because each uses the one before more than once.
+    """
+    placed = F.transform("_words", lambda w, n: F.struct(w.alias("term"), n.alias("at")))
+    if wanted is not None:
+        placed = F.filter(placed, lambda p: p["term"].isin(list(wanted)))
+    grouped = (
+        words.select(
+            "item_id",
+            F.size("_words").cast("bigint").alias("item_length"),
+            F.sort_array(placed).alias("_places"),
+        )
+        .withColumn("_starts", F.filter(F.transform("_places", lambda p, n: n), _starts_run))
+        # Outer, as the plain form has Spark do all of the above again to test for words.
+        .select("*", F.posexplode_outer("_starts").alias("_run", "_start"))
+        .where(F.col("_start").isNotNull())
+    )
+    following = F.coalesce(F.get("_starts", F.col("_run") + 1), F.size("_places"))
+    count = following - F.col("_start")
+    return grouped.select(
+        _term_at(F.col("_start")).alias("term"),
+        "item_id",
+        count.cast("bigint").alias("tf"),
+        F.slice("_places", F.col("_start") + 1, count)["at"].alias("positions"),
+        "item_length",
+    )
+
+
+def _term_at(n: Column) -> Column:
+    return F.get("_places", n)["term"]
+
+
+def _starts_run(n: Column) -> Column:
+    """Whether the n-th of the sorted words differs from the one before."""
+    return (n == 0) | (_term_at(n) != _term_at(n - 1))
 
 
 def corpus_figures(items: DataFrame) -> DataFrame:
@@ -45,46 +89,48 @@ def index_figures(index: DataFrame) -> DataFrame:
     )
 
 
-def _words_of(items: DataFrame) -> DataFrame:
-    return items.select("item_id", tokens("text").alias("_words")).select(
-        "item_id",
-        F.size("_words").cast("bigint").alias("item_length"),
-        # Outer, as the plain form has Spark cut every text once more to test for words.
-        F.posexplode_outer("_words").alias("_position", "term"),
-    ).where(F.col("term").isNotNull())
-
-
-def _grouped(words: DataFrame) -> DataFrame:
-    return (
-        words.groupBy("item_id", "term", "item_length")
-        .agg(
-            F.count(F.lit(1)).alias("tf"),
-            F.sort_array(F.collect_list("_position")).alias("positions"),
-        )
-        .select("term", "item_id", "tf", "positions", "item_length")
-    )
-
-
 def _wanted(terms: Sequence[str]) -> list[str]:
     return sorted({t.lower() for t in terms})
 
 
-def write_index(index: DataFrame, path: str, files: int) -> None:
-    """Store the index in ranges of (term, item).
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    Lookups of a term skip files and row groups by their minimum and maximum; a
-    term that most articles hold spans several files instead of one bucket.
+
+def write_index(index: DataFrame, path: str, buckets: int) -> None:
+    """Store postings in directories by hash of the term, and the corpus figures beside them.
+
+    `rebalance` sizes the files: a bucket with a term that most articles hold is
+    split over many tasks, and inside a file postings are sorted by term.
     """
     (
-        index.repartitionByRange(files, "term", "item_id")
-        .sortWithinPartitions("term", "item_id")
+        index.withColumn("bucket", _bucket(F.col("term"), buckets))
+        .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "term", "item_id")
         .write.mode("overwrite")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("bucket")
+        .parquet(f"{path}/postings")
     )
+    stored = read_index(index.sparkSession, path)
+    index_figures(stored).write.mode("overwrite").parquet(f"{path}/figures")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POSTINGS).parquet(path)
+    return spark.read.schema(STORED_POSTINGS).parquet(f"{path}/postings")
+
+
+def read_figures(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CORPUS_FIGURES).parquet(f"{path}/figures")
+
+
+def stored_postings(index: DataFrame, terms: Sequence[str], buckets: int) -> DataFrame:
+    """The postings of `terms`, read from their buckets only."""
+    wanted = _wanted(terms)
+    return index.where(
+        F.col("bucket").isin([_bucket(F.lit(t), buckets) for t in wanted])
+        & F.col("term").isin(wanted)
+    ).drop("bucket")
 
 
 def search_all(postings: DataFrame, terms: Sequence[str]) -> DataFrame:

@@ -35,11 +35,13 @@ ITEM_PAYLOAD = _struct(
     feed=_struct(id=_TEXT, lang=_TEXT),
     items=ArrayType(_struct(id=_ID, title=_TEXT, tags=ArrayType(_TEXT))),
 )
-POSTINGS = _struct(
+STORED_POSTINGS = _struct(
     term=_TEXT,
     item_id=_ID,
     tf=LongType(),
     positions=ArrayType(IntegerType()),
     item_length=LongType(),
+    bucket=IntegerType(),
 )
+CORPUS_FIGURES = _struct(items=LongType(), mean_length=DoubleType())
 VERSIONS = _struct(version=LongType())

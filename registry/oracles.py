@@ -105,8 +105,8 @@ def _squeeze(text: str) -> str:
     return rf"trim(regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g'))"
 
 
-def _plain(markup: str) -> str:
-    text = f"regexp_replace({markup}, '<[^>]*>', ' ', 'g')"
+def _plain(markup: str, by: str = " ") -> str:
+    text = f"regexp_replace({markup}, '<[^>]*>', '{by}', 'g')"
     for name, char in (
         ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "),
         ("copy", "©"), ("middot", "·"), ("amp", "&"),
@@ -122,12 +122,12 @@ def _inside(tag: str, html: str = "html", greedy: bool = True) -> str:
 
 
 def _blocks(html: str = "html") -> str:
-    bare = _drop(_drop(html, SCRIPTS, VIDEOS, ADS), UNSEEN, by=" ")
+    bare = _drop(_drop(html, UNSEEN, by=" "), VIDEOS, ADS)
     shown = _squeeze("regexp_replace(b, '<[^>]*>', '', 'g')")
     return (
         f"array_to_string(list_transform(list_filter(string_split_regex({bare}, '{BLOCKS}'), "
         f"lambda b: length({shown}) >= 80 AND length({shown}) >= length(b) * 0.6), "
-        f"lambda b: {_plain('b')}), chr(10))"
+        f"lambda b: {_plain('b', by='')}), chr(10))"
     )
 
 

@@ -34,6 +34,7 @@ TEMPLATE = (
 )
 SEARCH_TERMS = ["the", "worthless", "with"]
 PHRASE = "of the"
+INDEX_BUCKETS = 16
 MARK_TIME = datetime(2024, 2, 1)
 LATE_ID = 1_000_000_000_000
 
@@ -435,10 +436,12 @@ def q_search_phrase(r: ReaderTables) -> DataFrame:
 def q_search_stored_index(r: ReaderTables) -> DataFrame:
     """The ranked search, from an index written as a table."""
     path = new_folder(r.spark, "index")
-    files = int(r.spark.conf.get("spark.sql.shuffle.partitions"))
-    search.write_index(search.build_index(r.items), path, files)
-    index = search.read_index(r.spark, path)
-    return search.search_ranked(index, search.index_figures(index), SEARCH_TERMS, 20)
+    search.write_index(search.build_index(r.items), path, INDEX_BUCKETS)
+    postings = search.stored_postings(
+        search.read_index(r.spark, path), SEARCH_TERMS, INDEX_BUCKETS
+    )
+    figures = search.read_figures(r.spark, path)
+    return search.search_ranked(postings, figures, SEARCH_TERMS, 20)
 
 
 # Streams

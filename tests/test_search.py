@@ -67,13 +67,17 @@ def test_ranking_is_bm25(items, index):
     assert [r.score for r in got] == sorted(expected.values(), reverse=True)
 
 
-def test_stored_index_prunes_by_term(spark, index):
+def test_stored_index_prunes_buckets_and_terms(spark, index):
     path = new_folder(spark, "test-index")
-    search.write_index(index, path, 3)
+    search.write_index(index, path, 8)
     stored = search.read_index(spark, path)
-    assert rows(search.search_phrase(stored, "the cat")) == [(1, 2), (2, 1)]
-    assert "PushedFilters: [In(term" in plan(stored.where("term in ('cat', 'dog')"))
+    assert rows(stored.drop("bucket")) == rows(index)
+    assert rows(search.read_figures(spark, path)) == rows(search.index_figures(index))
+    found = search.stored_postings(stored, ["the", "cat"], 8)
+    assert rows(search.search_phrase(found, "the cat")) == [(1, 2), (2, 1)]
+    text = plan(found)
+    assert "PartitionFilters: [bucket" in text and "In(term" in text
 
 
-def test_index_needs_one_shuffle(index):
-    assert plan(index).count("Exchange hashpartitioning") == 1
+def test_index_is_built_without_a_shuffle(items):
+    assert "Exchange" not in plan(search.build_index(items))
