@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.plans.ordering import first_n_per_key
+from lectern.plans.sizing import fits_broadcast
 
 
 def _content_hash(columns: Sequence[str]) -> Column:
@@ -33,13 +34,23 @@ def sync_diff(
 def sync_upsert(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
     """The next snapshot: every remote row, and local rows the remote does not have.
 
-    Remote rows pass straight through; of them only keys are shuffled.
+    Remote rows pass straight through; of them only keys are shuffled. Keys are
+    never null.
     """
     return remote.unionByName(removed_items(local, remote, key).select(*remote.columns))
 
 
 def removed_items(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
-    return local.join(remote.select(key), key, "left_anti").select(*local.columns)
+    """Local rows whose key the remote does not have.
+
+    The keys are compared first. If few are gone, as in most syncs, they are
+    broadcast and the local rows with their texts stay where they are.
+    """
+    kept = remote.select(key)
+    gone = local.select(key).join(kept, key, "left_anti")
+    if fits_broadcast(gone):
+        return local.join(F.broadcast(gone), key, "left_semi").select(*local.columns)
+    return local.join(kept, key, "left_anti").select(*local.columns)
 
 
 def new_since(remote: DataFrame, local: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import differences, duck
+from helpers import plan
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry_points.queries()
@@ -20,9 +21,29 @@ def test_every_sql_has_its_query():
     assert set(QUERIES) - set(SQL) == {"hot_links_estimate"}
 
 
+# One row of corpus figures meets every posting.
+NESTED_LOOP = {"search_ranked", "search_stored_index"}
+# Selectors vary by row.
+PYTHON = {"clean_article_by_pattern"}
+# Ranks of the n highest numbers only.
+WHOLE_WINDOW = {"hot_links"}
+
+
+def check_plan(name, text):
+    assert "CartesianProduct" not in text
+    assert ("BroadcastNestedLoopJoin" in text) == (name in NESTED_LOOP)
+    assert ("EvalPython" in text) == (name in PYTHON)
+    for line in text.splitlines():
+        if " Window [" in line:
+            # A window prints its partition columns, then its order.
+            assert ("], [" in line) or name in WHOLE_WINDOW, line
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
-    got = QUERIES[name](spark, SF).toPandas()
+    df = QUERIES[name](spark, SF)
+    check_plan(name, plan(df))
+    got = df.toPandas()
     if name in SQL:
         assert differences(got, con.execute(SQL[name]).df()) is None
     else:

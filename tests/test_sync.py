@@ -46,8 +46,13 @@ def test_new_since_uses_the_highest_local_key(spark, local, remote):
     assert sync.new_since(remote, empty, "item_id").count() == 4
 
 
-def test_removed_and_whole_row_comparison(local, remote):
+@pytest.mark.parametrize("fits", [True, False])
+def test_removed_items_by_either_way(local, remote, monkeypatch, fits):
+    monkeypatch.setattr(sync, "fits_broadcast", lambda df: fits)
     assert [r[0] for r in rows(sync.removed_items(local, remote, "item_id"))] == [3]
+
+
+def test_whole_row_comparison(local, remote):
     assert [r[0] for r in rows(sync.unchanged_rows(local, remote))] == [1]
     assert [r[0] for r in rows(sync.changed_rows(local, remote))] == [2, 3, 4]
     doubled = local.union(local)
