@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Named character references that are decoded, `&amp;` last so
-# that `&amp;lt;` becomes `&lt;` and no further.
+# Character references that are decoded, `amp` last so that
+# `&amp;lt;` becomes `&lt;` and no further.
 ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
+    ("lt", "<"),
+    ("gt", ">"),
+    ("quot", '"'),
+    ("#39", "'"),
+    ("apos", "'"),
+    ("nbsp", " "),
+    ("copy", "©"),
+    ("middot", "·"),
+    ("amp", "&"),
 ]
+# The ones that HTML also reads without their semicolon.
+BARE_ENTITIES = frozenset(["lt", "gt", "quot", "#39", "nbsp", "copy", "middot", "amp"])
 
 # Tags that end a block of text.
 BLOCK_TAGS = (
@@ -47,10 +49,13 @@ def drop_unseen(html: str | Column) -> Column:
     return F.regexp_replace(_col(html), UNSEEN, " ")
 
 
-def decode_entities(text: str | Column) -> Column:
+def decode_entities(text: str | Column, bare: bool = True) -> Column:
+    """With `bare`, also references without their semicolon, as in text but not in attributes."""
     out = _col(text)
     for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+        if bare and name in BARE_ENTITIES:
+            out = F.replace(out, F.lit(f"&{name}"), F.lit(char))
     return out
 
 

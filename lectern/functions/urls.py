@@ -33,7 +33,7 @@ def absolute_url(base: str | Column, ref: str | Column) -> Column:
     Null for what leads to no other document: empty and fragment-only
     references and schemes other than http(s). Dot segments stay as written.
     """
-    base, ref = _col(base), F.trim(decode_entities(ref))
+    base, ref = _col(base), F.trim(decode_entities(ref, bare=False))
     scheme = F.regexp_extract(base, SCHEME, 1)
     site = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.functions import text as T
 from lectern.functions.html_part import selected_text
 from lectern.functions.urls import canonical_url, host_of
-from lectern.plans.sizing import fits_broadcast
+from lectern.plans.sizing import broadcast_if_small, fits_broadcast
 
 
 def _with_longest_suffix(
@@ -68,7 +68,10 @@ def match_site_pattern(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     if fits_broadcast(patterns):
         return _with_longest_suffix(hosted, "host", patterns, small=True)
     hosts = hosted.select("host").distinct()
-    return hosted.join(_with_longest_suffix(hosts, "host", patterns, small=False), "host", "left")
+    known = _with_longest_suffix(hosts, "host", patterns, small=False)
+    # Often few hosts have a pattern, however many patterns there are.
+    known = known.where(F.col("host_suffix").isNotNull())
+    return hosted.join(broadcast_if_small(known), "host", "left")
 
 
 def clean_article(pages: DataFrame) -> DataFrame:

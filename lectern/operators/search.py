@@ -74,10 +74,12 @@ def _starts_run(n: Column) -> Column:
 
 def corpus_figures(items: DataFrame) -> DataFrame:
     """One row: items with at least one word, and their mean length in words."""
-    length = items.select(F.size(tokens("text")).alias("_n")).where(F.col("_n") > 0)
+    length = items.select(F.size(tokens("text")).alias("_n"))
+    # No filter, which would cut the texts into words a second time.
+    counted = F.count_if(F.col("_n") > 0)
+    words = F.sum(F.when(F.col("_n") > 0, F.col("_n")))
     return length.agg(
-        F.count(F.lit(1)).alias("items"),
-        (F.sum("_n") / F.count(F.lit(1)).cast("double")).alias("mean_length"),
+        counted.alias("items"), (words / counted.cast("double")).alias("mean_length")
     )
 
 
@@ -160,23 +162,38 @@ def search_ranked(
     """The k best items by BM25, items of equal score by id.
 
     `corpus` is the one row of `corpus_figures` or `index_figures`. It and one row
-    per search term are all that is broadcast.
+    with the number of items per term are all that is broadcast. Postings are read
+    once: scores and these numbers come from the same shuffle by item.
     """
-    wanted = postings.where(F.col("term").isin(_wanted(terms)))
-    # As many rows as search terms, at most.
-    frequency = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("_with_term"))
-    idf = F.log(
-        1.0 + (F.col("items") - F.col("_with_term") + F.lit(0.5)) / (F.col("_with_term") + F.lit(0.5))
+    wanted = _wanted(terms)
+    per_item = (
+        postings.where(F.col("term").isin(wanted))
+        .groupBy("item_id")
+        .agg(
+            F.max("item_length").alias("_length"),
+            *[F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"_tf{n}")
+              for n, t in enumerate(wanted)],
+        )
     )
-    length = F.col("item_length") / F.col("mean_length")
-    gain = idf * (F.col("tf") * F.lit(k1 + 1.0)) / (
-        F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length)
+    with_term = per_item.agg(
+        # The length is named so that both uses of `per_item` need the same columns.
+        *[F.count_if(F.col(f"_tf{n}").isNotNull() & (F.col("_length") > 0)).alias(f"_items{n}")
+          for n in range(len(wanted))]
     )
+    relative = F.lit(1.0 - b) + F.lit(b) * F.col("_length") / F.col("mean_length")
+
+    def gain(n: int) -> Column:
+        tf, n_items = F.col(f"_tf{n}"), F.col(f"_items{n}")
+        idf = F.log(1.0 + (F.col("items") - n_items + F.lit(0.5)) / (n_items + F.lit(0.5)))
+        return F.coalesce(
+            idf * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * relative), F.lit(0.0)
+        )
+
+    score = reduce(lambda x, y: x + y, [gain(n) for n in range(len(wanted))])
     return (
-        wanted.join(F.broadcast(frequency), "term")
+        per_item.crossJoin(F.broadcast(with_term))
         .crossJoin(F.broadcast(corpus))
-        .groupBy("item_id")
-        .agg(F.round(F.sum(gain), 6).alias("score"))
+        .select("item_id", F.round(score, 6).alias("score"))
         .orderBy(F.desc("score"), "item_id")
         .limit(k)
     )

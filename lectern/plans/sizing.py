@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 MAX_ROWS = 200_000
 MAX_BYTES = 64 * 1024 * 1024
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Bytes of a row: string columns by content, others at 16 each."""
+    """Bytes of a row: strings and nested values by content, and 16 per column."""
     size = F.lit(0).cast("bigint")
     for field in df.schema.fields:
-        if isinstance(field.dataType, StringType):
-            size = size + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
-        else:
-            size = size + 16
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            size = size + F.octet_length(F.to_json(F.struct(field.name)))
+        size = size + 16
     return size
 
 

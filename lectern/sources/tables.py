@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -52,7 +53,13 @@ def refresh_feeds(df: DataFrame, path: str, version: int, by: str = "feed_id") -
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    versions = spark.read.schema(schemas.VERSIONS).parquet(f"{path}/versions")
+    """The highest complete version, or None before the first sync."""
+    try:
+        versions = spark.read.schema(schemas.VERSIONS).parquet(f"{path}/versions")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     return versions.agg(F.max("version")).first()[0]
 
 

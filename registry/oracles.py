@@ -111,7 +111,7 @@ def _plain(markup: str, by: str = " ") -> str:
         ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "),
         ("copy", "©"), ("middot", "·"), ("amp", "&"),
     ):
-        text = f"replace({text}, '&{name};', '{char}')"
+        text = f"regexp_replace({text}, '&{name}{';' if name == 'apos' else ';?'}', '{char}', 'g')"
     return _squeeze(text)
 
 

@@ -27,9 +27,10 @@ def test_clean_article_cases(spark):
         "<article></article>",
         "<p>no article here</p>",
         "<ARTICLE class='x'>Upper<!-- <b>gone</b> --> case</ARTICLE>",
+        "<article>cut &amp &lt off &apos &am</article>",
     )
     assert value(articles.clean_article(df), "text") == [
-        "One two three", "&lt; <b> a b", "", "", "Upper case"
+        "One two three", "&lt; <b> a b", "", "", "Upper case", "cut & < off &apos &am"
     ]
 
 
@@ -196,6 +197,7 @@ def test_urls(spark):
         "/root": "https://www.site.org/root",
         "next": "https://www.site.org/dir/next",
         "?y=2&amp;z=3": "https://www.site.org/dir/page?y=2&z=3",
+        "/r?a=1&copy=2": "https://www.site.org/r?a=1&copy=2",
         "#top": None,
         "": None,
         "mailto:a@b.c": None,

@@ -169,4 +169,7 @@ def test_broadcast_only_after_measuring(spark):
     assert sizing.fits_broadcast(small)
     assert not sizing.fits_broadcast(small, max_rows=9)
     assert not sizing.fits_broadcast(wide, max_bytes=5000)
+    nested = wide.select(F.array("s", "s").alias("a"))
+    assert not sizing.fits_broadcast(nested, max_bytes=15000)
+    assert sizing.fits_broadcast(nested, max_bytes=25000)
     assert sizing.broadcast_if_small(small, max_rows=9) is small

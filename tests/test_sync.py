@@ -87,6 +87,7 @@ def test_union_accounts_first_copy_wins_and_columns_are_filled(spark):
 
 def test_local_copy_versions(spark, local, remote):
     path = new_folder(spark, "test-copy")
+    assert tables.latest_version(spark, path) is None
     tables.write_local_copy(local, path, 1)
     tables.write_local_copy(remote, path, 2)
     assert tables.latest_version(spark, path) == 2
