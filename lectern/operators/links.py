@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.functions.text import drop_unseen
 from lectern.functions.urls import ANCHOR_HREF, IMAGE_SRC, absolute_url, canonical_url
+from lectern.plans.sizing import MAX_ROWS
 
 
 def _references(pages: DataFrame, pattern: str) -> DataFrame:
@@ -37,7 +38,8 @@ def hot_links(links: DataFrame, n: int) -> DataFrame:
     ranks = top.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("items"))).cast("bigint")
     )
-    return counted.join(F.broadcast(ranks), "items").select("rank", "url", "items")
+    ranks = F.broadcast(ranks) if n <= MAX_ROWS else ranks
+    return counted.join(ranks, "items").select("rank", "url", "items")
 
 
 def hot_links_estimate(links: DataFrame, rsd: float = 0.02) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.plans.ordering import event_order, last_known
+from lectern.plans.ordering import HOT_ROWS, cut_hot_keys, event_order, last_known
 
 KEYS = ["account_id", "item_id"]
 ON = {"is_read": "read", "is_saved": "save"}
@@ -45,7 +45,11 @@ def account_state(events: DataFrame, account: int) -> DataFrame:
 
 
 def state_as_of(
-    events: DataFrame, syncs: DataFrame, flag: str = "is_read", bucket: str = "hour"
+    events: DataFrame,
+    syncs: DataFrame,
+    flag: str = "is_read",
+    bucket: str = "hour",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """For each row of `syncs` (sync_id, account_id, item_id, ts): the flag in force at `ts`.
 
@@ -59,7 +63,7 @@ def state_as_of(
         *KEYS, "ts", F.col("sync_id").alias("_id"), F.lit(None).cast("boolean").alias("_value")
     )
     merged = last_known(
-        states.unionByName(probes), KEYS, "ts", "_id", "_value", "_known", bucket
+        states.unionByName(probes), KEYS, "ts", "_id", "_value", "_known", bucket, hot_rows
     )
     return merged.where(F.col("_value").isNull()).select(
         F.col("_id").alias("sync_id"),
@@ -128,57 +132,77 @@ def marks_as_events(
     )
 
 
-def toggle_history(events: DataFrame, flag: str = "is_saved", bucket: str = "hour") -> DataFrame:
+def toggle_history(
+    events: DataFrame, flag: str = "is_saved", bucket: str = "hour", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Each switch of `flag` with the state before it and the number of real flips so far.
 
-    Before the first switch an item is unread and unsaved. Scanned per time bucket,
-    so that one busy item is spread over tasks; per bucket only its first and last
+    Before the first switch an item is unread and unsaved. A hot item is scanned per
+    time bucket, so that it is spread over tasks; per bucket only its first and last
     state and its flips are carried on. An event without account, item or time
     switches nothing.
     """
-    key_bucket = [*KEYS, "_bucket"]
-    switches = events.select(
-        "event_id", *KEYS, "ts", switch(flag).alias("to_state")
-    )
+    switches = events.select("event_id", *KEYS, "ts", switch(flag).alias("to_state"))
     # Spelt out as the join below infers it, so that both its sides share one shuffle.
     for name in (*KEYS, "ts", "to_state"):
         switches = switches.where(F.col(name).isNotNull())
-    inside = Window.partitionBy(*key_bucket).orderBy("ts", "event_id")
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = (
-        switches.withColumn("_bucket", F.date_trunc(bucket, F.col("ts")))
-        .withColumn("_before", F.lag("to_state").over(inside))
-        .withColumn("_flip", F.coalesce(F.col("_before") != F.col("to_state"), F.lit(False)))
-        .withColumn("_flips", F.sum(F.col("_flip").cast("bigint")).over(running))
-    )
-    order = F.struct("ts", "event_id")
-    summary = scanned.groupBy(*key_bucket).agg(
-        F.min_by("to_state", order).alias("_first"),
-        F.max_by("to_state", order).alias("_last"),
-        F.sum(F.col("_flip").cast("bigint")).alias("_inner"),
-    )
-    by_bucket = Window.partitionBy(*KEYS).orderBy("_bucket")
-    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        summary.withColumn(
-            "_entry", F.coalesce(F.lag("_last").over(by_bucket), F.lit(False))
-        )
-        .withColumn("_entry_flip", (F.col("_entry") != F.col("_first")).cast("bigint"))
-        .withColumn(
-            "_so_far",
-            F.coalesce(F.sum(F.col("_inner") + F.col("_entry_flip")).over(earlier), F.lit(0))
-            + F.col("_entry_flip"),
+
+    cut = cut_hot_keys(switches, KEYS, "ts", bucket, hot_rows)
+    if cut is None:
+        scanned = _scan_flips(switches, KEYS).withColumns(
+            {"_entry": F.lit(False), "_earlier": F.lit(0)}
         )
-        .select(*key_bucket, "_entry", "_so_far")
+    else:
+        scanned = _scan_flips(cut, [*KEYS, "_bucket"])
+        scanned = scanned.join(_carry_flips(scanned), [*KEYS, "_bucket"], "left")
+    # What the first switch of a scan does depends on the state before it.
+    entry = F.coalesce("_entry", F.lit(False))
+    flips = (
+        F.col("_flips")
+        + F.coalesce("_earlier", F.lit(0))
+        + (F.col("_opening") != entry).cast("bigint")
     )
-    return scanned.join(carried, key_bucket, "left").select(
+    return scanned.select(
         "event_id",
         *KEYS,
         "ts",
-        F.coalesce("_before", "_entry").alias("from_state"),
+        F.coalesce("_before", entry).alias("from_state"),
         "to_state",
-        (F.col("_flips") + F.col("_so_far")).alias("flips"),
+        flips.alias("flips"),
+    )
+
+
+def _scan_flips(switches: DataFrame, partition: list[str]) -> DataFrame:
+    """The state before each switch, the first state, and the flips so far, within partitions."""
+    inside = Window.partitionBy(*partition).orderBy("ts", "event_id")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flip = F.coalesce(F.col("_before") != F.col("to_state"), F.lit(False)).cast("bigint")
+    return (
+        switches.withColumn("_before", F.lag("to_state").over(inside))
+        .withColumn("_opening", F.first("to_state").over(running))
+        .withColumn("_flips", F.sum(flip).over(running))
+    )
+
+
+def _carry_flips(scanned: DataFrame) -> DataFrame:
+    """Per bucket of a hot item: the state it starts in, and the flips before it."""
+    order = F.struct("ts", "event_id")
+    summary = (
+        scanned.where(F.col("_bucket").isNotNull())
+        .groupBy(*KEYS, "_bucket")
+        .agg(
+            F.first("_opening").alias("_first"),
+            F.max_by("to_state", order).alias("_last"),
+            F.max("_flips").alias("_inner"),
+        )
+    )
+    by_bucket = Window.partitionBy(*KEYS).orderBy("_bucket")
+    entry = F.coalesce(F.lag("_last").over(by_bucket), F.lit(False))
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    entered = summary.withColumn("_entry", entry).withColumn(
+        "_all", F.col("_inner") + (F.col("_entry") != F.col("_first")).cast("bigint")
     )
+    return entered.select(*KEYS, "_bucket", "_entry", F.sum("_all").over(earlier).alias("_earlier"))
 
 
 def preferences(prefs: DataFrame, defaults: Mapping[str, object]) -> DataFrame:

@@ -6,10 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.plans.sizing import broadcast_if_small
+
 # Spark drops rows that cannot be among the first n of their key before the
 # shuffle while n is at most this (spark.sql.optimizer.windowGroupLimitThreshold).
 PRUNED_BEFORE_SHUFFLE = 1000
 SALTS = 64
+# Rows of one key that a single task sorts and scans without trouble.
+HOT_ROWS = 1_000_000
 
 
 def event_order(ts: str | Column, event_id: str | Column) -> Column:
@@ -25,6 +29,27 @@ def event_order(ts: str | Column, event_id: str | Column) -> Column:
     return micros * F.expr("10000000000000000000BD") + event_id.cast("decimal(20,0)")
 
 
+def cut_hot_keys(
+    df: DataFrame, keys: Sequence[str], ts: str, bucket: str, hot_rows: int
+) -> DataFrame | None:
+    """`df` with `_bucket`, the time bucket of rows whose key has more than `hot_rows` rows.
+
+    It is null for other keys, which one task each can scan. None if no key is hot,
+    so that ordinary data gets a plain window. Rows per key are counted before the
+    shuffle, and there can be no more hot keys than rows / `hot_rows`.
+    """
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > hot_rows)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+    if hot.isEmpty():
+        return None
+    marked = df.join(broadcast_if_small(hot), list(keys), "left")
+    return marked.withColumn("_bucket", F.when(F.col("_hot"), F.date_trunc(bucket, ts))).drop("_hot")
+
+
 def last_known(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,24 +58,32 @@ def last_known(
     value: str,
     out: str,
     bucket: str = "hour",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `out`: the latest non-null `value` of the same keys up to and with this row.
 
     Rows are ordered by `ts`, then `event_id`; at the same `ts` rows that bring a
-    value go first. One key may own most rows, so it is scanned in time buckets
-    that run as separate tasks. The closing value of each bucket, aggregated before
-    any shuffle, is carried from bucket to bucket.
+    value go first. A hot key is scanned in time buckets that run as separate
+    tasks; only the closing value of each bucket is carried from bucket to bucket.
     """
+    sequence = [F.col(ts), F.col(value).isNull(), F.col(event_id)]
+
+    def scan(*partition: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(*sequence)
+        return F.last(value, ignorenulls=True).over(
+            window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+
+    cut = cut_hot_keys(df, keys, ts, bucket, hot_rows)
+    if cut is None:
+        return df.withColumn(out, scan(*keys))
     key_bucket = [*keys, "_bucket"]
-    bucketed = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
-    inside = (
-        Window.partitionBy(*key_bucket)
-        .orderBy(F.col(ts), F.col(value).isNull(), F.col(event_id))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    scanned = bucketed.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
     order = F.when(F.col(value).isNotNull(), event_order(ts, event_id))
-    closing = bucketed.groupBy(*key_bucket).agg(F.max_by(value, order).alias("_closing"))
+    closing = (
+        cut.where(F.col("_bucket").isNotNull())
+        .groupBy(*key_bucket)
+        .agg(F.max_by(value, order).alias("_closing"))
+    )
     before = (
         Window.partitionBy(*keys)
         .orderBy("_bucket")
@@ -60,7 +93,8 @@ def last_known(
         *key_bucket, F.last("_closing", ignorenulls=True).over(before).alias("_carried")
     )
     return (
-        scanned.join(carried, key_bucket, "left")
+        cut.withColumn("_inside", scan(*key_bucket))
+        .join(carried, key_bucket, "left")
         .withColumn(out, F.coalesce("_inside", "_carried"))
         .drop("_bucket", "_inside", "_carried")
     )

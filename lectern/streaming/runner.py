@@ -9,17 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def _finish(query: StreamingQuery, timeout: int) -> StreamingQuery:
-    if not query.awaitTermination(timeout):
+def _finish(query: StreamingQuery, timeout: int | None) -> None:
+    """Wait for the end, without a limit if `timeout` is None; a failed query raises."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
-        raise TimeoutError(f"stream {query.name or query.id} still ran after {timeout} s")
-    if query.exception() is not None:
-        raise query.exception()
-    return query
+        raise TimeoutError(f"stream {query.id} still ran after {timeout} s")
 
 
 def run_append(
-    stream: DataFrame, folder: str, timeout: int = 3600
+    stream: DataFrame, folder: str, timeout: int | None = None
 ) -> tuple[DataFrame, StreamingQuery]:
     """Append finished rows to a table under `folder`; run again, it takes up where it stopped."""
     query = (
@@ -36,7 +36,7 @@ def run_append(
 
 
 def run_update(
-    stream: DataFrame, folder: str, keys: Sequence[str], timeout: int = 3600
+    stream: DataFrame, folder: str, keys: Sequence[str], timeout: int | None = None
 ) -> tuple[DataFrame, StreamingQuery]:
     """Write the rows each batch changes, and read back the latest row per key.
 

@@ -28,7 +28,8 @@ def test_current_state_is_one_hash_aggregate(spark):
     assert "SortAggregate" not in text and "partial_max_by" in text
 
 
-def test_as_of_carries_state_over_empty_buckets(spark):
+@pytest.mark.parametrize("hot_rows", [0, 4, 1000])
+def test_as_of_carries_state_over_empty_buckets(spark, hot_rows):
     log = events(
         spark,
         (1, 7, 10, "read", at(1, 0)),
@@ -49,7 +50,7 @@ def test_as_of_carries_state_over_empty_buckets(spark):
         ],
         "sync_id bigint, account_id bigint, item_id bigint, ts timestamp_ntz",
     )
-    got = {r.sync_id: r.is_read for r in state.state_as_of(log, syncs).collect()}
+    got = {r.sync_id: r.is_read for r in state.state_as_of(log, syncs, hot_rows=hot_rows).collect()}
     assert got == {
         100: False, 101: True, 102: True, 103: False, 104: True, 105: True, 106: False, 107: False
     }
@@ -67,7 +68,7 @@ def test_scans_do_not_depend_on_the_bucket(spark, bucket):
             "ts"
         ),
     )
-    got = state.toggle_history(log, bucket=bucket).orderBy("event_id").collect()
+    got = state.toggle_history(log, bucket=bucket, hot_rows=9).orderBy("event_id").collect()
     before, flips = False, 0
     for event, row in zip(log.orderBy("event_id").collect(), got, strict=True):
         now = event.action == "save"
@@ -76,7 +77,8 @@ def test_scans_do_not_depend_on_the_bucket(spark, bucket):
         before = now
 
 
-def test_toggle_history_by_hand(spark):
+@pytest.mark.parametrize("hot_rows", [0, 2, 1000])
+def test_toggle_history_by_hand(spark, hot_rows):
     log = events(
         spark,
         (1, 7, 10, "save", at(1)),
@@ -86,7 +88,7 @@ def test_toggle_history_by_hand(spark):
         (5, 7, 11, "unsave", at(2)),
         (6, 7, 11, "read", at(3)),
     )
-    got = rows(state.toggle_history(log).drop("ts"))
+    got = rows(state.toggle_history(log, hot_rows=hot_rows).drop("ts"))
     assert got == [
         (1, 7, 10, False, True, 1),
         (2, 7, 10, True, True, 1),
