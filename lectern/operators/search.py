@@ -162,7 +162,7 @@ def search_ranked(
     """The k best items by BM25, items of equal score by id.
 
     `corpus` is the one row of `corpus_figures` or `index_figures`. It and one row
-    with the number of items per term are all that is broadcast. Postings are read
+    with the number of items per term are scalar subqueries. Postings are read
     once: scores and these numbers come from the same shuffle by item.
     """
     wanted = _wanted(terms)
@@ -180,19 +180,19 @@ def search_ranked(
         *[F.count_if(F.col(f"_tf{n}").isNotNull() & (F.col("_length") > 0)).alias(f"_items{n}")
           for n in range(len(wanted))]
     )
-    relative = F.lit(1.0 - b) + F.lit(b) * F.col("_length") / F.col("mean_length")
+    relative = F.lit(1.0 - b) + F.lit(b) * F.col("_length") / F.col("_corpus.mean_length")
 
     def gain(n: int) -> Column:
-        tf, n_items = F.col(f"_tf{n}"), F.col(f"_items{n}")
-        idf = F.log(1.0 + (F.col("items") - n_items + F.lit(0.5)) / (n_items + F.lit(0.5)))
+        tf, n_items = F.col(f"_tf{n}"), F.col(f"_counts._items{n}")
+        idf = F.log(1.0 + (F.col("_corpus.items") - n_items + F.lit(0.5)) / (n_items + F.lit(0.5)))
         return F.coalesce(
             idf * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * relative), F.lit(0.0)
         )
 
     score = reduce(lambda x, y: x + y, [gain(n) for n in range(len(wanted))])
     return (
-        per_item.crossJoin(F.broadcast(with_term))
-        .crossJoin(F.broadcast(corpus))
+        per_item.withColumn("_counts", with_term.select(F.struct(*with_term.columns)).scalar())
+        .withColumn("_corpus", corpus.select(F.struct("items", "mean_length")).scalar())
         .select("item_id", F.round(score, 6).alias("score"))
         .orderBy(F.desc("score"), "item_id")
         .limit(k)
