@@ -19,7 +19,7 @@ def duck(directory: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "NULL"
     if isinstance(value, pd.Timestamp):
         return value.isoformat()
