@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from lectern.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, distinct_words
 from lectern.llm.queries import MIX
+from lectern.llm.secrets import BASE, RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,5 +72,75 @@ SELECT doc_id, domain, language, source, tokens, unnest(range(n))::INT AS epoch,
 FROM taken WHERE n > 0"""
 
 
+LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def secrets_sql() -> str:
+    """Gaps between matches and matches, with running sums of their lengths."""
+    scans = []
+    for rank, rule in enumerate(RULES):
+        p = rule.pattern.replace("'", "''")
+        scans.append(f"""
+    SELECT row, '{rule.kind}' AS kind, {rank} AS rank, len(m[i]) AS size,
+        list_sum(list_transform(gaps[:i], lambda x: len(x)))
+        + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) AS start
+    FROM (SELECT row, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT row, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {rule.group}) AS g,
+            string_split_regex(text, '{p}') AS gaps
+        FROM docs WHERE regexp_matches(text, '{p}')))
+    WHERE len(g[i]) >= {rule.least}""")
+    kinds = ", ".join(
+        f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in BASE
+    )
+    base = ", ".join(f"'{k}'" for k in BASE)
+    span = "kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(scans)}),
+per_row AS (
+    SELECT row, {kinds},
+        sha256(coalesce(string_agg({span}, ',' ORDER BY start, rank) FILTER (kind IN ({base})), '')) AS base_sha256,
+        string_agg({span}, ',' ORDER BY start, rank) AS spans
+    FROM spans GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)},
+    coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per_row USING (row)"""
+
+
+def licenses_sql() -> str:
+    """Phrase places by position in the list of words, and every template against every line."""
+    places = " UNION ALL ".join(
+        f"SELECT row, unnest(list_filter(range(len(w)), lambda i: "
+        + " AND ".join(f"w[i + {k + 1}] IS NOT DISTINCT FROM '{p}'" for k, p in enumerate(phrase.split()))
+        + f")) AS start, '{label}' AS label FROM docs WHERE text LIKE '%{phrase.split()[0]}%'"
+        for phrase, label in PHRASES.items()
+    )
+    part, whole = CONTAINMENT
+    held = " UNION ALL ".join(
+        f"SELECT row, '{label}' AS label, len(list_intersect(words, {distinct_words(t)!r})) / "
+        f"{len(distinct_words(t))}.0::DOUBLE AS held FROM lines "
+        f"WHERE {whole} * len(list_intersect(words, {distinct_words(t)!r})) >= {part * len(distinct_words(t))}"
+        for t, label in TEMPLATES.items()
+    )
+    return f"""
+WITH docs AS (
+    SELECT row, doc_id, text, regexp_extract_all(text, '{LETTERS}') AS w
+    FROM (SELECT row_number() OVER () AS row, doc_id, {FOLDED} AS text FROM documents)
+), lines AS (
+    SELECT row, regexp_extract_all(line, '{LETTERS}') AS words
+    FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)
+), places AS ({places}),
+base AS (
+    SELECT row, count(*) AS n_base, min(start)::BIGINT AS first_word, max(start)::BIGINT AS last_word,
+        list(DISTINCT label) AS labels FROM places GROUP BY row
+), held AS (SELECT row, list(DISTINCT label) AS labels, max(held) AS held FROM ({held}) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+    coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(h.labels, [])))), ','), '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(held, 0.0) END::DOUBLE AS score
+FROM docs d LEFT JOIN base b USING (row) LEFT JOIN held h USING (row)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op10_mix": mix_sql()}
+    return {"op3_secrets": secrets_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql()}

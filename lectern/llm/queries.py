@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, sharding
+from lectern.llm import licenses, mixing, secrets, sharding
 from lectern.llm.common import table
 
 SHARDS = 16
@@ -22,6 +22,27 @@ MIX = mixing.Mix(
 )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark)
+    secrets.update_ledger(docs, ledger)
+    found = secrets.findings_by_path(docs, ledger)
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    joined = lambda spans: F.array_join(
+        F.transform(
+            spans,
+            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(joined(of(*secrets.BASE)).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.contiguous_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -35,6 +56,23 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.array_distinct(F.transform("places", lambda p: p["label"]))
+    has_base = F.size("places") > 0
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, F.col("template_labels"))), ",").alias("labels"),
+        F.when(has_base, 1.0).otherwise(F.col("containment")).alias("score"),
+    )
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mixing.mix_sources(table(spark, sf_dir, "documents"), MIX)
     return kept.select(
@@ -49,4 +87,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_shards, op10_mix)}
+    return {f.__name__: f for f in (op3_secrets, op5_shards, op9_licenses, op10_mix)}
