@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.decontaminate import WINDOW
 from lectern.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, distinct_words
 from lectern.llm.queries import MIX
 from lectern.llm.secrets import BASE, RULES
@@ -142,5 +143,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM docs d LEFT JOIN base b USING (row) LEFT JOIN held h USING (row)"""
 
 
+def passages_sql() -> str:
+    """All runs of words of the documents, as long as some window, joined with the windows."""
+    words = f"regexp_extract_all({FOLDED}, '{LETTERS}') AS w"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {words} FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {words} FROM benchmark),
+sized AS (SELECT item, w, least(len(w), {WINDOW}) AS n FROM items WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item, n, w[i:i + n - 1] AS gram
+    FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+), grams AS (
+    SELECT row, i, n, w[i:i + n - 1] AS gram FROM (
+        SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)
+), hits AS (SELECT row, i, g.n, item FROM grams g JOIN windows v ON g.n = v.n AND g.gram = v.gram),
+covered AS (
+    SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS p FROM hits) GROUP BY row
+), found AS (
+    SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op3_secrets": secrets_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql()}
+    return {
+        "op1_decontaminate": passages_sql(), "op3_secrets": secrets_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql(),
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, mixing, secrets, sharding
+from lectern.llm import decontaminate, licenses, mixing, secrets, sharding
 from lectern.llm.common import table
 
 SHARDS = 16
@@ -22,6 +22,20 @@ MIX = mixing.Mix(
 )
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words()
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = secrets.Ledger(spark)
@@ -87,4 +101,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secrets, op5_shards, op9_licenses, op10_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op5_shards, op9_licenses, op10_mix)}
