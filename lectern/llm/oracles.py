@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from lectern.llm.decontaminate import WINDOW
 from lectern.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, distinct_words
+from lectern.llm.ngram_join import PERCENT
 from lectern.llm.queries import MIX
 from lectern.llm.secrets import BASE, RULES
+from lectern.llm.shingles import WORDS
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -170,7 +172,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)"""
 
 
+def near_duplicates_sql() -> str:
+    """Every pair of documents that share a shingle, then the least id within reach."""
+    words = r"regexp_extract_all(" + FOLDED + ", '" + WORD + "') AS w"
+    return f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, {words} FROM documents),
+shingles AS (
+    SELECT DISTINCT row, w[i:i + {WORDS - 1}] AS s
+    FROM (SELECT row, w, unnest(range(1, greatest(len(w) - {WORDS - 2}, 2))) AS i FROM docs WHERE len(w) > 0)
+), numbered AS (SELECT row, dense_rank() OVER (ORDER BY s) AS s FROM shingles),
+sizes AS (SELECT row, count(*) AS n FROM numbered GROUP BY row),
+pairs AS (
+    SELECT x.row AS a, y.row AS b, count(*) AS shared
+    FROM numbered x JOIN numbered y ON x.s = y.s AND x.row <> y.row GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b
+    WHERE 100 * shared >= {PERCENT} * (x.n + y.n - shared)
+), reach(a, b) AS (
+    SELECT row, row FROM docs
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a AS row, min(doc_id) AS component_id FROM reach JOIN docs ON row = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM docs LEFT JOIN sizes USING (row) JOIN least USING (row)"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
-        "op1_decontaminate": passages_sql(), "op3_secrets": secrets_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql(),
+        "op1_decontaminate": passages_sql(), "op3_secrets": secrets_sql(),
+        "op4_ngram_join": near_duplicates_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql(),
     }

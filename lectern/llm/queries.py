@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, licenses, mixing, secrets, sharding
+from lectern.llm import decontaminate, licenses, mixing, ngram_join, secrets, sharding
 from lectern.llm.common import table
 
 SHARDS = 16
@@ -57,6 +57,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.contiguous_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -101,4 +105,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op5_shards, op9_licenses, op10_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op4_ngram_join, op5_shards, op9_licenses, op10_mix)}
