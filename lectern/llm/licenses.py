@@ -88,8 +88,12 @@ def places_of(words: Column, phrase: str, label: str) -> Column:
 
 def phrase_places(words: Column) -> Column:
     """array<struct<start, label>> of all places of the phrases in an array of words."""
-    found = F.concat(*[places_of(words, phrase, label) for phrase, label in PHRASES.items()])
-    return F.when(F.size(words) > 0, found)
+    # The words are bound to a variable, so that the text is cut once and not per place.
+    found = F.transform(
+        F.filter(F.array(words), lambda ws: F.size(ws) > 0),
+        lambda ws: F.concat(*[places_of(ws, phrase, label) for phrase, label in PHRASES.items()]),
+    )
+    return F.get(found, F.lit(0))
 
 
 def measure(docs: DataFrame, id_column: str, text: str) -> DataFrame:
