@@ -40,7 +40,7 @@ from lectern.llm.shingles import Order, global_order, shingle_sets, signature
 PERCENT = 75
 FRAGMENTS = 4
 LEADERS = 8
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 # Bits of a filter: 16 MB, whatever the corpus.
 BITMAP_BITS = 1 << 27
 # Places of one piece of a bitmap, as Spark's bitmap functions cut it.
@@ -216,14 +216,16 @@ def open_pairs(lists: DataFrame) -> DataFrame:
     return node_pairs(met.where("x.node < y.node AND x.label <> y.label"))
 
 
-def similar_pairs(docs: DataFrame, text: str, order, pairs: DataFrame) -> DataFrame:
-    """The pairs whose partial overlaps add up to the threshold, as edges of signatures."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = spark.sparkContext.broadcast(bitmap_of(ends, "node"))
+def cut_sets(docs: DataFrame, text: str, order, lists: DataFrame) -> DataFrame:
+    """The sets that share some prefix shingle, cut into fragments, each once."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(lists.select("node"), "node"))
     cut = docs.select(text).mapInArrow(fragments(text, order, bits), FRAGMENT)
     # Copies in other partitions.
-    cut = stored(cut, "join-fragments").dropDuplicates(["signature", "fragment"])
+    return stored(cut.dropDuplicates(["signature", "fragment"]), "join-fragments")
+
+
+def similar_pairs(cut: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose partial overlaps add up to the threshold, as edges of signatures."""
     side = lambda name: cut.select(
         F.col("node").alias(name), "fragment", F.struct("signature", "size", "tokens").alias(f"of_{name}")
     )
@@ -253,11 +255,12 @@ def node_of(signature: str) -> str:
 def open_lists(shared: DataFrame, found: DataFrame | None) -> DataFrame:
     """Postings labelled with their component, of shingles that more than one has."""
     if found is None:
-        return shared.withColumn("label", F.hex("node"))
-    labels = found.select(F.expr(node_of("node")).alias("node"), F.hex("component").alias("component"))
-    labelled = shared.join(labels, "node", "left").withColumn(
-        "label", F.coalesce("component", F.hex("node"))
-    ).drop("component")
+        labelled = shared.withColumn("label", F.hex("node"))
+    else:
+        labels = found.select(F.expr(node_of("node")).alias("node"), F.hex("component").alias("component"))
+        labelled = shared.join(labels, "node", "left").withColumn(
+            "label", F.coalesce("component", F.hex("node"))
+        ).drop("component")
     several = (
         labelled.groupBy("token")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -286,14 +289,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     bits = spark.sparkContext.broadcast(bitmap_of(met, "token"))
     shared = stored(docs.select(text).mapInArrow(postings(text, order, bits), POSTING), "join-shared")
-    edges, found = None, None
+    edges, found, cut = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
-        lists = stored(open_lists(shared, found), "join-lists")
-        pairs = leader_pairs(lists, turn) if turn < LEADER_ROUNDS else open_pairs(lists)
-        pairs = stored(pairs, "join-pairs")
-        if pairs.isEmpty():
+        shared = stored(open_lists(shared.drop("label"), found), "join-lists")
+        if shared.isEmpty():
+            break
+        cut = cut_sets(docs, text, order, shared) if cut is None else cut
+        pairs = leader_pairs(shared, turn) if turn < LEADER_ROUNDS else open_pairs(shared)
+        new = stored(similar_pairs(cut, stored(pairs, "join-pairs")), "join-edges")
+        if new.isEmpty():
             continue
-        new = stored(similar_pairs(docs, text, order, pairs), "join-edges")
         edges = new if edges is None else edges.union(new)
         found = components(edges)
     filled = measured.where("n_shingles > 0")
