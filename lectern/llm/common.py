@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import new_folder
+from lectern.session import new_folder, prepare
 
 # White space as the operators mean it: blank, tab, line feed, vertical tab, form feed, return.
-SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 MASK = (1 << 64) - 1
@@ -23,6 +22,15 @@ INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 2 << 20
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The settings that memory and disk of the operators depend on.
+
+    Steps are stored, so no shuffle is read again after the query that made it.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return prepare(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,9 +109,19 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def word_hashes(texts: list[bytes], fold: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and where each text's words begin.
 
-    A word's hash is a polynomial over its bytes, taken from one running sum over the
-    whole chunk, so no word becomes a Python object. The second array has one more
-    entry than there are texts.
+    The second array has one more entry than there are texts.
+    """
+    (hashes,), begins = word_and_prefix_hashes(texts, fold, ())
+    return hashes, begins
+
+
+def word_and_prefix_hashes(
+    texts: list[bytes], fold: bytes, prefixes: tuple[int, ...]
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """As `word_hashes`, with the hashes of the words' first bytes; a shorter word is its own prefix.
+
+    A hash is a polynomial over bytes, taken from one running sum over the whole
+    chunk, so no word becomes a Python object.
     """
     data = np.frombuffer(b" ".join(texts).translate(fold) + b" ", dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -113,8 +131,11 @@ def word_hashes(texts: list[bytes], fold: bytes) -> tuple[np.ndarray, np.ndarray
     up, down = POWERS.to(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    scale, before = down[starts], sums[starts]
+    hashes = []
+    for stops in (ends, *(np.minimum(ends, starts + n) for n in prefixes)):
+        size = (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        hashes.append(mix((sums[stops] - before) * scale + size))
     return hashes, np.searchsorted(starts, first_byte)
 
 
@@ -123,19 +144,3 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.fill_null("").cast(pa.binary()).to_pylist()
-
-
-def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with columns added; one of the same name is replaced."""
-    names = [n for n in batch.schema.names if n not in added]
-    arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-    return pa.RecordBatch.from_arrays([*arrays, *added.values()], names=[*names, *added])
-
-
-def sum_int64(rows: Iterable[bytes]) -> np.ndarray | None:
-    """Sum of equally long arrays held as bytes."""
-    total = None
-    for row in rows:
-        values = np.frombuffer(row, dtype=np.int64)
-        total = values.copy() if total is None else total + values
-    return total

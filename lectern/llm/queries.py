@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, licenses, mixing, ngram_join, secrets, sharding
-from lectern.llm.common import table
+from lectern.llm import decontaminate, licenses, mixing, ngram_join, secrets, sharding, toxicity
+from lectern.llm.common import table, tuned
 
 SHARDS = 16
 
@@ -74,6 +74,17 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "held_out",
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["start"])
@@ -104,5 +115,19 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+QUERIES = (
+    op1_decontaminate,
+    op3_secrets,
+    op4_ngram_join,
+    op5_shards,
+    op8_toxicity,
+    op9_licenses,
+    op10_mix,
+)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op4_ngram_join, op5_shards, op9_licenses, op10_mix)}
+    def tuned_query(query):
+        return lambda spark, sf_dir: query(tuned(spark), sf_dir)
+
+    return {query.__name__: tuned_query(query) for query in QUERIES}
