@@ -61,8 +61,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.contiguous_shards(table(spark, sf_dir, "documents"), SHARDS)
+def shard_columns(placed: DataFrame) -> DataFrame:
     return placed.select(
         "doc_id",
         "size",
@@ -74,6 +73,10 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_columns(sharding.contiguous_shards(table(spark, sf_dir, "documents"), SHARDS))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
