@@ -172,6 +172,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)"""
 
 
+def exact_dedup_sql() -> str:
+    return """
+WITH docs AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS same FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY same) AS keep_id,
+    count(*) OVER (PARTITION BY same)::BIGINT AS group_size,
+    row_number() OVER (PARTITION BY same ORDER BY doc_id NULLS LAST) = 1 AS kept,
+    sha256(same) AS text_sha256
+FROM docs"""
+
+
 def near_duplicates_sql() -> str:
     """Every pair of documents that share a shingle, then the least id within reach."""
     words = r"regexp_extract_all(" + FOLDED + ", '" + WORD + "') AS w"
@@ -199,6 +211,8 @@ FROM docs LEFT JOIN sizes USING (row) JOIN least USING (row)"""
 
 def llm_oracles() -> dict[str, str]:
     return {
-        "op1_decontaminate": passages_sql(), "op3_secrets": secrets_sql(),
+        "op1_decontaminate": passages_sql(),
+        "op2_exact_dedup": exact_dedup_sql(),
+        "op3_secrets": secrets_sql(),
         "op4_ngram_join": near_duplicates_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql(),
     }

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, licenses, mixing, ngram_join, secrets, sharding, toxicity
+from lectern.llm import (
+    decontaminate,
+    exact_dedup,
+    html_blocks,
+    licenses,
+    mixing,
+    ngram_join,
+    quality,
+    secrets,
+    sharding,
+    toxicity,
+)
 from lectern.llm.common import table, tuned
 
 SHARDS = 16
@@ -36,6 +47,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = secrets.Ledger(spark)
@@ -77,6 +92,22 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_columns(sharding.contiguous_shards(table(spark, sf_dir, "documents"), SHARDS))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html_blocks.main_texts(table(spark, sf_dir, "pages"))
+    return extracted.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "held_out",
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -120,9 +151,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_decontaminate,
+    op2_exact_dedup,
     op3_secrets,
     op4_ngram_join,
     op5_shards,
+    op6_main_text,
+    op7_quality,
     op8_toxicity,
     op9_licenses,
     op10_mix,
