@@ -14,8 +14,8 @@ What keeps it in proportion to the input:
   the bitmap is.
 * A shingle's classes are compared with a few leaders first. Classes that are in one
   component then need no comparison, so a large group of near copies costs its size
-  times the leaders, not its square. After the leader rounds, all pairs left across
-  components that pass the filters are counted, so no link between components is lost.
+  times the leaders, not its square. After that, all pairs left across components that
+  pass the filters are counted, so no link between components is lost.
 
 Defined results: a null text or one without words has an empty set, links with nothing
 and is its own component; a null id never names a component that has another id;
@@ -39,8 +39,7 @@ from lectern.llm.shingles import Order, global_order, shingle_sets, signature
 # Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 FRAGMENTS = 4
-LEADERS = 8
-LEADER_ROUNDS = 2
+LEADERS = 16
 # Bits of a filter: 16 MB, whatever the corpus.
 BITMAP_BITS = 1 << 27
 # Places of one piece of a bitmap, as Spark's bitmap functions cut it.
@@ -198,11 +197,10 @@ def node_pairs(met: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Every class of a shingle with up to LEADERS of them, those least under this round's hash."""
-    rank = F.xxhash64("node", F.lit(turn))
-    leaders = lists.groupBy("token", F.pmod(rank, F.lit(LEADERS)).alias("turn")).agg(
-        F.min(F.struct(rank.alias("rank"), "node", "size", "place", "label")).alias("y")
+def leader_pairs(lists: DataFrame) -> DataFrame:
+    """Every class of a shingle with up to LEADERS of them: the least of each part of a hash."""
+    leaders = lists.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(
+        F.min(F.struct("node", "size", "place", "label")).alias("y")
     )
     x = F.struct("node", "size", "place", "label").alias("x")
     met = lists.select("token", x).join(leaders.select("token", "y"), "token")
@@ -216,9 +214,10 @@ def open_pairs(lists: DataFrame) -> DataFrame:
     return node_pairs(met.where("x.node < y.node AND x.label <> y.label"))
 
 
-def cut_sets(docs: DataFrame, text: str, order, lists: DataFrame) -> DataFrame:
-    """The sets that share some prefix shingle, cut into fragments, each once."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(lists.select("node"), "node"))
+def cut_sets(docs: DataFrame, text: str, order, pairs: DataFrame) -> DataFrame:
+    """The sets of candidate pairs, cut into fragments, each once."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(ends, "node"))
     cut = docs.select(text).mapInArrow(fragments(text, order, bits), FRAGMENT)
     # Copies in other partitions.
     return stored(cut.dropDuplicates(["signature", "fragment"]), "join-fragments")
@@ -289,25 +288,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     bits = spark.sparkContext.broadcast(bitmap_of(met, "token"))
     shared = stored(docs.select(text).mapInArrow(postings(text, order, bits), POSTING), "join-shared")
-    edges, found, cut = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        shared = stored(open_lists(shared.drop("label"), found), "join-lists")
-        if shared.isEmpty():
-            break
-        cut = cut_sets(docs, text, order, shared) if cut is None else cut
-        pairs = leader_pairs(shared, turn) if turn < LEADER_ROUNDS else open_pairs(shared)
-        new = stored(similar_pairs(cut, stored(pairs, "join-pairs")), "join-edges")
-        if new.isEmpty():
-            continue
-        edges = new if edges is None else edges.union(new)
-        found = components(edges)
+    shared = stored(open_lists(shared, None), "join-lists")
+    tested = stored(leader_pairs(shared), "join-pairs")
+    edges = stored(similar_pairs(cut_sets(docs, text, order, tested), tested), "join-edges")
+    found = components(edges)
+    rest = open_pairs(open_lists(shared.drop("label"), found)).join(tested, ["a", "b"], "left_anti")
+    rest = stored(rest.select("a", "b"), "join-pairs")
+    if not rest.isEmpty():
+        more = stored(similar_pairs(cut_sets(docs, text, order, rest), rest), "join-edges")
+        found = components(edges.union(more))
     filled = measured.where("n_shingles > 0")
-    if found is not None:
-        filled = filled.join(
-            found.select(F.col("node").alias("signature"), "component"), "signature", "left"
-        ).withColumn("component", F.coalesce("component", "signature"))
-    else:
-        filled = filled.withColumn("component", F.col("signature"))
+    filled = filled.join(
+        found.select(F.col("node").alias("signature"), "component"), "signature", "left"
+    ).withColumn("component", F.coalesce("component", "signature"))
     least = filled.groupBy("component").agg(F.min(id_column).alias("component_id"))
     grouped = filled.join(least, "component").select(id_column, "n_shingles", "component_id")
     alone = measured.where("n_shingles = 0").select(

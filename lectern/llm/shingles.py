@@ -14,7 +14,7 @@ from lectern.llm.common import BASE, BY_SPACE, chunks, mix, text_bytes, word_has
 
 WORDS = 5
 # Counters of the order, and the pieces they travel in. Fixed, whatever the corpus.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 22
 PIECES = 128
 
 
@@ -52,7 +52,7 @@ def count_pieces(text: str):
     """For `mapInArrow`: how many texts of the partition hold shingles of each counter, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
+        counts = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
             for hashes in shingle_sets(text_bytes(batch.column(text))):
                 slots = (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
@@ -71,13 +71,13 @@ def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     piece, total = None, None
     for batch in batches:
         for number, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            values = np.frombuffer(zlib.decompress(packed), dtype=np.int64)
+            values = np.frombuffer(zlib.decompress(packed), dtype=np.int32).astype(np.int64)
             if number == piece:
                 total += values
                 continue
             if piece is not None:
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [total.tobytes()]})
-            piece, total = number, values.copy()
+            piece, total = number, values
     if piece is not None:
         yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [total.tobytes()]})
 
@@ -93,12 +93,11 @@ class Order:
     counts: np.ndarray
 
     def __post_init__(self) -> None:
-        # The mass of all counters with less, and with the same count.
-        values, places = np.unique(self.counts, return_inverse=True)
-        mass = np.bincount(places, weights=self.counts.astype(np.float64))
+        # For each count, the mass of all counters with less, and with the same.
+        self.values, numbers = np.unique(self.counts, return_counts=True)
+        mass = self.values.astype(np.float64) * numbers
         total = max(float(mass.sum()), 1.0)
-        self.below = ((np.cumsum(mass) - mass) / total)[places].astype(np.float32)
-        self.width = (mass / total)[places].astype(np.float32)
+        self.below, self.width = (np.cumsum(mass) - mass) / total, mass / total
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
@@ -108,7 +107,7 @@ class Order:
         return hashes[np.argsort(self.counts[self.slots(hashes)], kind="stable")]
 
     def fragment(self, hashes: np.ndarray, parts: int) -> np.ndarray:
-        at = self.slots(hashes)
+        at = np.searchsorted(self.values, self.counts[self.slots(hashes)])
         within = hashes.astype(np.float64) / 2.0**64
         return np.minimum((parts * (self.below[at] + self.width[at] * within)).astype(np.int64), parts - 1)
 
