@@ -42,11 +42,11 @@ from lectern.llm.common import (
     word_and_prefix_hashes,
 )
 
-TRAIN_ROWS = 4096
-TRAIN_BYTES = 32 << 20
+TRAIN_ROWS = 1536
+TRAIN_BYTES = 8 << 20
 # Taken from every count of contexts. What has no more is left to the levels below: a
 # passage that a few texts share looks like a habit of one class, the more so a pair.
-WORD_DISCOUNT, PAIR_DISCOUNT = 2.0, 4.0
+WORD_DISCOUNT, PAIR_DISCOUNT = 2.0, 8.0
 # Bytes of the beginnings of a word, from its own level down to the shared one.
 STEMS = (6, 5, 4)
 WINDOWS = (1, 4, 16)
@@ -258,10 +258,12 @@ def train_models(toxic: list[bytes], ordinary: list[bytes], continuations: np.nd
             for level, hashes in zip(found, word_and_prefix_hashes(texts[begin:end], BY_LETTER, STEMS)[0], strict=True):
                 level.append(hashes)
     words, first = np.unique(np.concatenate(found[0]), return_index=True)
+    found[0].clear()
     # Each word's place in every level's table.
     levels, place = [words], [np.arange(len(words))]
     for stems in found[1:]:
         table, at = np.unique(np.concatenate(stems)[first], return_inverse=True)
+        stems.clear()
         levels.append(table)
         place.append(at)
     classes = [pairs_of(texts, words) for texts in (toxic, ordinary)]
@@ -333,7 +335,7 @@ def without_copies(texts: list[bytes]) -> list[bytes]:
 
     Near copies would make a phrase of one text look like a common one.
     """
-    bits = np.zeros(1 << 26, dtype=bool)
+    bits = np.zeros(1 << 25, dtype=bool)
     kept = []
     for text in texts:
         (words,), begins = word_and_prefix_hashes([text], BY_LETTER, ())
@@ -366,6 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text:
     rows = sample(docs, labels, label, id_column, text).toArrow()
     texts, label_of = text_bytes(rows["text"]), np.array(rows["label"].to_pylist(), dtype=np.int64)
     fold = np.array(rows["fold"].to_pylist(), dtype=np.int64)
+    del rows
     numbers = (
         labels.where(F.col(label).isin(0, 1) & (crc_mod(id_column, FOLDS) != HELD_OUT))
         .groupBy(F.col(label).cast("int").alias("label"))
