@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
-# Character references that are decoded, `amp` last so that
-# `&amp;lt;` becomes `&lt;` and no further.
-ENTITIES = [
-    ("lt", "<"),
-    ("gt", ">"),
-    ("quot", '"'),
-    ("#39", "'"),
-    ("apos", "'"),
-    ("nbsp", " "),
-    ("copy", "©"),
-    ("middot", "·"),
-    ("amp", "&"),
-]
-# The ones that HTML also reads without their semicolon.
-BARE_ENTITIES = frozenset(["lt", "gt", "quot", "#39", "nbsp", "copy", "middot", "amp"])
+REFERENCE = r"&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?"
+# Names as the standard library has them, with their characters, and the numbers 128 to 159,
+# which pages mean as Windows characters.
+NAMES = {name: char for name, char in html5.items()} | {
+    f"#{n}": bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)
+}
 
 # Tags that end a block of text.
 BLOCK_TAGS = (
@@ -49,19 +43,55 @@ def drop_unseen(html: str | Column) -> Column:
     return F.regexp_replace(_col(html), UNSEEN, " ")
 
 
+def _decoded(reference: Column, names: Column, bare: bool) -> Column:
+    """The character of one reference, or the reference itself if there is none."""
+    body = F.regexp_replace(reference, "^&|;$", "")
+    closed = reference.endswith(";")
+    digits = F.regexp_extract(body, "^#([0-9]+)$", 1)
+    hexadecimal = F.regexp_extract(body, "^#[xX]([0-9A-Fa-f]+)$", 1)
+    code = F.when(digits != "", F.try_to_number(F.right(digits, F.lit(18)), F.lit("9" * 18)).cast("bigint")).when(
+        (hexadecimal != "") & (F.length(hexadecimal) < 15), F.conv(hexadecimal, 16, 10).cast("bigint")
+    )
+    impossible = (code == 0) | (code > 0x10FFFF) | ((code >= 0xD800) & (code <= 0xDFFF)) | (code.isNull())
+    number = F.coalesce(
+        F.try_element_at(names, F.concat(F.lit("#"), code.cast("string"))),
+        F.when(impossible, "\uFFFD").otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        ),
+    )
+    # Only names that HTML also reads without a semicolon are in the table without one.
+    named = F.try_element_at(names, F.when(closed, F.concat(body, F.lit(";"))).otherwise(body))
+    found = F.when(body.startswith("#"), number).otherwise(named)
+    return F.coalesce(found if bare else F.when(closed, found), reference)
+
+
 def decode_entities(text: str | Column, bare: bool = True) -> Column:
-    """With `bare`, also references without their semicolon, as in text but not in attributes."""
-    out = _col(text)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-        if bare and name in BARE_ENTITIES:
-            out = F.replace(out, F.lit(f"&{name}"), F.lit(char))
-    return out
+    """Character references decoded once, from left to right, so that `&amp;lt;` becomes `&lt;`.
+
+    With `bare`, also references without their semicolon, as in text but not in attributes.
+    Text without `&` is left alone.
+    """
+    text = _col(text)
+    names = F.from_json(F.lit(json.dumps(NAMES)), "map<string,string>")
+    parts = F.arrays_zip(
+        F.split(text, REFERENCE, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)).alias("reference"),
+    )
+    decoded = F.array_join(
+        F.transform(
+            parts,
+            lambda p: F.concat(
+                p["gap"], F.coalesce(_decoded(p["reference"], names, bare), F.lit(""))
+            ),
+        ),
+        "",
+    )
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def squeeze(text: str | Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(_col(text), r"[ \t\r\n\f]+", " "))
+    """Runs of white space, also of the kind that doesn't break, as one space; none at the ends."""
+    return F.trim(F.regexp_replace(_col(text), r"[ \t\r\n\f\xA0]+", " "))
 
 
 def plain_text(markup: str | Column) -> Column:
@@ -82,24 +112,30 @@ def without_distractions(html: str | Column) -> Column:
 
 
 def dense_blocks(html: str | Column, min_chars: int = 80, min_density: float = 0.6) -> Column:
-    """Text blocks long enough and with enough text per markup, in page order, one per line."""
+    """Text blocks from the first to the last long and dense one, in page order, one per line.
+
+    Short blocks between them belong to the text.
+    """
     bare = F.regexp_replace(F.regexp_replace(drop_unseen(html), VIDEOS, ""), ADS, "")
     blocks = F.split(bare, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>")
 
     def measured(block: Column) -> Column:
         # Only inline tags are left, which part no words.
         shown = squeeze(F.regexp_replace(block, TAG, ""))
-        return F.struct(shown.alias("shown"), F.length(block).alias("size"))
-
-    def dense(block: Column) -> Column:
-        chars = F.length(block["shown"])
-        return (chars >= min_chars) & (chars >= block["size"] * F.lit(min_density))
+        chars = F.length(shown)
+        dense = (chars >= min_chars) & (chars >= F.length(block) * F.lit(min_density))
+        return F.struct(shown.alias("shown"), dense.alias("dense"))
 
-    def readable(block: Column) -> Column:
-        return squeeze(decode_entities(block["shown"]))
+    def between(all_: Column) -> Column:
+        flags = F.transform(all_, lambda b: b["dense"])
+        first = F.array_position(flags, True)
+        last = F.size(flags) - F.array_position(F.reverse(flags), True) + 1
+        kept = F.slice(all_, F.greatest(first, F.lit(1)), F.when(first > 0, last - first + 1).otherwise(0))
+        kept = F.filter(kept, lambda b: b["shown"] != "")
+        return F.array_join(F.transform(kept, lambda b: squeeze(decode_entities(b["shown"]))), "\n")
 
-    kept = F.filter(F.transform(blocks, measured), dense)
-    return F.array_join(F.transform(kept, readable), "\n")
+    # Bound to a variable, so that blocks are measured once.
+    return F.get(F.transform(F.array(F.transform(blocks, measured)), between), F.lit(0))
 
 
 def escape_html(text: str | Column) -> Column:
@@ -110,9 +146,9 @@ def escape_html(text: str | Column) -> Column:
     return F.replace(out, F.lit('"'), F.lit("&quot;"))
 
 
-def first_line(text: str | Column, max_chars: int = 80) -> Column:
-    """The first line as a title of at most `max_chars` characters."""
-    return F.substring(F.substring_index(_col(text), "\n", 1), 1, max_chars)
+def first_line(text: str | Column) -> Column:
+    """The whole first line, as a title; what shows it may shorten it."""
+    return F.substring_index(_col(text), "\n", 1)
 
 
 def blank_to_null(text: str | Column) -> Column:

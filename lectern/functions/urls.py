@@ -6,8 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from lectern.functions.text import decode_entities
 
-ANCHOR_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-IMAGE_SRC = r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""
+# An attribute follows white space or a quoted value, so that `data-href` is none; its value
+# ends at the quote that opened it, or without quotes at white space.
+ATTRIBUTES_BEFORE = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
+VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR_HREF = rf"""(?is)<a(?=\s){ATTRIBUTES_BEFORE}(?<=[\s"'])href{VALUE}"""
+IMAGE_SRC = rf"""(?is)<img(?=\s){ATTRIBUTES_BEFORE}(?<=[\s"'])src{VALUE}"""
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 
 
@@ -16,9 +20,9 @@ def _col(c: str | Column) -> Column:
 
 
 def host_of(url: str | Column) -> Column:
-    """Host in lower case; null for text that is no absolute URL."""
-    host = F.lower(F.regexp_extract(_col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
-    return F.nullif(host, F.lit(""))
+    """Host in lower case, without user, port and closing dot; null for text that is no absolute URL."""
+    place = F.regexp_extract(_col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]*)", 1)
+    return F.nullif(F.rtrim(F.lower(place), F.lit(".")), F.lit(""))
 
 
 def canonical_url(url: str | Column) -> Column:

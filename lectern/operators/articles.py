@@ -10,22 +10,20 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.functions import text as T
 from lectern.functions.html_part import selected_text
 from lectern.functions.urls import canonical_url, host_of
-from lectern.plans.sizing import broadcast_if_small, fits_broadcast
 
 
-def _with_longest_suffix(
-    df: DataFrame, host: str, patterns: DataFrame, small: bool
-) -> DataFrame:
+def _with_longest_suffix(df: DataFrame, host: str, patterns: DataFrame) -> DataFrame:
     """Left-join the pattern of the longest suffix of `host`.
 
     Patterns of one number of labels can match only the host's last so many
     labels, so each number in use is an equi-join.
     """
-    labelled = patterns.select(
-        F.lower("host_suffix").alias("host_suffix"),
-        "body_pattern",
-        F.size(F.split("host_suffix", r"\.")).alias("_labels"),
-    ).dropDuplicates(["host_suffix"])
+    # Of several patterns for one suffix, the last in text order.
+    labelled = (
+        patterns.groupBy(F.lower("host_suffix").alias("host_suffix"))
+        .agg(F.max("body_pattern").alias("body_pattern"))
+        .withColumn("_labels", F.size(F.split("host_suffix", r"\.")))
+    )
     # At most 127, as a host name has no more labels.
     depths = [r[0] for r in labelled.select("_labels").distinct().collect()]
     depths.sort(reverse=True)
@@ -35,7 +33,7 @@ def _with_longest_suffix(
             F.col("body_pattern").alias(f"_pattern{depth}"),
         )
         df = df.join(
-            F.broadcast(level) if small else level,
+            level,
             F.substring_index(host, ".", -depth) == F.col(f"_suffix{depth}"),
             "left",
         )
@@ -61,17 +59,13 @@ def match_site_pattern(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """Pages with `host` and the most specific pattern for it, null if there is none.
 
     A pattern applies to its host and to hosts below it (`example.net` to
-    `m.example.net`, not to `notexample.net`). Few patterns are broadcast and
-    pages stay where they are; too many for that are matched to the distinct hosts.
+    `m.example.net`, not to `notexample.net`). Patterns are matched to the distinct
+    hosts; only those that have one meet the pages.
     """
     hosted = pages.withColumn("host", host_of("url"))
-    if fits_broadcast(patterns):
-        return _with_longest_suffix(hosted, "host", patterns, small=True)
     hosts = hosted.select("host").distinct()
-    known = _with_longest_suffix(hosts, "host", patterns, small=False)
-    # Often few hosts have a pattern, however many patterns there are.
-    known = known.where(F.col("host_suffix").isNotNull())
-    return hosted.join(broadcast_if_small(known), "host", "left")
+    known = _with_longest_suffix(hosts, "host", patterns).where(F.col("host_suffix").isNotNull())
+    return hosted.join(known, "host", "left")
 
 
 def clean_article(pages: DataFrame) -> DataFrame:
@@ -90,7 +84,10 @@ def clean_article_by_pattern(pages: DataFrame, patterns: DataFrame) -> DataFrame
         "page_id",
         "host_suffix",
         F.when(F.col("body_pattern").isNull(), T.dense_blocks("html"))
-        .otherwise(selected_text("html", "body_pattern"))
+        # Python sees the markup of pages that have a pattern only.
+        .otherwise(
+            selected_text(F.when(F.col("body_pattern").isNotNull(), F.col("html")), "body_pattern")
+        )
         .alias("text"),
     )
 
@@ -127,7 +124,11 @@ def split_comments(pages: DataFrame) -> DataFrame:
 
 def reader_view(pages: DataFrame) -> DataFrame:
     """Text without a site pattern: the long blocks that hold more text than markup."""
-    return pages.select("page_id", T.dense_blocks("html").alias("text"))
+    return with_reader_view(pages).select("page_id", "text")
+
+
+def with_reader_view(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("text", T.dense_blocks("html"))
 
 
 def article_page(items: DataFrame, template: str) -> DataFrame:
@@ -149,14 +150,12 @@ def article_page(items: DataFrame, template: str) -> DataFrame:
     return items.select("item_id", F.concat(*parts).alias("page"))
 
 
-def backfill_titles(items: DataFrame, html: str = "html", max_chars: int = 80) -> DataFrame:
+def backfill_titles(items: DataFrame, html: str = "html") -> DataFrame:
     """Items with missing or blank titles filled: `<title>`, else `<h1>`, else the first text line."""
     def in_markup(pattern):
         return T.blank_to_null(T.plain_text(F.regexp_extract(T.drop_unseen(html), pattern, 1)))
 
-    line = T.blank_to_null(
-        F.substring(F.substring_index(T.dense_blocks(html), "\n", 1), 1, max_chars)
-    )
+    line = T.blank_to_null(T.first_line(T.dense_blocks(html)))
     # Kept as a conditional: the markup is searched only where the title is missing.
     given = T.blank_to_null(T.plain_text("title"))
     return items.withColumn(
@@ -164,17 +163,13 @@ def backfill_titles(items: DataFrame, html: str = "html", max_chars: int = 80) -
     )
 
 
-def extraction_report(
-    pages: DataFrame, clean: DataFrame, tiny: int = 200
-) -> DataFrame:
-    """Per site: pages, shares of empty and tiny extracts, mean and median length.
+def extraction_report(clean: DataFrame, tiny: int = 200) -> DataFrame:
+    """Of pages with `url` and extracted `text`, per site: pages, shares of empty and tiny extracts, mean and median length.
 
     Pages are counted per site and length first; the exact median then works on
     those counts, not on pages.
     """
-    lengths = pages.select("page_id", host_of("url").alias("host")).join(
-        clean.select("page_id", F.length("text").cast("bigint").alias("chars")), "page_id", "left"
-    )
+    lengths = clean.select(host_of("url").alias("host"), F.length("text").cast("bigint").alias("chars"))
     return report_lengths(lengths, tiny)
 
 

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions.dates import day_section, friendly_date
-from lectern.plans.sizing import broadcast_if_small
 
 
 def with_favicons(feeds: DataFrame, favicons: DataFrame, default: str) -> DataFrame:
@@ -31,7 +30,7 @@ def day_buckets(items: DataFrame, as_of: datetime) -> DataFrame:
 
 def alternative_url(items: DataFrame, templates: DataFrame) -> DataFrame:
     """`read_url`: the item's URL handed to its feed's reading service, or the URL itself."""
-    prefixes = broadcast_if_small(templates.select("feed_id", F.col("prefix").alias("_prefix")))
+    prefixes = templates.select("feed_id", F.col("prefix").alias("_prefix"))
     return items.join(prefixes, "feed_id", "left").select(
         *items.columns,
         F.coalesce(F.concat("_prefix", F.url_encode("url")), "url").alias("read_url"),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.functions.text import drop_unseen
 from lectern.functions.urls import ANCHOR_HREF, IMAGE_SRC, absolute_url, canonical_url
-from lectern.plans.sizing import MAX_ROWS
 
 
 def _references(pages: DataFrame, pattern: str) -> DataFrame:
     found = F.regexp_extract_all(drop_unseen("html"), F.lit(pattern), F.lit(1))
+    # Quotes come with the value; they are a pair or there are none.
+    found = F.transform(found, lambda v: F.regexp_replace(v, "^([\"'])(.*)\\1$", "$2"))
     return (
         pages.select(F.col("page_id").alias("item_id"), "url", F.explode(found).alias("_ref"))
         .select("item_id", absolute_url("url", "_ref").alias("url"))
@@ -38,7 +39,6 @@ def hot_links(links: DataFrame, n: int) -> DataFrame:
     ranks = top.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.desc("items"))).cast("bigint")
     )
-    ranks = F.broadcast(ranks) if n <= MAX_ROWS else ranks
     return counted.join(ranks, "items").select("rank", "url", "items")
 
 

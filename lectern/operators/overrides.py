@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.plans.sizing import broadcast_if_small
 
 
 def apply_overrides(items: DataFrame, overrides: DataFrame) -> DataFrame:
     """Items with hand-edited values over the synced ones; null leaves a value as it is."""
     edited = [c for c in overrides.columns if c != "item_id"]
     renamed = overrides.select("item_id", *[F.col(c).alias(f"_{c}") for c in edited])
-    joined = items.join(broadcast_if_small(renamed), "item_id", "left")
+    joined = items.join(renamed, "item_id", "left")
     return joined.select(
         *[F.coalesce(f"_{c}", c).alias(c) if c in edited else F.col(c) for c in items.columns]
     )

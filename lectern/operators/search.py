@@ -20,16 +20,16 @@ def build_index(items: DataFrame) -> DataFrame:
     return _postings(items.select("item_id", tokens("text").alias("_words")), None)
 
 
-def find_postings(items: DataFrame, terms: Sequence[str]) -> DataFrame:
+def find_postings(items: DataFrame, terms: Sequence[str], every: bool = False) -> DataFrame:
     """What the index holds on `terms`, straight from the articles where no index is kept.
 
     Only articles that contain one of them, if only inside a longer word, are cut
-    into words.
+    into words; with `every`, only those that contain all, as is enough for
+    `search_all` and `search_phrase`.
     """
     wanted = _wanted(terms)
-    candidates = items.where(
-        reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t)) for t in wanted])
-    )
+    has = [F.contains(F.lower("text"), F.lit(t)) for t in wanted]
+    candidates = items.where(reduce(lambda a, b: a & b if every else a | b, has))
     return _postings(candidates.select("item_id", tokens("text").alias("_words")), wanted)
 
 
@@ -92,7 +92,8 @@ def index_figures(index: DataFrame) -> DataFrame:
 
 
 def _wanted(terms: Sequence[str]) -> list[str]:
-    return sorted({t.lower() for t in terms})
+    """The words of the terms, cut as texts are cut."""
+    return sorted({word for term in terms for word in phrase_words(term)})
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -115,7 +116,8 @@ def write_index(index: DataFrame, path: str, buckets: int) -> None:
         .parquet(f"{path}/postings")
     )
     stored = read_index(index.sparkSession, path)
-    index_figures(stored).write.mode("overwrite").parquet(f"{path}/figures")
+    figures = index_figures(stored).withColumn("buckets", F.lit(buckets))
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -126,10 +128,11 @@ def read_figures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CORPUS_FIGURES).parquet(f"{path}/figures")
 
 
-def stored_postings(index: DataFrame, terms: Sequence[str], buckets: int) -> DataFrame:
-    """The postings of `terms`, read from their buckets only."""
+def stored_postings(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame:
+    """The postings of `terms`, read from their buckets only, as many as the index was written with."""
     wanted = _wanted(terms)
-    return index.where(
+    buckets = read_figures(spark, path).first()["buckets"]
+    return read_index(spark, path).where(
         F.col("bucket").isin([_bucket(F.lit(t), buckets) for t in wanted])
         & F.col("term").isin(wanted)
     ).drop("bucket")
@@ -193,9 +196,11 @@ def search_ranked(
     return (
         per_item.withColumn("_counts", with_term.select(F.struct(*with_term.columns)).scalar())
         .withColumn("_corpus", corpus.select(F.struct("items", "mean_length")).scalar())
-        .select("item_id", F.round(score, 6).alias("score"))
+        .select("item_id", score.alias("score"))
         .orderBy(F.desc("score"), "item_id")
         .limit(k)
+        # Rounded when shown, after the order is settled.
+        .withColumn("score", F.round("score", 6))
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.plans.ordering import HOT_ROWS, cut_hot_keys, event_order, last_known
+from lectern.plans.ordering import event_order, last_known, time_bucket
 
 KEYS = ["account_id", "item_id"]
 ON = {"is_read": "read", "is_saved": "save"}
@@ -48,12 +48,12 @@ def state_as_of(
     events: DataFrame,
     syncs: DataFrame,
     flag: str = "is_read",
-    bucket: str = "hour",
-    hot_rows: int = HOT_ROWS,
+    bucket: str = "day",
 ) -> DataFrame:
     """For each row of `syncs` (sync_id, account_id, item_id, ts): the flag in force at `ts`.
 
-    An event at the very `ts` counts. False before the first event.
+    An event at the very `ts` counts, and one without a time comes before all others.
+    False before the first event.
     """
     value = switch(flag)
     states = events.where(value.isNotNull()).select(
@@ -63,7 +63,7 @@ def state_as_of(
         *KEYS, "ts", F.col("sync_id").alias("_id"), F.lit(None).cast("boolean").alias("_value")
     )
     merged = last_known(
-        states.unionByName(probes), KEYS, "ts", "_id", "_value", "_known", bucket, hot_rows
+        states.unionByName(probes), KEYS, "ts", "_id", "_value", "_known", bucket
     )
     return merged.where(F.col("_value").isNull()).select(
         F.col("_id").alias("sync_id"),
@@ -133,11 +133,11 @@ def marks_as_events(
 
 
 def toggle_history(
-    events: DataFrame, flag: str = "is_saved", bucket: str = "hour", hot_rows: int = HOT_ROWS
+    events: DataFrame, flag: str = "is_saved", bucket: str = "day"
 ) -> DataFrame:
     """Each switch of `flag` with the state before it and the number of real flips so far.
 
-    Before the first switch an item is unread and unsaved. A hot item is scanned per
+    Before the first switch an item is unread and unsaved. Items are scanned per
     time bucket, so that it is spread over tasks; per bucket only its first and last
     state and its flips are carried on. An event without account, item or time
     switches nothing.
@@ -147,14 +147,9 @@ def toggle_history(
     for name in (*KEYS, "ts", "to_state"):
         switches = switches.where(F.col(name).isNotNull())
 
-    cut = cut_hot_keys(switches, KEYS, "ts", bucket, hot_rows)
-    if cut is None:
-        scanned = _scan_flips(switches, KEYS).withColumns(
-            {"_entry": F.lit(False), "_earlier": F.lit(0)}
-        )
-    else:
-        scanned = _scan_flips(cut, [*KEYS, "_bucket"])
-        scanned = scanned.join(_carry_flips(scanned), [*KEYS, "_bucket"], "left")
+    cut = switches.withColumn("_bucket", time_bucket("ts", bucket))
+    scanned = _scan_flips(cut, [*KEYS, "_bucket"])
+    scanned = scanned.join(_carry_flips(scanned), [*KEYS, "_bucket"], "left")
     # What the first switch of a scan does depends on the state before it.
     entry = F.coalesce("_entry", F.lit(False))
     flips = (

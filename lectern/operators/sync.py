@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.plans.ordering import first_n_per_key
-from lectern.plans.sizing import fits_broadcast
 
 
 def _content_hash(columns: Sequence[str]) -> Column:
@@ -34,23 +33,14 @@ def sync_diff(
 def sync_upsert(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
     """The next snapshot: every remote row, and local rows the remote does not have.
 
-    Remote rows pass straight through; of them only keys are shuffled. Keys are
-    never null.
+    Remote rows pass straight through; of them only keys are shuffled.
     """
     return remote.unionByName(removed_items(local, remote, key).select(*remote.columns))
 
 
 def removed_items(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
-    """Local rows whose key the remote does not have.
-
-    The keys are compared first. If few are gone, as in most syncs, they are
-    broadcast and the local rows with their texts stay where they are.
-    """
-    kept = remote.select(key)
-    gone = local.select(key).join(kept, key, "left_anti")
-    if fits_broadcast(gone):
-        return local.join(F.broadcast(gone), key, "left_semi").select(*local.columns)
-    return local.join(kept, key, "left_anti").select(*local.columns)
+    """Local rows whose key the remote does not have; a row without a key is in no remote."""
+    return local.join(remote.select(key), key, "left_anti").select(*local.columns)
 
 
 def new_since(remote: DataFrame, local: DataFrame, key: str) -> DataFrame:
@@ -73,17 +63,25 @@ def dedupe_items(items: DataFrame, by: str = "text", key: str = "item_id") -> Da
     """One row per content, the lowest key, with the number of copies.
 
     Copies collapse to (digest, lowest key, count) before the shuffle, however
-    many there are of one article; the rows come back by an equi-join on the key.
+    many there are of one article. Most items are alone, so only the few copies and
+    the few counts meet the rows again. Keys are unique.
     """
     digest = F.md5(F.lower(F.col(by)))
     # An item without content is no copy of another one.
     content = F.coalesce(digest, F.concat(F.lit("#"), F.col(key).cast("string")))
-    firsts = (
-        items.groupBy(content.alias("_content"))
-        .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
-        .drop("_content")
+    keyed = items.select(key, content.alias("_content"))
+    groups = (
+        keyed.groupBy("_content")
+        .agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("copies"))
+        .where("copies > 1")
+    )
+    losers = keyed.join(groups, "_content").where(F.col(key) != F.col("_first")).select(key)
+    counted = groups.select(F.col("_first").alias(key), "copies")
+    return (
+        items.join(losers, key, "left_anti")
+        .join(counted, key, "left")
+        .withColumn("copies", F.coalesce("copies", F.lit(1)).cast("bigint"))
     )
-    return items.join(firsts, key)
 
 
 def union_accounts(copies: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:

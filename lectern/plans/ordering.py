@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.plans.sizing import broadcast_if_small
-
-# Spark drops rows that cannot be among the first n of their key before the
-# shuffle while n is at most this (spark.sql.optimizer.windowGroupLimitThreshold).
-PRUNED_BEFORE_SHUFFLE = 1000
 SALTS = 64
-# Rows of one key that a single task sorts and scans without trouble.
-HOT_ROWS = 1_000_000
+# Stands for a missing time: before all others.
+OLDEST = datetime(1, 1, 1)
 
 
 def event_order(ts: str | Column, event_id: str | Column) -> Column:
@@ -24,30 +21,15 @@ def event_order(ts: str | Column, event_id: str | Column) -> Column:
     """
     ts = F.col(ts) if isinstance(ts, str) else ts
     event_id = F.col(event_id) if isinstance(event_id, str) else event_id
-    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(38,0)")
+    # A missing time counts as the oldest.
+    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(-(2**62))).cast("decimal(38,0)")
     # 10^19 exceeds any bigint, so ids never spill into the time part.
     return micros * F.expr("10000000000000000000BD") + event_id.cast("decimal(20,0)")
 
 
-def cut_hot_keys(
-    df: DataFrame, keys: Sequence[str], ts: str, bucket: str, hot_rows: int
-) -> DataFrame | None:
-    """`df` with `_bucket`, the time bucket of rows whose key has more than `hot_rows` rows.
-
-    It is null for other keys, which one task each can scan. None if no key is hot,
-    so that ordinary data gets a plain window. Rows per key are counted before the
-    shuffle, and there can be no more hot keys than rows / `hot_rows`.
-    """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    if hot.isEmpty():
-        return None
-    marked = df.join(broadcast_if_small(hot), list(keys), "left")
-    return marked.withColumn("_bucket", F.when(F.col("_hot"), F.date_trunc(bucket, ts))).drop("_hot")
+def time_bucket(ts: str, bucket: str) -> Column:
+    """The bucket of a time; rows without a time come before all others, in one of their own."""
+    return F.coalesce(F.date_trunc(bucket, ts).cast("timestamp_ntz"), F.lit(OLDEST).cast("timestamp_ntz"))
 
 
 def last_known(
@@ -57,46 +39,39 @@ def last_known(
     event_id: str,
     value: str,
     out: str,
-    bucket: str = "hour",
-    hot_rows: int = HOT_ROWS,
+    bucket: str = "day",
 ) -> DataFrame:
     """Add `out`: the latest non-null `value` of the same keys up to and with this row.
 
     Rows are ordered by `ts`, then `event_id`; at the same `ts` rows that bring a
-    value go first. A hot key is scanned in time buckets that run as separate
-    tasks; only the closing value of each bucket is carried from bucket to bucket.
+    value go first, and rows without a time come first of all. Keys are scanned in
+    time buckets that run as separate tasks, so no task holds the whole of a hot
+    key; only the closing value of each bucket is carried from bucket to bucket.
     """
     sequence = [F.col(ts), F.col(value).isNull(), F.col(event_id)]
-
-    def scan(*partition: str) -> Column:
-        window = Window.partitionBy(*partition).orderBy(*sequence)
-        return F.last(value, ignorenulls=True).over(
-            window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-
-    cut = cut_hot_keys(df, keys, ts, bucket, hot_rows)
-    if cut is None:
-        return df.withColumn(out, scan(*keys))
+    cut = df.withColumn("_bucket", time_bucket(ts, bucket))
     key_bucket = [*keys, "_bucket"]
-    order = F.when(F.col(value).isNotNull(), event_order(ts, event_id))
-    closing = (
-        cut.where(F.col("_bucket").isNotNull())
-        .groupBy(*key_bucket)
-        .agg(F.max_by(value, order).alias("_closing"))
+    inside = Window.partitionBy(*key_bucket).orderBy(*sequence).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    order = F.when(F.col(value).isNotNull(), event_order(ts, event_id))
+    closing = cut.groupBy(*key_bucket).agg(F.max_by(value, order).alias("_closing"))
     before = (
         Window.partitionBy(*keys)
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = closing.select(
-        *key_bucket, F.last("_closing", ignorenulls=True).over(before).alias("_carried")
+        *[F.col(k).alias(f"_of_{k}") for k in key_bucket],
+        F.last("_closing", ignorenulls=True).over(before).alias("_carried"),
     )
+    # Rows without a key are one key of their own here as well.
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key_bucket])
     return (
-        cut.withColumn("_inside", scan(*key_bucket))
-        .join(carried, key_bucket, "left")
+        cut.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
+        .join(carried, same, "left")
         .withColumn(out, F.coalesce("_inside", "_carried"))
-        .drop("_bucket", "_inside", "_carried")
+        .select(*df.columns, out)
     )
 
 
@@ -104,7 +79,9 @@ def first_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "position"
 ) -> DataFrame:
     """The first n rows of each key in `order`, numbered from 1 in column `rank`."""
-    if n > PRUNED_BEFORE_SHUFFLE:
+    # Up to this n Spark itself drops rows that can't be among the first before it shuffles.
+    pruned = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > pruned:
         salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))

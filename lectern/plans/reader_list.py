@@ -12,7 +12,6 @@ from lectern.operators.counts import with_flags
 from lectern.operators.display import with_favicons
 from lectern.operators.listings import group_feeds
 from lectern.operators.state import account_state
-from lectern.plans.sizing import broadcast_if_small
 
 
 def reader_list(
@@ -30,7 +29,7 @@ def reader_list(
 
     Items meet the account's flags once, as narrow rows by item id, which no feed
     can skew. Groups, feeds and icons are joined to each other first, so items
-    meet them in a single join, broadcast if the result measures small.
+    meet them in a single join.
     """
     places = group_feeds(groups, feed_groups, feeds).join(
         with_favicons(feeds.select("feed_id"), favicons, default_icon), "feed_id"
@@ -43,7 +42,7 @@ def reader_list(
         "created_at",
     )
     unread = with_flags(narrow, account_state(events, account)).where(~F.col("is_read"))
-    return unread.join(broadcast_if_small(places), "feed_id").select(
+    return unread.join(places, "feed_id").select(
         "group_id",
         "group_title",
         "feed_id",

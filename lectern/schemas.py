@@ -43,5 +43,5 @@ STORED_POSTINGS = _struct(
     item_length=LongType(),
     bucket=IntegerType(),
 )
-CORPUS_FIGURES = _struct(items=LongType(), mean_length=DoubleType())
+CORPUS_FIGURES = _struct(items=LongType(), mean_length=DoubleType(), buckets=IntegerType())
 VERSIONS = _struct(version=LongType())

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lectern.functions.text import first_line
 from lectern.functions.urls import host_of
 from lectern.schemas import EVENT_PROPS
-from lectern.session import new_folder
 from lectern.sources.ingest import ingest_snapshot
 from lectern.sources.tables import load_tables
 
@@ -84,17 +83,13 @@ class ReaderTables:
 
     @cached_property
     def feeds(self) -> DataFrame:
-        """Written once, so that the tables derived from it do not each read all documents again."""
         number = F.regexp_extract("source", "([0-9]+)", 1)
-        found = self.source["documents"].select("source").distinct().select(
+        return self.source["documents"].select("source").distinct().select(
             F.col("source").alias("feed_id"),
             number.cast("bigint").alias("feed_no"),
             F.concat(F.lit("Feed "), number).alias("title"),
             F.concat("source", F.lit(".example.com")).alias("host"),
         )
-        path = new_folder(self.spark, "feeds")
-        found.write.parquet(path)
-        return self.spark.read.schema(found.schema).parquet(path)
 
     @cached_property
     def groups(self) -> DataFrame:

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from lectern.operators.state import KEYS, OFF, ON, flag_aggregates
-from lectern.plans.sizing import broadcast_if_small
 
 
 def stream_items(
-    spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64
 ) -> DataFrame:
     """A stream of the rows of Parquet files as they land at `path` (a directory or glob)."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
@@ -24,13 +21,17 @@ def with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_dedupe(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Each event once, however often it is sent again within `delay`."""
-    return (
-        with_event_time(events)
-        .withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["event_id"])
-    )
+def stream_dedupe(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each event once, however late and however often it is sent again.
+
+    The state is one key per event, held on disk. With `delay` it forgets keys, and
+    events later than that behind the newest one seen are dropped, which
+    `dropped_late` counts; without it none is, in whatever files and order they come.
+    """
+    timed = with_event_time(events)
+    if delay is None:
+        return timed.dropDuplicates(["event_id"])
+    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def stream_state(events: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def stream_state(events: DataFrame) -> DataFrame:
 
 
 def stream_counts(
-    events: DataFrame, width: str = "6 hours", delay: str = "2 days"
+    events: DataFrame, width: str = "6 hours", delay: str | None = None
 ) -> DataFrame:
     """Reads and saves per time window, from events that may be sent again."""
     return (
@@ -72,7 +73,7 @@ def stream_enriched(
     known = feeds.select("feed_id", F.col("title").alias("feed_title")).join(
         icons, "feed_id", "left"
     )
-    return items.join(broadcast_if_small(known), "feed_id", "left").select(
+    return items.join(known, "feed_id", "left").select(
         "item_id",
         "feed_id",
         "feed_title",

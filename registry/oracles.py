@@ -9,7 +9,7 @@ from __future__ import annotations
 TABLES = r"""
 WITH items AS (
   SELECT doc_id AS item_id, source AS feed_id, lang,
-         substr(split_part(text, chr(10), 1), 1, 80) AS title,
+         split_part(text, chr(10), 1) AS title,
          'https://' || source || '.example.com/' || lang || '/' || doc_id AS url,
          text,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INT)) AS created_at
@@ -122,12 +122,19 @@ def _inside(tag: str, html: str = "html", greedy: bool = True) -> str:
 
 
 def _blocks(html: str = "html") -> str:
+    """From the first long and dense block to the last one, all that have text."""
     bare = _drop(_drop(html, UNSEEN, by=" "), VIDEOS, ADS)
     shown = _squeeze("regexp_replace(b, '<[^>]*>', '', 'g')")
+    measured = (
+        f"list_transform(string_split_regex({bare}, '{BLOCKS}'), lambda b: {{'s': {shown}, "
+        f"'d': length({shown}) >= 80 AND length({shown}) >= length(b) * 0.6}})"
+    )
+    flags = "list_transform(m, lambda x: x.d)"
     return (
-        f"array_to_string(list_transform(list_filter(string_split_regex({bare}, '{BLOCKS}'), "
-        f"lambda b: length({shown}) >= 80 AND length({shown}) >= length(b) * 0.6), "
-        f"lambda b: {_plain('b', by='')}), chr(10))"
+        f"list_transform([{measured}], lambda m: CASE WHEN list_contains({flags}, true) THEN "
+        f"array_to_string(list_transform(list_filter(m[list_position({flags}, true):"
+        f"len(m) - list_position(list_reverse({flags}), true) + 1], lambda x: x.s <> ''), "
+        f"lambda x: {_plain('x.s', by='')}), chr(10)) ELSE '' END)[1]"
     )
 
 
@@ -232,7 +239,13 @@ FLAGS_AFTER = """
 
 QUERIES = {
     # Sources, sinks, catalog
-    "load_tables": "SELECT item_id, feed_id, lang, title, url, created_at FROM items",
+    "load_tables": """
+        SELECT 'documents' AS table_name, doc_id AS id,
+               md5(text || '|' || lang || '|' || source || '|' || n_chars) AS digest FROM documents
+        UNION ALL SELECT 'pages', page_id, md5(url || '|' || html) FROM pages
+        UNION ALL SELECT 'events', event_id, md5(user_id || '|' || event_type || '|' || props)
+        FROM events
+        UNION ALL SELECT 'labels', doc_id, md5(quality || '|' || toxic) FROM labels""",
     "ingest_snapshot": "SELECT event_id, account_id, item_id, action, ts FROM state_events",
     "ingest_nested": """
         SELECT item_id, feed_id, lang, title, lang || ',' || feed_id AS tags
@@ -422,6 +435,9 @@ QUERIES = {
           SELECT dense_rank() OVER (ORDER BY items DESC) AS rank, url, items FROM (
             SELECT url, count(DISTINCT item_id) AS items FROM {LINKS}
             WHERE url IS NOT NULL GROUP BY url)) WHERE rank <= 3""",
+    "hot_links_estimate": f"""
+        SELECT url, count(DISTINCT item_id) AS items, true AS near FROM {LINKS}
+        WHERE url IS NOT NULL GROUP BY url""",
     "image_manifest": f"""
         SELECT DISTINCT url, page_id AS item_id, md5(url) AS cache_key FROM (
           SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/i/' || (page_id % 40)
@@ -471,7 +487,8 @@ QUERIES = {
     "search_phrase": PHRASE_HITS,
     "search_stored_index": RANKED,
     # Streams
-    "stream_items": "SELECT item_id, feed_id, lang, title, url, created_at FROM items",
+    "stream_items": """
+        SELECT item_id, feed_id, lang, title, url, md5(text) AS text_md5, created_at FROM items""",
     "stream_dedupe": "SELECT event_id, account_id, item_id, action, ts FROM state_events",
     "stream_state": FLAGS_AFTER.format(log="state_events"),
     "stream_counts": f"{WINDOWS} FROM state_events GROUP BY window_start",

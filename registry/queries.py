@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern import schemas
+from lectern.functions.urls import canonical_url
 from lectern.operators import (
     articles,
     counts,
@@ -37,6 +38,8 @@ PHRASE = "of the"
 INDEX_BUCKETS = 16
 MARK_TIME = datetime(2024, 2, 1)
 LATE_ID = 1_000_000_000_000
+LANDED_FILES = 3
+LATE_DELAY = "2 days"
 
 
 def _account(r: ReaderTables) -> DataFrame:
@@ -47,7 +50,22 @@ def _account(r: ReaderTables) -> DataFrame:
 
 
 def q_load_tables(r: ReaderTables) -> DataFrame:
-    return r.items.select("item_id", "feed_id", "lang", "title", "url", "created_at")
+    """Every row of all four tables, their long columns as digests."""
+
+    def shown(table: str, key: str, *values: str) -> DataFrame:
+        parts = [F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values]
+        return r.source[table].select(
+            F.lit(table).alias("table_name"),
+            F.col(key).cast("bigint").alias("id"),
+            F.md5(F.concat_ws("|", *parts)).alias("digest"),
+        )
+
+    return (
+        shown("documents", "doc_id", "text", "lang", "source", "n_chars")
+        .unionByName(shown("pages", "page_id", "url", "html"))
+        .unionByName(shown("events", "event_id", "user_id", "event_type", "props"))
+        .unionByName(shown("labels", "doc_id", "quality", "toxic"))
+    )
 
 
 def q_ingest_snapshot(r: ReaderTables) -> DataFrame:
@@ -333,7 +351,7 @@ def q_backfill_titles(r: ReaderTables) -> DataFrame:
 
 def q_extraction_report(r: ReaderTables) -> DataFrame:
     """The dense-block reading of every page, per site."""
-    return articles.extraction_report(r.pages, articles.reader_view(r.pages))
+    return articles.extraction_report(articles.with_reader_view(r.pages))
 
 
 def q_canonical_url(r: ReaderTables) -> DataFrame:
@@ -349,7 +367,18 @@ def q_hot_links(r: ReaderTables) -> DataFrame:
 
 
 def q_hot_links_estimate(r: ReaderTables) -> DataFrame:
-    return links.hot_links_estimate(links.extract_links(r.pages))
+    """The exact number beside the estimate's being near it: within three deviations."""
+    found = links.extract_links(r.pages)
+    estimate = links.hot_links_estimate(found, 0.02).withColumnRenamed("items", "estimate")
+    exact = (
+        found.select("item_id", F.expr("url"))
+        .withColumn("url", canonical_url("url"))
+        .distinct()
+        .groupBy("url")
+        .agg(F.count(F.lit(1)).alias("items"))
+    )
+    near = F.abs(F.col("estimate") - F.col("items")) <= F.greatest(0.06 * F.col("items"), F.lit(1.0))
+    return exact.join(estimate, "url").select("url", "items", near.alias("near"))
 
 
 def q_image_manifest(r: ReaderTables) -> DataFrame:
@@ -419,7 +448,7 @@ def q_build_index(r: ReaderTables) -> DataFrame:
 
 
 def q_search_all(r: ReaderTables) -> DataFrame:
-    return search.search_all(search.find_postings(r.items, SEARCH_TERMS), SEARCH_TERMS)
+    return search.search_all(search.find_postings(r.items, SEARCH_TERMS, every=True), SEARCH_TERMS)
 
 
 def q_search_ranked(r: ReaderTables) -> DataFrame:
@@ -429,7 +458,7 @@ def q_search_ranked(r: ReaderTables) -> DataFrame:
 
 def q_search_phrase(r: ReaderTables) -> DataFrame:
     return search.search_phrase(
-        search.find_postings(r.items, search.phrase_words(PHRASE)), PHRASE
+        search.find_postings(r.items, search.phrase_words(PHRASE), every=True), PHRASE
     )
 
 
@@ -437,9 +466,7 @@ def q_search_stored_index(r: ReaderTables) -> DataFrame:
     """The ranked search, from an index written as a table."""
     path = new_folder(r.spark, "index")
     search.write_index(search.build_index(r.items), path, INDEX_BUCKETS)
-    postings = search.stored_postings(
-        search.read_index(r.spark, path), SEARCH_TERMS, INDEX_BUCKETS
-    )
+    postings = search.stored_postings(r.spark, path, SEARCH_TERMS)
     figures = search.read_figures(r.spark, path)
     return search.search_ranked(postings, figures, SEARCH_TERMS, 20)
 
@@ -448,22 +475,34 @@ def q_search_stored_index(r: ReaderTables) -> DataFrame:
 
 
 def _landed(r: ReaderTables, table: str) -> DataFrame:
-    # A glob, since a file stream takes no single file as its path.
-    path = f"{r.directory}/{table[:-1]}[{table[-1]}].parquet"
-    return streams.stream_items(r.spark, path, schemas.SOURCE_TABLES[table])
+    """The table as it lands in several files, taken up one file per batch."""
+    schema = schemas.SOURCE_TABLES[table]
+    path = new_folder(r.spark, f"landed-{table}")
+    whole = r.spark.read.schema(schema).parquet(f"{r.directory}/{table}.parquet")
+    whole.repartition(LANDED_FILES).write.parquet(path)
+    return streams.stream_items(r.spark, path, schema, files_per_batch=1)
 
 
 def _event_stream(r: ReaderTables) -> DataFrame:
     return model.state_events(_landed(r, "events"))
 
 
+def _whole_event_stream(r: ReaderTables) -> DataFrame:
+    """The log in one file: what is late must not depend on how it was cut."""
+    path = new_folder(r.spark, "landed-log")
+    r.source["events"].coalesce(1).write.parquet(path)
+    schema = schemas.SOURCE_TABLES["events"]
+    return model.state_events(streams.stream_items(r.spark, path, schema, files_per_batch=1))
+
+
 def _sent_twice(r: ReaderTables) -> DataFrame:
     return _event_stream(r).unionByName(_event_stream(r))
 
 
 def q_stream_items(r: ReaderTables) -> DataFrame:
-    arriving = model.items(_landed(r, "documents")).drop("text")
-    return runner.run_append(arriving, new_folder(r.spark, "items"))[0]
+    arriving = model.items(_landed(r, "documents"))
+    stored = runner.run_append(arriving, new_folder(r.spark, "items"))[0]
+    return stored.withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
 
 
 def q_stream_dedupe(r: ReaderTables) -> DataFrame:
@@ -487,12 +526,13 @@ def q_stream_late(r: ReaderTables) -> DataFrame:
     """The whole log, then the whole log again under new ids: most of it is too late by then."""
     folder = new_folder(r.spark, "late")
     landing = f"{folder}/landing"
+    first = _whole_event_stream(r)
     late = r.state_events.withColumn("event_id", F.col("event_id") + LATE_ID)
     r.spark.createDataFrame([], late.schema).write.parquet(landing)
 
     def run():
         resent = streams.stream_items(r.spark, landing, late.schema)
-        windows = streams.stream_counts(_event_stream(r).unionByName(resent))
+        windows = streams.stream_counts(first.unionByName(resent), delay=LATE_DELAY)
         return runner.run_update(windows, folder, ["window_start"])
 
     run()

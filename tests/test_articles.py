@@ -36,7 +36,7 @@ def test_clean_article_cases(spark):
 
 def test_nested_elements_are_balanced():
     html = "<article>outer <article>inner</article> tail</article> after <article>second</article>"
-    assert html_part.part_text(html, "article") == "outer inner tail"
+    assert html_part.part_text(html, "article") == "outer inner tail second"
 
 
 @pytest.mark.parametrize(
@@ -76,9 +76,7 @@ HOSTS = [
 PATTERNS = [("example.net", "article"), ("blog.example.net", "h1"), ("quiet.example.net", None)]
 
 
-@pytest.mark.parametrize("fits", [True, False])
-def test_most_specific_pattern_by_either_way(spark, monkeypatch, fits):
-    monkeypatch.setattr(articles, "fits_broadcast", lambda df: fits)
+def test_the_most_specific_pattern_holds(spark):
     df = spark.createDataFrame(
         [*HOSTS, (7, "https://quiet.example.net/")], "page_id bigint, url string"
     )
@@ -103,12 +101,43 @@ def test_no_patterns_at_all(spark):
     assert got.where("body_pattern is not null or host_suffix is not null").count() == 0
 
 
-def test_matching_few_patterns_moves_no_page(spark):
-    df = pages(spark, "<p>x</p>")
+def test_of_two_patterns_for_a_host_the_last_in_text_order_holds(spark):
+    df = spark.createDataFrame([(0, "https://me:pw@WWW.example.com./x")], "page_id bigint, url string")
+    twice = [("example.com", "b"), ("example.com", "a"), ("other.org", "c")]
+    patterns = spark.createDataFrame(twice, "host_suffix string, body_pattern string")
+    got = articles.match_site_pattern(df, patterns).select("host", "body_pattern")
+    assert rows(got) == [("www.example.com", "b")]
+
+
+def test_python_sees_only_pages_with_a_pattern(spark):
     patterns = spark.createDataFrame(PATTERNS, "host_suffix string, body_pattern string")
-    joined = articles.match_site_pattern(df, patterns)
-    text = plan(joined)
-    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
+    text = plan(articles.clean_article_by_pattern(pages(spark, "<p>x</p>"), patterns))
+    assert "CASE WHEN isnotnull(body_pattern" in text
+
+
+def test_all_chosen_parts_and_implied_ends():
+    from lectern.functions.html_part import part_text
+
+    assert part_text('<p class="post">one</p>x<p class="post">two</p>', ".post") == "one two"
+    assert part_text("<p class='b'>first<p>second<div>foot</div>", "p.b") == "first"
+
+
+def test_references_are_decoded_once(spark):
+    cases = {
+        "AT&amp;amp;T": "AT&amp;T",
+        "it&#8217;s &mdash; caf&eacute;": "it\u2019s \u2014 caf\u00e9",
+        "&#391; &#x41; &#128; &#0; &lt &nosuch; &": "\u0187 A \u20ac \ufffd < &nosuch; &",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, expected string")
+    assert df.where(T.decode_entities("t") != F.col("expected")).count() == 0
+
+
+def test_links_in_any_quotes(spark):
+    html = """<a href="/o'neil/story">1</a><a data-href="/track" href="/real">2</a><a href=/bare>3</a>"""
+    site = "https://www.site.org"
+    assert sorted(r.url for r in links.extract_links(pages(spark, html)).collect()) == [
+        f"{site}/bare", f"{site}/o'neil/story", f"{site}/real"
+    ]
 
 
 def test_pages_without_pattern_use_dense_blocks(spark):
@@ -139,14 +168,13 @@ def test_comments_are_split_off(spark):
     ]
 
 
-def test_reader_view_keeps_dense_blocks_only(spark):
-    crowded = "<a href='/a-long-address-that-outweighs-its-text'>link</a> " * 20
+def test_reader_view_keeps_what_stands_between_dense_blocks(spark):
     df = pages(
         spark,
-        f"<div class=\"ad\">{LONG}</div><p>{LONG}</p><p>short</p><p>{crowded}</p>"
-        f"<li>{LONG} &amp; so on",
+        f"<div class=\"ad\">{LONG}</div><p>{LONG}</p><p>short</p>"
+        f"<li>{LONG} &amp; so on<li>menu",
     )
-    assert value(articles.reader_view(df), "text") == [f"{LONG}\n{LONG} & so on"]
+    assert value(articles.reader_view(df), "text") == [f"{LONG}\nshort\n{LONG} & so on"]
 
 
 def test_article_page_fills_each_value_once_and_escaped(spark):
@@ -177,14 +205,16 @@ def test_missing_titles_are_filled(spark):
         "item_id bigint, title string, html string",
     )
     assert value(articles.backfill_titles(df), "title") == [
-        "From & title", "From heading", LONG[:80], "Kept & decoded", None
+        "From & title", "From heading", LONG, "Kept & decoded", None
     ]
 
 
 def test_extraction_report(spark):
     df = pages(spark, "a", "b", "c", "d")
-    clean = spark.createDataFrame([(0, ""), (1, "x" * 100), (2, "x" * 300)], "page_id bigint, text string")
-    got = rows(articles.extraction_report(df, clean))
+    clean = spark.createDataFrame(
+        [(0, ""), (1, "x" * 100), (2, "x" * 300), (3, None)], "page_id bigint, text string"
+    )
+    got = rows(articles.extraction_report(df.join(clean, "page_id")))
     assert got == [("www.site.org", 4, 0.5, 0.75, 100.0, 50.0)]
 
 

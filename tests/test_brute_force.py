@@ -28,8 +28,8 @@ def flag_at(log, account, item, on, off, when=None):
     return bool(past) and max(past, key=lambda e: (e[4], e[0]))[3] == on
 
 
-@pytest.mark.parametrize("seed, hot_rows", [(1, 0), (2, 25), (1, 1000)])
-def test_state(spark, seed, hot_rows):
+@pytest.mark.parametrize("seed, bucket", [(1, "hour"), (2, "day"), (1, "minute")])
+def test_state(spark, seed, bucket):
     log = random_log(seed)
     df = events(spark, *log)
     expected = {
@@ -39,7 +39,7 @@ def test_state(spark, seed, hot_rows):
     assert {(r[0], r[1]): (r[2], r[3]) for r in state.current_state(df).collect()} == expected
 
     opened = df.where("action = 'open'").withColumnRenamed("event_id", "sync_id")
-    got = {r.sync_id: r.is_read for r in state.state_as_of(df, opened, hot_rows=hot_rows).collect()}
+    got = {r.sync_id: r.is_read for r in state.state_as_of(df, opened, bucket=bucket).collect()}
     assert got == {
         e[0]: flag_at(log, e[1], e[2], "read", "unread", e[4]) for e in log if e[3] == "open"
     }
@@ -51,7 +51,7 @@ def test_state(spark, seed, hot_rows):
             now = e[3] == "save"
             flips[e[1:3]] = (now, n + (now != before))
     last = {}
-    history = state.toggle_history(df, hot_rows=hot_rows).collect()
+    history = state.toggle_history(df, bucket=bucket).collect()
     for r in sorted(history, key=lambda r: (r.ts, r.event_id)):
         last[r.account_id, r.item_id] = (r.to_state, r.flips)
     assert last == flips

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from helpers import at, plan, rows
 from lectern.operators import counts, display, listings, overrides
-from lectern.plans import ordering, sizing
 
 
 @pytest.fixture(scope="module")
@@ -93,7 +92,7 @@ def test_long_listings_are_cut_per_salt_first(spark):
         F.lit("t").alias("title"),
         F.lit(at(1)).cast("timestamp_ntz").alias("created_at"),
     )
-    n = ordering.PRUNED_BEFORE_SHUFFLE + 200
+    n = 1200
     df = listings.item_listing(items, n)
     assert "_salt" in plan(df)
     got = df.collect()
@@ -161,15 +160,3 @@ def test_friendly_dates_and_sections(spark):
     assert rows(display.day_buckets(df, now)) == [
         ("Older", 2), ("This week", 1), ("Today", 5), ("Upcoming", 1), ("Yesterday", 1)
     ]
-
-
-def test_broadcast_only_after_measuring(spark):
-    small = spark.range(10)
-    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("s"))
-    assert sizing.fits_broadcast(small)
-    assert not sizing.fits_broadcast(small, max_rows=9)
-    assert not sizing.fits_broadcast(wide, max_bytes=5000)
-    nested = wide.select(F.array("s", "s").alias("a"))
-    assert not sizing.fits_broadcast(nested, max_bytes=15000)
-    assert sizing.fits_broadcast(nested, max_bytes=25000)
-    assert sizing.broadcast_if_small(small, max_rows=9) is small

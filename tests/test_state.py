@@ -28,8 +28,8 @@ def test_current_state_is_one_hash_aggregate(spark):
     assert "SortAggregate" not in text and "partial_max_by" in text
 
 
-@pytest.mark.parametrize("hot_rows", [0, 4, 1000])
-def test_as_of_carries_state_over_empty_buckets(spark, hot_rows):
+@pytest.mark.parametrize("bucket", ["hour", "day", "year"])
+def test_as_of_carries_state_over_empty_buckets(spark, bucket):
     log = events(
         spark,
         (1, 7, 10, "read", at(1, 0)),
@@ -50,7 +50,7 @@ def test_as_of_carries_state_over_empty_buckets(spark, hot_rows):
         ],
         "sync_id bigint, account_id bigint, item_id bigint, ts timestamp_ntz",
     )
-    got = {r.sync_id: r.is_read for r in state.state_as_of(log, syncs, hot_rows=hot_rows).collect()}
+    got = {r.sync_id: r.is_read for r in state.state_as_of(log, syncs, bucket=bucket).collect()}
     assert got == {
         100: False, 101: True, 102: True, 103: False, 104: True, 105: True, 106: False, 107: False
     }
@@ -68,7 +68,7 @@ def test_scans_do_not_depend_on_the_bucket(spark, bucket):
             "ts"
         ),
     )
-    got = state.toggle_history(log, bucket=bucket, hot_rows=9).orderBy("event_id").collect()
+    got = state.toggle_history(log, bucket=bucket).orderBy("event_id").collect()
     before, flips = False, 0
     for event, row in zip(log.orderBy("event_id").collect(), got, strict=True):
         now = event.action == "save"
@@ -77,8 +77,8 @@ def test_scans_do_not_depend_on_the_bucket(spark, bucket):
         before = now
 
 
-@pytest.mark.parametrize("hot_rows", [0, 2, 1000])
-def test_toggle_history_by_hand(spark, hot_rows):
+@pytest.mark.parametrize("bucket", ["hour", "day", "year"])
+def test_toggle_history_by_hand(spark, bucket):
     log = events(
         spark,
         (1, 7, 10, "save", at(1)),
@@ -88,7 +88,7 @@ def test_toggle_history_by_hand(spark, hot_rows):
         (5, 7, 11, "unsave", at(2)),
         (6, 7, 11, "read", at(3)),
     )
-    got = rows(state.toggle_history(log, hot_rows=hot_rows).drop("ts"))
+    got = rows(state.toggle_history(log, bucket=bucket).drop("ts"))
     assert got == [
         (1, 7, 10, False, True, 1),
         (2, 7, 10, True, True, 1),
@@ -163,3 +163,34 @@ def test_preferences_last_write_and_defaults(spark):
     assert got == [(7, "12", "light"), (8, "9", "dark")]
 
 
+
+
+@pytest.mark.parametrize("bucket", ["hour", "day", "year"])
+def test_an_event_without_a_time_is_the_oldest(spark, bucket):
+    """The same answer however finely time is cut."""
+    log = events(spark, (1, 7, 10, "read", None), (2, 7, 11, "read", None), (3, 7, 11, "unread", at(3)))
+    syncs = spark.createDataFrame(
+        [(100, 7, 10, at(1)), (101, 7, 10, None), (102, 7, 11, at(2)), (103, 7, 11, at(4))],
+        "sync_id bigint, account_id bigint, item_id bigint, ts timestamp_ntz",
+    )
+    got = {r.sync_id: r.is_read for r in state.state_as_of(log, syncs, bucket=bucket).collect()}
+    assert got == {100: True, 101: True, 102: True, 103: False}
+    assert rows(state.current_state(log)) == [(7, 10, True, False), (7, 11, False, False)]
+
+
+def jobs_so_far(spark):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+
+
+def test_building_a_plan_runs_no_job(spark):
+    from lectern.operators import overrides, sync
+
+    log = events(spark, (1, 7, 10, "save", at(1)))
+    syncs = log.select(F.col("event_id").alias("sync_id"), "account_id", "item_id", "ts")
+    copy = spark.createDataFrame([(1, "a")], "item_id bigint, title string")
+    before = jobs_so_far(spark)
+    state.state_as_of(log, syncs)
+    state.toggle_history(log)
+    overrides.apply_overrides(copy, copy)
+    sync.sync_upsert(copy, copy, "item_id")
+    assert jobs_so_far(spark) == before

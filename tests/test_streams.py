@@ -94,6 +94,23 @@ def test_late_events_inside_the_watermark_count_and_others_are_dropped(spark, lo
     assert counted.agg(F.sum("events")).first()[0] == 63
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_no_event_is_lost_however_files_are_cut(spark, files):
+    """Interleaved files, each reaching over the whole time."""
+    log = events(spark, *[(n, n % 3, n % 5, "read", at(1) + timedelta(hours=n)) for n in range(400)])
+    path = new_folder(spark, "land")
+    for n in range(files):
+        land(log.where(F.col("event_id") % files == n), path)
+    once, _ = runner.run_append(
+        streams.stream_dedupe(stream(spark, path, log)), new_folder(spark, "s")
+    )
+    assert once.count() == 400
+    counted, _ = runner.run_update(
+        streams.stream_counts(stream(spark, path, log)), new_folder(spark, "s"), ["window_start"]
+    )
+    assert counted.agg(F.sum("events")).first()[0] == 400
+
+
 def test_append_emits_only_finished_windows(spark, log):
     path = new_folder(spark, "land")
     land(log, path)

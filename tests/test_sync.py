@@ -46,10 +46,11 @@ def test_new_since_uses_the_highest_local_key(spark, local, remote):
     assert sync.new_since(remote, empty, "item_id").count() == 4
 
 
-@pytest.mark.parametrize("fits", [True, False])
-def test_removed_items_by_either_way(local, remote, monkeypatch, fits):
-    monkeypatch.setattr(sync, "fits_broadcast", lambda df: fits)
+def test_removed_items_and_rows_without_a_key(spark, local, remote):
     assert [r[0] for r in rows(sync.removed_items(local, remote, "item_id"))] == [3]
+    keyless = spark.createDataFrame([(None,), (1,), (2,)], "item_id bigint")
+    one = spark.createDataFrame([(1,)], "item_id bigint")
+    assert rows(sync.removed_items(keyless, one, "item_id")) == [(2,), (None,)]
 
 
 def test_whole_row_comparison(local, remote):
