@@ -139,13 +139,18 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     )
     classes = stored(classes, "dedup-classes")
     key = ["print", "text_sha256"]
-    first = (
-        narrow.join(classes, key)
-        .groupBy(*key)
+    # Copies combine before the shuffle. Stored, so that the join below deals both sides by
+    # itself and can split a hot group.
+    first = stored(
+        narrow.groupBy(*key)
         .agg(
             F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"),
-            F.first("group_size").alias("group_size"),
+            F.count(F.lit(1)).alias("copies"),
         )
+        .where("copies > 1")
+        .join(classes, key)
+        .select(*key, "first", "group_size"),
+        "dedup-first",
     )
     return narrow.join(first, key, "left").select(
         F.col("id").alias(id_column),
