@@ -207,17 +207,17 @@ def without_spans(found: DataFrame, text: str = "text") -> DataFrame:
     gaps = F.split(F.col(f"row.{text}"), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
     inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
     between = lambda i: F.exists("spans", lambda s: (s["start"] < i) & (i < s["end"]))
-    kept = F.concat(
-        F.array_join(
-            F.transform(
-                words,
-                lambda w, i: F.concat(
-                    F.when(between(i), "").otherwise(F.get(gaps, i)), F.when(inside(i), "").otherwise(w)
-                ),
+    # Each word with the gap before it, bound once per row; the last gap has no word.
+    parts = F.zip_with(gaps, words, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    kept = F.array_join(
+        F.transform(
+            parts,
+            lambda p, i: F.concat(
+                F.when(between(i), "").otherwise(p["gap"]),
+                F.when(inside(i), "").otherwise(F.coalesce(p["word"], F.lit(""))),
             ),
-            "",
         ),
-        F.element_at(gaps, -1),
+        "",
     )
     cleaned = F.when(F.size("spans") > 0, kept).otherwise(F.col(f"row.{text}"))
     return found.withColumn("row", F.col("row").withField(text, cleaned)).select("row.*")
