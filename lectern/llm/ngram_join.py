@@ -12,7 +12,8 @@ What keeps it in proportion to the input:
 * Prefix shingles that only one class has are found by grouped minima, and left out by
   a bitmap of fixed size before anything else moves; the join stays exact however full
   the bitmap is.
-* A shingle's classes are compared with a few leaders first. Classes that are in one
+* Shingles that the same classes have are one list from then on.
+* A list's classes are compared with a few leaders first. Classes that are in one
   component then need no comparison, so a large group of near copies costs its size
   times the leaders, not its square. After that, all pairs left across components that
   pass the filters are counted, so no link between components is lost.
@@ -190,6 +191,34 @@ def reachable(x: str, y: str) -> Column:
     )
 
 
+def merged_lists(shared: DataFrame) -> DataFrame:
+    """Shingles that the same classes have become one list: its key, and per class its node,
+    size and first place, where any two of its classes first meet in it.
+
+    A passage thus has one list, not one for each of its shingles. Lists whose keys
+    collide only add candidates.
+    """
+    keys = (
+        shared.groupBy("token")
+        .agg(
+            F.min("node").alias("low"),
+            F.max("node").alias("high"),
+            F.count("*").alias("n"),
+            F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("nodes"),
+        )
+        .where("low < high")
+        .select("token", F.xxhash64("n", "nodes", "low", "high").alias("list"))
+    )
+    return (
+        shared.join(keys, "token")
+        .groupBy("list", "node")
+        .agg(F.min("size").alias("size"), F.min("place").alias("place"))
+    )
+
+
+MEMBER = ("node", "size", "place", "label")
+
+
 def node_pairs(met: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of nodes of the rows x and y."""
     return met.where(reachable("x", "y")).select(
@@ -198,19 +227,18 @@ def node_pairs(met: DataFrame) -> DataFrame:
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Every class of a shingle with up to LEADERS of them: the least of each part of a hash."""
-    leaders = lists.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(
-        F.min(F.struct("node", "size", "place", "label")).alias("y")
+    """Every class of a list with up to LEADERS of them: the least of each part of a hash."""
+    leaders = lists.groupBy("list", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(
+        F.min(F.struct(*MEMBER)).alias("y")
     )
-    x = F.struct("node", "size", "place", "label").alias("x")
-    met = lists.select("token", x).join(leaders.select("token", "y"), "token")
+    met = lists.select("list", F.struct(*MEMBER).alias("x")).join(leaders.select("list", "y"), "list")
     return node_pairs(met.where("x.node <> y.node AND x.label <> y.label"))
 
 
 def open_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs across components that share a shingle and pass the filters."""
-    x = F.struct("node", "size", "place", "label")
-    met = lists.select("token", x.alias("x")).join(lists.select("token", x.alias("y")), "token")
+    """All pairs across components that share a list and pass the filters."""
+    x = F.struct(*MEMBER)
+    met = lists.select("list", x.alias("x")).join(lists.select("list", x.alias("y")), "list")
     return node_pairs(met.where("x.node < y.node AND x.label <> y.label"))
 
 
@@ -251,22 +279,18 @@ def node_of(signature: str) -> str:
     return f"cast(conv(hex(substring({signature}, 1, 8)), 16, -10) as bigint)"
 
 
-def open_lists(shared: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Postings labelled with their component, of shingles that more than one has."""
-    if found is None:
-        labelled = shared.withColumn("label", F.hex("node"))
-    else:
-        labels = found.select(F.expr(node_of("node")).alias("node"), F.hex("component").alias("component"))
-        labelled = shared.join(labels, "node", "left").withColumn(
-            "label", F.coalesce("component", F.hex("node"))
-        ).drop("component")
+def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists labelled with the components of their classes, where there are several."""
+    labels = found.select(F.expr(node_of("node")).alias("node"), F.expr(node_of("component")).alias("component"))
+    labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    labelled = labelled.drop("component")
     several = (
-        labelled.groupBy("token")
+        labelled.groupBy("list")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low < high")
-        .select("token")
+        .select("list")
     )
-    return labelled.join(several, "token", "left_semi")
+    return labelled.join(several, "list", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,12 +312,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     bits = spark.sparkContext.broadcast(bitmap_of(met, "token"))
     shared = stored(docs.select(text).mapInArrow(postings(text, order, bits), POSTING), "join-shared")
-    shared = stored(open_lists(shared, None), "join-lists")
-    tested = stored(leader_pairs(shared), "join-pairs")
+    lists = stored(merged_lists(shared), "join-lists")
+    tested = stored(leader_pairs(lists.withColumn("label", F.col("node"))), "join-pairs")
     edges = stored(similar_pairs(cut_sets(docs, text, order, tested), tested), "join-edges")
     found = components(edges)
-    rest = open_pairs(open_lists(shared.drop("label"), found)).join(tested, ["a", "b"], "left_anti")
-    rest = stored(rest.select("a", "b"), "join-pairs")
+    still = stored(open_lists(lists, found), "join-open")
+    rest = stored(open_pairs(still).join(tested, ["a", "b"], "left_anti"), "join-pairs")
     if not rest.isEmpty():
         more = stored(similar_pairs(cut_sets(docs, text, order, rest), rest), "join-edges")
         found = components(edges.union(more))

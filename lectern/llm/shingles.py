@@ -66,6 +66,10 @@ def count_pieces(text: str):
     return run
 
 
+def packed_counts(total: np.ndarray) -> bytes:
+    return np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()
+
+
 def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum pieces that come sorted by number, one sum in memory at a time."""
     piece, total = None, None
@@ -76,10 +80,10 @@ def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += values
                 continue
             if piece is not None:
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [total.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [packed_counts(total)]})
             piece, total = number, values
     if piece is not None:
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [packed_counts(total)]})
 
 
 @dataclass
@@ -121,8 +125,8 @@ def global_order(docs: DataFrame, text: str) -> Order:
         .mapInArrow(add_pieces, "piece int, counts binary")
         .collect()
     )
-    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts = np.zeros(COUNTERS, dtype=np.int32)
     size = COUNTERS // PIECES
     for row in sums:
-        counts[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.int64)
-    return Order(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+        counts[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.int32)
+    return Order(counts)
