@@ -209,10 +209,94 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM docs LEFT JOIN sizes USING (row) JOIN least USING (row)"""
 
 
+def crc_table_sql() -> str:
+    """A CTE of the 256 entries of the CRC-32 table, made by its rule."""
+    return """crc_steps(n, c, k) AS (
+    SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+    UNION ALL
+    SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY n) AS entries FROM crc_steps WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, for rows joined with `crc_table`."""
+    code = f"hex(encode({text}))"
+    numbers = f"list_transform(range(0, len({code}) // 2), lambda i: ('0x' || {code}[2 * i + 1:2 * i + 2])::BIGINT)"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], {numbers}), "
+        "lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+    )
+
+
+def merkle_sql() -> str:
+    """Level by level; paths by the place's bits, and the tampered leaves folded along them."""
+
+    def leaf(n_chars: str) -> str:
+        fields = ("doc_id", "source", "lang", n_chars, "text")
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields
+        ) + ")"
+
+    def climb(name: str, base: str) -> str:
+        """All nodes of all trees with the height of each tree."""
+        return f"""{name}_sizes AS (
+    SELECT tree, ceil(log2(count(*)))::BIGINT AS height FROM ({base}) GROUP BY tree
+), {name}(tree, level, place, digest) AS (
+    SELECT tree, 0::BIGINT, place, digest FROM ({base})
+    UNION ALL
+    SELECT n.tree, any_value(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place))
+    FROM {name} n JOIN {name}_sizes s ON n.tree = s.tree WHERE level < height GROUP BY n.tree, place // 2
+)"""
+
+    return f"""
+WITH RECURSIVE {crc_table_sql()},
+leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("n_chars")} AS leaf,
+        CASE WHEN {crc_sql("coalesce(doc_id::VARCHAR, '')")} % 7 = 0
+            THEN {leaf("n_chars + 1")} ELSE {leaf("n_chars")} END AS claimed
+    FROM documents, crc_table
+), rows AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS place FROM leaves
+), {climb("node", "SELECT tree, place, leaf AS digest FROM rows")},
+subroots AS (
+    SELECT n.tree AS member, digest, row_number() OVER (ORDER BY n.tree) - 1 AS place
+    FROM node n JOIN node_sizes s ON n.tree = s.tree WHERE level = height
+), {climb("top", "SELECT 0 AS tree, place, digest FROM subroots")},
+root AS (SELECT digest AS root FROM top ORDER BY level DESC LIMIT 1),
+ways AS (
+    SELECT r.tree AS tree, r.place AS own, l.level, (r.place >> l.level) & 1 AS bit, n.digest AS sibling
+    FROM rows r JOIN node_sizes s ON r.tree = s.tree, range(0, s.height) AS l(level)
+    LEFT JOIN node n ON n.tree = r.tree AND n.level = l.level AND n.place = xor(r.place >> l.level, 1)
+), upper_ways AS (
+    SELECT u.member, l.level, (u.place >> l.level) & 1 AS bit, n.digest AS sibling
+    FROM subroots u, (SELECT height FROM top_sizes) s, range(0, s.height) AS l(level)
+    LEFT JOIN top n ON n.level = l.level AND n.place = xor(u.place >> l.level, 1)
+), steps AS (
+    SELECT tree, own, level, bit, sibling FROM ways
+    UNION ALL
+    SELECT r.tree, r.place, s.height + w.level, w.bit, w.sibling
+    FROM rows r JOIN upper_ways w ON w.member = r.tree JOIN node_sizes s ON s.tree = r.tree
+), paths AS (
+    SELECT tree, own, list(sibling ORDER BY level) AS siblings, list(bit ORDER BY level) AS bits FROM steps GROUP BY ALL
+), folds(tree, own, k, digest) AS (
+    SELECT tree, place, 1, claimed FROM rows
+    UNION ALL
+    SELECT f.tree, f.own, k + 1, sha256(CASE WHEN siblings[k] IS NULL THEN f.digest
+        WHEN bits[k] = 1 THEN siblings[k] || f.digest ELSE f.digest || siblings[k] END)
+    FROM folds f JOIN paths p ON f.tree = p.tree AND f.own = p.own WHERE k <= len(bits)
+), ends AS (SELECT tree, own, arg_max(digest, k) AS folded_root FROM folds GROUP BY tree, own)
+SELECT doc_id, leaf, u.digest AS subroot, root,
+    sha256(coalesce(array_to_string(list_filter(p.siblings, lambda x: x IS NOT NULL), ''), '')) AS proof_sha256,
+    folded_root, folded_root = root AS verified
+FROM rows r JOIN subroots u ON u.member = r.tree JOIN ends e ON e.tree = r.tree AND e.own = r.place
+LEFT JOIN paths p ON p.tree = r.tree AND p.own = r.place, root"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op1_decontaminate": passages_sql(),
         "op2_exact_dedup": exact_dedup_sql(),
         "op3_secrets": secrets_sql(),
         "op4_ngram_join": near_duplicates_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql(),
+        "op13_merkle": merkle_sql(),
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
@@ -12,6 +12,7 @@ from lectern.llm import (
     exact_dedup,
     html_blocks,
     licenses,
+    merkle,
     mixing,
     ngram_join,
     quality,
@@ -19,7 +20,7 @@ from lectern.llm import (
     sharding,
     toxicity,
 )
-from lectern.llm.common import table, tuned
+from lectern.llm.common import crc_mod, table, tuned
 
 SHARDS = 16
 
@@ -149,6 +150,21 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(n_chars) -> Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    # Shown with another length later.
+    tampered = leaf(F.col("n_chars").cast("decimal(20,0)") + 1)
+    return merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        "doc_id",
+        "lang",
+        leaf(F.col("n_chars")),
+        F.when(crc_mod("doc_id", 7) == 0, tampered),
+    )
+
+
 QUERIES = (
     op1_decontaminate,
     op2_exact_dedup,
@@ -160,6 +176,7 @@ QUERIES = (
     op8_toxicity,
     op9_licenses,
     op10_mix,
+    op13_merkle,
 )
 
 
