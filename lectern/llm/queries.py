@@ -14,6 +14,7 @@ from lectern.llm import (
     licenses,
     merkle,
     mixing,
+    nearest,
     ngram_join,
     quality,
     secrets,
@@ -150,6 +151,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     def leaf(n_chars) -> Column:
         return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
@@ -176,6 +181,7 @@ QUERIES = (
     op8_toxicity,
     op9_licenses,
     op10_mix,
+    op12_nearest,
     op13_merkle,
 )
 
