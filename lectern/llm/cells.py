@@ -9,7 +9,7 @@ a hash of the point, and each of their probes visits every part.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -52,17 +52,16 @@ def met(
     batches: Iterator[pa.RecordBatch],
     cell: list[str],
     build: Callable[[pa.Table], Any],
-    search: Callable[[Any, pa.RecordBatch], None],
-) -> None:
-    """Call `search` with the structure that `build` made of a part's points, and each batch of its probes."""
+    search: Callable[[Any, pa.RecordBatch], Iterable[pa.RecordBatch]],
+) -> Iterator[pa.RecordBatch]:
+    """All that `search` gives for the structure that `build` made of a part's points and each batch of its probes."""
     now, held, built = None, [], None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         label = [batch.column(c) for c in (*cell, "part")]
-        kind = batch.column("kind").to_numpy()
-        change = np.diff(kind) != 0
+        change = np.diff(batch.column("kind").to_numpy()) != 0
         for column in label:
             change |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
@@ -70,9 +69,9 @@ def met(
             key = tuple(column[a].as_py() for column in label)
             if key != now:
                 now, held, built = key, [], None
-            if kind[a] == POINT:
+            if batch.column("kind")[a].as_py() == POINT:
                 held.append(batch.slice(a, b - a))
             elif held:
                 if built is None:
                     built = build(pa.Table.from_batches(held))
-                search(built, batch.slice(a, b - a))
+                yield from search(built, batch.slice(a, b - a))

@@ -250,13 +250,14 @@ def rerank(n: int, dimensions: int):
         def build(points: pa.Table):
             return vectors_of(points.column("vector"), dimensions), _entry_ids(points.column("ids"))
 
-        def search(built, probes: pa.RecordBatch) -> None:
+        def search(built, probes: pa.RecordBatch) -> tuple:
             points, ids = built
             queries = vectors_of(probes.column("vector"), dimensions)
             for query, vector in zip(probes.column("class").to_pylist(), queries, strict=True):
                 nearest.add(query, exact_distances(points, vector), ids)
+            return ()
 
-        met(batches, ["tree", "leaf"], build, search)
+        yield from met(batches, ["tree", "leaf"], build, search)
         yield from nearest.batches(("class", "vec_id", "score"))
 
     return run

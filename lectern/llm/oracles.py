@@ -8,6 +8,7 @@ from lectern.llm.ngram_join import PERCENT
 from lectern.llm.queries import MIX
 from lectern.llm.secrets import BASE, RULES
 from lectern.llm.shingles import WORDS
+from lectern.llm.spelling import FORM_RATIO, LEAST_COUNT, LEAST_LETTERS, TYPO
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -228,6 +229,45 @@ def crc_sql(text: str) -> str:
     )
 
 
+def spelling_sql() -> str:
+    """Words share a text with one letter masked (replaced), or one is the other without a letter."""
+    return f"""
+WITH RECURSIVE {crc_table_sql()},
+runs AS (
+    SELECT key, run, count(*) AS c FROM (
+        SELECT coalesce(doc_id::VARCHAR, '') AS key, unnest(regexp_extract_all({FOLDED}, '[a-z\u00C0-\u00FF]+')) AS run
+        FROM documents)
+    WHERE len(run) >= {LEAST_LETTERS} GROUP BY key, run
+), summed AS (SELECT run, c, {crc_sql("key || ':' || run")} AS h FROM runs, crc_table),
+spelt AS (
+    SELECT c, CASE WHEN h % {TYPO} = 0 THEN left(run, h % len(run)) || substring(run, (h % len(run)) + 2) ELSE run END AS word
+    FROM summed
+), words AS (
+    SELECT word, sum(c)::BIGINT AS n FROM spelt WHERE len(word) >= {LEAST_LETTERS} GROUP BY word HAVING sum(c) >= {LEAST_COUNT}
+), places AS (SELECT word, n, unnest(range(0, len(word))) AS i FROM words),
+cut AS (
+    SELECT DISTINCT word, n, i, left(word, i) || substring(word, i + 2) AS rest FROM places
+), near AS (
+    SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n
+    FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION
+    SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION
+    SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS top, max(near_n) AS top_n FROM near GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top_n >= {FORM_RATIO} * w.n THEN top END AS form,
+        CASE WHEN top_n >= {FORM_RATIO} * w.n THEN top_n END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word
+), chain(word, root, steps) AS (
+    SELECT word, word, 0 FROM formed
+    UNION ALL
+    SELECT c.word, f.form, steps + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+), ends AS (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON e.word = f.word"""
+
+
 def merkle_sql() -> str:
     """Level by level; paths by the place's bits, and the tampered leaves folded along them."""
 
@@ -298,5 +338,6 @@ def llm_oracles() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup_sql(),
         "op3_secrets": secrets_sql(),
         "op4_ngram_join": near_duplicates_sql(), "op9_licenses": licenses_sql(), "op10_mix": mix_sql(),
+        "op11_spelling": spelling_sql(),
         "op13_merkle": merkle_sql(),
     }

@@ -19,6 +19,7 @@ from lectern.llm import (
     quality,
     secrets,
     sharding,
+    spelling,
     toxicity,
 )
 from lectern.llm.common import crc_mod, table, tuned
@@ -151,6 +152,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -181,6 +186,7 @@ QUERIES = (
     op8_toxicity,
     op9_licenses,
     op10_mix,
+    op11_spelling,
     op12_nearest,
     op13_merkle,
 )
