@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.cells import meeting, met
 from lectern.llm.common import stored, text_bytes
-from lectern.llm.kd_tree import KdTree
+from lectern.llm.kd_tree import LEVELS, KdTree, bits_of
 
 # Runs of a-z and of U+00C0 to U+00FF, in lower-cased UTF-8.
 RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
@@ -47,10 +47,10 @@ MOST_COUNTED = 300_000
 OTHERS = 6
 DIMENSIONS = 26 + OTHERS
 # Words per cell, and words that the cells are fitted on.
-CELL = 8192
+CELL = 65_536
 SAMPLE_WORDS = 131_072
 LEAST_SAMPLE = 16
-LOCAL_LEAF = 32
+LOCAL_LEAF = 96
 # Letters compared at once.
 LETTERS_AT_ONCE = 1 << 22
 
@@ -117,12 +117,12 @@ def letters(words: list[str], length: int) -> np.ndarray:
 
 
 def letter_counts(codes: np.ndarray) -> np.ndarray:
-    """How often each word has each letter, words x DIMENSIONS."""
+    """How often each word has each letter, at most LEVELS, words x DIMENSIONS."""
     letter = codes.astype(np.int64) - ord("a")
     letter = np.where((letter >= 0) & (letter < 26), letter, 26 + codes % OTHERS)
     flat = letter + DIMENSIONS * np.arange(len(codes))[:, None]
     counts = np.bincount(flat.ravel(), minlength=DIMENSIONS * len(codes))
-    return counts.reshape(len(codes), DIMENSIONS).astype(np.int32)
+    return np.minimum(counts, LEVELS).astype(np.uint8).reshape(len(codes), DIMENSIONS)
 
 
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,11 +199,12 @@ def send_words(shared):
         trees: dict[int, KdTree] = shared.value
         for batch in batches:
             for n, rows, counts in _of_one_length(batch):
+                bits = bits_of(counts)
                 for other, distance in ((n, 2), (n + 1, 1)):
                     if other not in trees:
                         yield _filed(batch, rows, other, 0)
                         continue
-                    for leaf, some in trees[other].reached(counts, distance):
+                    for leaf, some in trees[other].reached(bits, distance):
                         yield _filed(batch, rows[some], other, leaf.cell)
 
     return run
@@ -230,7 +231,7 @@ def compare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for a in range(0, len(rows), step):
                 part = rows[a : a + step]
                 own = letters([words[i] for i in part], n)
-                for i, j in tree.within(letter_counts(own), distance):
+                for i, j in tree.within(bits_of(letter_counts(own)), distance):
                     for b in range(0, len(i), step):
                         x, y = i[b : b + step], j[b : b + step]
                         found = same(own[x], codes[y])
