@@ -38,7 +38,6 @@ from lectern.llm.common import stored
 
 # A block is this many levels high: 1024 nodes.
 BLOCK_LEVELS = 10
-BLOCK = 1 << BLOCK_LEVELS
 
 # Steps of a path: the sibling stands to the left, to the right, or is missing.
 LEFT, RIGHT, LONE = "l", "r", "-"
@@ -200,66 +199,80 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _levels(block: int, n: int) -> int | None:
-    return None if block == 0 and n < BLOCK else BLOCK_LEVELS
-
-
-def sweep_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in blocks(batches):
-        block = rows.column("block")[0].as_py()
-        leaves = rows.column("digest").to_pylist()
-        top = forward(leaves, _levels(block, len(leaves)))[-1][2]
-        yield pa.RecordBatch.from_pylist(
-            [{"mark": rows.column("mark")[0].as_py(), "pos": block, "digest": top}], schema=NODE
-        )
+def _height(block: int, n: int, levels: int) -> int | None:
+    """A first block that isn't full has no neighbours."""
+    return None if block == 0 and n < 1 << levels else levels
 
 
 NODE = pa.schema([("mark", pa.string()), ("pos", pa.int64()), ("digest", pa.string())])
 NODES = "mark string, pos bigint, digest string"
-
-
-def sweep_backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each block is its top's message; it is passed on to the block's nodes."""
-    for rows in blocks(batches):
-        message = rows.slice(0, 1).to_pylist()[0]
-        nodes = rows.slice(1)
-        leaves = nodes.column("digest").to_pylist()
-        tree = forward(leaves, _levels(message["block"], len(leaves)))
-        out = nodes.select(["mark", "pos", "digest"]).append_column(
-            "path", pa.array(backward(tree, message["path"]), pa.string())
-        )
-        for name in ("subroot", "root"):
-            out = out.append_column(name, pa.array([message[name]] * len(leaves), pa.string()))
-        yield from out.combine_chunks().to_batches()
-
-
 PATHS = f"{NODES}, path string, subroot string, root string"
 PROOFS = (
     "key {key}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 )
 
 
-def deliver_proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last reversed round: proofs of the rows, and the roots that their claimed leaves lead to."""
-    for rows in blocks(batches):
-        message = rows.slice(0, 1).to_pylist()[0]
-        nodes = rows.slice(1).combine_chunks()
-        leaves, claimed = nodes.column("digest").to_pylist(), nodes.column("claimed").to_pylist()
-        paths = backward(forward(leaves, _levels(message["block"], len(leaves))), message["path"])
-        found = [folded(c or leaf, path) for c, leaf, path in zip(claimed, leaves, paths, strict=True)]
-        n, root = len(leaves), message["root"]
-        yield pa.RecordBatch.from_arrays(
-            [
-                nodes.column("key").combine_chunks(),
-                pa.array(leaves, pa.string()),
-                pa.array([message["subroot"]] * n, pa.string()),
-                pa.array([root] * n, pa.string()),
-                pa.array([digest(*siblings(path)) for path in paths], pa.string()),
-                pa.array(found, pa.string()),
-                pa.array([f == root for f in found]),
-            ],
-            names=["key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
-        )
+def sweep_forward(levels: int):
+    """For `mapInArrow`: one message per block, its top's digest for the next round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches):
+            block = rows.column("block")[0].as_py()
+            leaves = rows.column("digest").to_pylist()
+            top = forward(leaves, _height(block, len(leaves), levels))[-1][2]
+            yield pa.RecordBatch.from_pylist(
+                [{"mark": rows.column("mark")[0].as_py(), "pos": block, "digest": top}], schema=NODE
+            )
+
+    return run
+
+
+def _received(rows: pa.Table, levels: int) -> tuple[dict, pa.Table, list[str], list[str]]:
+    """The message to a block's top, which stands first, the block's nodes, their digests and paths."""
+    message = rows.slice(0, 1).to_pylist()[0]
+    nodes = rows.slice(1).combine_chunks()
+    leaves = nodes.column("digest").to_pylist()
+    tree = forward(leaves, _height(message["block"], len(leaves), levels))
+    return message, nodes, leaves, backward(tree, message["path"])
+
+
+def sweep_backward(levels: int):
+    """For `mapInArrow`: the message to a block's top, passed on to each of its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches):
+            message, nodes, leaves, paths = _received(rows, levels)
+            out = nodes.select(["mark", "pos", "digest"]).append_column("path", pa.array(paths, pa.string()))
+            for name in ("subroot", "root"):
+                out = out.append_column(name, pa.array([message[name]] * len(leaves), pa.string()))
+            yield from out.combine_chunks().to_batches()
+
+    return run
+
+
+def deliver_proofs(levels: int):
+    """For `mapInArrow`, the last reversed round: proofs, and the roots that claimed leaves lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches):
+            message, nodes, leaves, paths = _received(rows, levels)
+            claimed = nodes.column("claimed").to_pylist()
+            found = [folded(c or leaf, path) for c, leaf, path in zip(claimed, leaves, paths, strict=True)]
+            n, root = len(leaves), message["root"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    nodes.column("key").combine_chunks(),
+                    pa.array(leaves, pa.string()),
+                    pa.array([message["subroot"]] * n, pa.string()),
+                    pa.array([root] * n, pa.string()),
+                    pa.array([digest(*siblings(path)) for path in paths], pa.string()),
+                    pa.array(found, pa.string()),
+                    pa.array([f == root for f in found]),
+                ],
+                names=["key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+            )
+
+    return run
 
 
 # Rounds over all blocks
@@ -269,32 +282,32 @@ def _by_block(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("mark", "block").sortWithinPartitions("mark", "block", "pos")
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
+def climb(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """Rounds of nodes (mark, pos, digest), the first as given; the last has one node per mark."""
     rounds = [nodes]
     while not nodes.where("pos > 0").isEmpty():
-        block = F.shiftright("pos", BLOCK_LEVELS).alias("block")
+        block = F.shiftright("pos", levels).alias("block")
         nodes = stored(
-            _by_block(nodes.select("mark", block, "pos", "digest")).mapInArrow(sweep_forward, NODES),
+            _by_block(nodes.select("mark", block, "pos", "digest")).mapInArrow(sweep_forward(levels), NODES),
             "merkle-nodes",
         )
         rounds.append(nodes)
     return rounds
 
 
-def _delivered(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+def _delivered(nodes: DataFrame, tops: DataFrame, levels: int) -> DataFrame:
     """A round's nodes behind the messages to their blocks, sorted by the receivers' labels."""
-    nodes = nodes.withColumn("block", F.shiftright("pos", BLOCK_LEVELS))
+    nodes = nodes.withColumn("block", F.shiftright("pos", levels))
     messages = tops.select("mark", F.col("pos").alias("block"), F.lit(-1).cast("bigint").alias("pos"),
                            "path", "subroot", "root")
     return _by_block(nodes.unionByName(messages, allowMissingColumns=True))
 
 
-def descend(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
+def descend(rounds: list[DataFrame], tops: DataFrame, levels: int) -> DataFrame:
     """Messages (mark, pos, path, subroot, root) to the tops of the lowest round's blocks."""
     for nodes in reversed(rounds[1:-1]):
-        order = _delivered(nodes, tops).select("mark", "block", "pos", "digest", "path", "subroot", "root")
-        tops = stored(order.mapInArrow(sweep_backward, PATHS), "merkle-paths")
+        order = _delivered(nodes, tops, levels).select("mark", "block", "pos", "digest", "path", "subroot", "root")
+        tops = stored(order.mapInArrow(sweep_backward(levels), PATHS), "merkle-paths")
     return tops
 
 
@@ -304,6 +317,7 @@ def manifest(
     group: str,
     leaf: Column,
     claimed: Column | None = None,
+    levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """One row per row: key, leaf, subroot, root, proof_sha256, folded_root and verified.
 
@@ -319,20 +333,20 @@ def manifest(
     # Texts are digested once; all that follows moves digests.
     digests = stored(digests, "merkle-leaves")
     leaves = placed(digests, "group", ["key", "digest", "claimed"]).withColumn("mark", mark("group"))
-    rounds = climb(leaves.select("mark", "pos", "digest"))
+    rounds = climb(leaves.select("mark", "pos", "digest"), levels)
     # The null group's mark is the empty text and so comes first, as it should.
     subroots = rounds[-1].select(F.lit("").alias("all"), "mark", "digest")
     ordered = placed(
         subroots.select("all", F.col("mark").alias("member"), "digest"), "all", ["member"]
     ).withColumnRenamed("all", "mark")
-    above = climb(ordered.select("mark", "pos", "digest"))
+    above = climb(ordered.select("mark", "pos", "digest"), levels)
     empty = F.lit("")
     root = above[-1].select("mark", "pos", empty.alias("path"), empty.alias("subroot"), F.col("digest").alias("root"))
     if len(above) > 1:
-        tops = descend(above, root)
-        to_subroots = _delivered(above[0], tops).select(
+        tops = descend(above, root, levels)
+        to_subroots = _delivered(above[0], tops, levels).select(
             "mark", "block", "pos", "digest", "path", "subroot", "root"
-        ).mapInArrow(sweep_backward, PATHS)
+        ).mapInArrow(sweep_backward(levels), PATHS)
     else:
         to_subroots = above[0].join(root.drop("pos"), "mark")
     told = ordered.select("pos", "member").join(
@@ -343,9 +357,9 @@ def manifest(
                     F.col("digest").alias("subroot"), "root"),
         "merkle-paths",
     )
-    tops = descend(rounds, tops)
+    tops = descend(rounds, tops, levels)
     kind = rows.schema[key].dataType.simpleString()
-    proofs = _delivered(leaves.select("mark", "pos", "digest", "key", "claimed"), tops).select(
+    proofs = _delivered(leaves.select("mark", "pos", "digest", "key", "claimed"), tops, levels).select(
         "mark", "block", "pos", "digest", "key", "claimed", "path", "subroot", "root"
     )
-    return proofs.mapInArrow(deliver_proofs, PROOFS.format(key=kind)).withColumnRenamed("key", key)
+    return proofs.mapInArrow(deliver_proofs(levels), PROOFS.format(key=kind)).withColumnRenamed("key", key)

@@ -160,19 +160,18 @@ def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merkle_manifest(docs: DataFrame, levels: int = merkle.BLOCK_LEVELS) -> DataFrame:
     def leaf(n_chars) -> Column:
         return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
 
     # Shown with another length later.
     tampered = leaf(F.col("n_chars").cast("decimal(20,0)") + 1)
-    return merkle.manifest(
-        table(spark, sf_dir, "documents"),
-        "doc_id",
-        "lang",
-        leaf(F.col("n_chars")),
-        F.when(crc_mod("doc_id", 7) == 0, tampered),
-    )
+    claimed = F.when(crc_mod("doc_id", 7) == 0, tampered)
+    return merkle.manifest(docs, "doc_id", "lang", leaf(F.col("n_chars")), claimed, levels)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = (

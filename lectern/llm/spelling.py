@@ -142,7 +142,7 @@ def one_inserted(short: np.ndarray, long: np.ndarray) -> np.ndarray:
 # Cells
 
 
-def fit_cells(sample: list[str], words: int, cell: int = CELL) -> dict[int, KdTree]:
+def fit_cells(sample: list[str], words: int, cell: int) -> dict[int, KdTree]:
     """Per length a tree whose leaves hold about `cell` of all words, if the sample is like them."""
     by_length: dict[int, list[str]] = {}
     for word in sample:
@@ -270,18 +270,24 @@ def roots_of(forms: DataFrame) -> DataFrame:
         )
 
 
-def spelling_variants(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def spelling_variants(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    cell: int = CELL,
+    sample_words: int = SAMPLE_WORDS,
+) -> DataFrame:
     """word, form, root, n, n_near and form_n of every long and frequent word."""
     sc = docs.sparkSession.sparkContext
     words = stored(frequent_words(docs, id_column, text), "spelling-words")
-    sample = words.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).toArrow()
-    trees = fit_cells(sample.column("word").to_pylist(), words.count())
+    sample = words.select("word").orderBy(F.xxhash64("word"), "word").limit(sample_words).toArrow()
+    trees = fit_cells(sample.column("word").to_pylist(), words.count(), cell)
     # Bounded: leaves hold LEAST_SAMPLE sampled words at least, and carry no words here.
     shared = sc.broadcast(trees)
     points = words.mapInArrow(file_words(shared), FILED)
     probes = words.mapInArrow(send_words(shared), FILED)
     pairs = (
-        meeting(points, probes, ["length", "cell"], "word", 2 * CELL)
+        meeting(points, probes, ["length", "cell"], "word", 2 * cell)
         .select("length", "cell", "part", "kind", "word", "n")
         .mapInArrow(compare_words, NEAR)
     )
