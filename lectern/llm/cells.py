@@ -2,8 +2,8 @@
 
 A point is filed under one cell, a probe visits several. Both are rows that carry the
 label of their cell, and a sorted shuffle brings a cell's points together, ahead of its
-probes, which stream past them. A task so holds the points of one cell and one batch of
-probes. Cells that no split could make small enough are dealt out over several parts, by
+probes, which stream past them. A task so holds the points of one cell and a bounded number
+of probes. Cells that no split could make small enough are dealt out over several parts, by
 a hash of the point, and each of their probes visits every part.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 POINT, PROBE = 0, 1
+PROBES_AT_ONCE = 16_384
 
 
 def meeting(
@@ -52,10 +53,27 @@ def met(
     batches: Iterator[pa.RecordBatch],
     cell: list[str],
     build: Callable[[pa.Table], Any],
-    search: Callable[[Any, pa.RecordBatch], Iterable[pa.RecordBatch]],
+    search: Callable[[Any, pa.Table], Iterable[pa.RecordBatch]],
 ) -> Iterator[pa.RecordBatch]:
-    """All that `search` gives for the structure that `build` made of a part's points and each batch of its probes."""
-    now, held, built = None, [], None
+    """All that `search` gives for the structure that `build` made of a part's points and some of its probes.
+
+    Probes are searched PROBES_AT_ONCE or so at a time.
+    """
+    now: tuple = ()
+    points: list[pa.RecordBatch] = []
+    probes: list[pa.RecordBatch] = []
+    built = None
+
+    def searched() -> Iterable[pa.RecordBatch]:
+        nonlocal built
+        if not points or not probes:
+            return ()
+        if built is None:
+            built = build(pa.Table.from_batches(points))
+        some = pa.Table.from_batches(probes)
+        probes.clear()
+        return search(built, some)
+
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -68,10 +86,14 @@ def met(
         for a, b in zip(cuts, cuts[1:]):
             key = tuple(column[a].as_py() for column in label)
             if key != now:
-                now, held, built = key, [], None
+                yield from searched()
+                now, built = key, None
+                points.clear()
+                probes.clear()
             if batch.column("kind")[a].as_py() == POINT:
-                held.append(batch.slice(a, b - a))
-            elif held:
-                if built is None:
-                    built = build(pa.Table.from_batches(held))
-                yield from search(built, batch.slice(a, b - a))
+                points.append(batch.slice(a, b - a))
+            elif points:
+                probes.append(batch.slice(a, b - a))
+        if sum(part.num_rows for part in probes) >= PROBES_AT_ONCE:
+            yield from searched()
+    yield from searched()

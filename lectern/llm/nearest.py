@@ -250,7 +250,7 @@ def rerank(n: int, dimensions: int):
         def build(points: pa.Table):
             return vectors_of(points.column("vector"), dimensions), _entry_ids(points.column("ids"))
 
-        def search(built, probes: pa.RecordBatch) -> tuple:
+        def search(built, probes: pa.Table) -> tuple:
             points, ids = built
             queries = vectors_of(probes.column("vector"), dimensions)
             for query, vector in zip(probes.column("class").to_pylist(), queries, strict=True):

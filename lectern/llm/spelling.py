@@ -221,7 +221,7 @@ def compare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         codes = letters(points.column("word").to_pylist(), length)
         return points, length, codes, KdTree(letter_counts(codes), LOCAL_LEAF, tight=True)
 
-    def search(built, probes: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def search(built, probes: pa.Table) -> Iterator[pa.RecordBatch]:
         points, length, codes, tree = built
         words = probes.column("word").to_pylist()
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -231,21 +231,24 @@ def compare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for a in range(0, len(rows), step):
                 part = rows[a : a + step]
                 own = letters([words[i] for i in part], n)
+                mine, theirs = [], []
                 for i, j in tree.within(bits_of(letter_counts(own)), distance):
                     for b in range(0, len(i), step):
                         x, y = i[b : b + step], j[b : b + step]
                         found = same(own[x], codes[y])
-                        if found.any():
-                            yield from both_ways(probes, part[x[found]], points, y[found], n != length)
+                        mine.append(part[x[found]])
+                        theirs.append(y[found])
+                if mine:
+                    yield from both_ways(probes, np.concatenate(mine), points, np.concatenate(theirs), n != length)
 
     yield from met(batches, ["length", "cell"], build, search)
 
 
 def both_ways(
-    probes: pa.RecordBatch, mine: np.ndarray, points: pa.Table, theirs: np.ndarray, mirrored: bool
+    probes: pa.Table, mine: np.ndarray, points: pa.Table, theirs: np.ndarray, mirrored: bool
 ) -> Iterator[pa.RecordBatch]:
     """Words of one length visit each other; of two lengths only the shorter one visits."""
-    own = probes.select(["word", "n"]).take(pa.array(mine)).columns
+    own = [probes.column(c).take(pa.array(mine)).combine_chunks() for c in ("word", "n")]
     near = [points.column(c).take(pa.array(theirs)).combine_chunks() for c in ("word", "n")]
     for columns in ([*own, *near], [*near, *own])[: 1 + mirrored]:
         yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "near", "near_n"])
