@@ -7,6 +7,8 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from lectern.functions.markup import Wanted, spans, without
+
 REFERENCE = r"&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?"
 # Names as the standard library has them, with their characters, and the numbers 128 to 159,
 # which pages mean as Windows characters.
@@ -20,14 +22,14 @@ BLOCK_TAGS = (
     "head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 )
 
+# Elements that show a video, and the classes of adverts and of users' comments.
+VIDEO_TAGS = ("iframe", "video", "object", "embed")
+AD_CLASSES = ("ad", "ads", "advert", "advertisement")
+COMMENT_CLASSES = ("comments",)
+
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-SCRIPTS = r"(?is)<script\b.*?</script\s*>"
-ADS = r'(?is)<div\b[^>]*\bclass="ad"[^>]*>.*?</div\s*>'
-VIDEOS = (
-    r"(?is)<iframe\b.*?</iframe\s*>|<video\b.*?</video\s*>|<object\b.*?</object\s*>|<embed\b[^>]*>"
-)
-COMMENTS = r'(?is)<div\b[^>]*\bclass="comments"[^>]*>(.*?)</div\s*>'
 ARTICLE = r"(?is)<article\b[^>]*>(.*)</article\s*>"
+NOT_SHOWN = ("comment", "script", "style")
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
 TAG = r"<[^>]*>"
@@ -104,19 +106,13 @@ def article_text(html: str | Column, pattern: str = ARTICLE) -> Column:
     return plain_text(F.regexp_extract(drop_unseen(html), pattern, 1))
 
 
-def without_distractions(html: str | Column) -> Column:
-    """Markup without scripts, videos and adverts, in that order."""
-    out = F.regexp_replace(_col(html), SCRIPTS, "")
-    out = F.regexp_replace(out, VIDEOS, "")
-    return F.regexp_replace(out, ADS, "")
-
-
 def dense_blocks(html: str | Column, min_chars: int = 80, min_density: float = 0.6) -> Column:
     """Text blocks from the first to the last long and dense one, in page order, one per line.
 
     Short blocks between them belong to the text.
     """
-    bare = F.regexp_replace(F.regexp_replace(drop_unseen(html), VIDEOS, ""), ADS, "")
+    away = Wanted({"video": VIDEO_TAGS}, {"ad": AD_CLASSES}, unseen=NOT_SHOWN)
+    bare = without(html, spans(html, away), spaced=NOT_SHOWN)
     blocks = F.split(bare, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>")
 
     def measured(block: Column) -> Column:

@@ -6,12 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from lectern.functions.text import decode_entities
 
-# An attribute follows white space or a quoted value, so that `data-href` is none; its value
-# ends at the quote that opened it, or without quotes at white space.
-ATTRIBUTES_BEFORE = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
-VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-ANCHOR_HREF = rf"""(?is)<a(?=\s){ATTRIBUTES_BEFORE}(?<=[\s"'])href{VALUE}"""
-IMAGE_SRC = rf"""(?is)<img(?=\s){ATTRIBUTES_BEFORE}(?<=[\s"'])src{VALUE}"""
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 
 
@@ -37,17 +31,23 @@ def absolute_url(base: str | Column, ref: str | Column) -> Column:
     Null for what leads to no other document: empty and fragment-only
     references and schemes other than http(s). Dot segments stay as written.
     """
-    base, ref = _col(base), F.trim(decode_entities(ref, bare=False))
+    base = _col(base)
     scheme = F.regexp_extract(base, SCHEME, 1)
     site = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     folder = F.regexp_extract(path, r"^(.*/)", 1)
-    return (
-        F.when((ref == "") | ref.startswith("#"), F.lit(None).cast("string"))
-        .when(F.lower(ref).rlike("^https?://"), ref)
-        .when(ref.rlike(SCHEME), F.lit(None).cast("string"))
-        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(site, ref))
-        .when(ref.startswith("?"), F.concat(site, path, ref))
-        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), ref))
-    )
+
+    def resolved(ref: Column) -> Column:
+        return (
+            F.when((ref == "") | ref.startswith("#"), F.lit(None).cast("string"))
+            .when(F.lower(ref).rlike("^https?://"), ref)
+            .when(ref.rlike(SCHEME), F.lit(None).cast("string"))
+            .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+            .when(ref.startswith("/"), F.concat(site, ref))
+            .when(ref.startswith("?"), F.concat(site, path, ref))
+            .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), ref))
+        )
+
+    # Bound to a variable, so that it is decoded once and not in every branch.
+    decoded = F.trim(decode_entities(_col(ref), bare=False))
+    return F.get(F.transform(F.array(decoded), resolved), F.lit(0))

@@ -3,11 +3,12 @@ of page content."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions import text as T
+from lectern.functions import markup as M, text as T
 from lectern.functions.html_part import selected_text
 from lectern.functions.urls import canonical_url, host_of
 
@@ -92,33 +93,43 @@ def clean_article_by_pattern(pages: DataFrame, patterns: DataFrame) -> DataFrame
     )
 
 
-def strip_distractions(pages: DataFrame) -> DataFrame:
-    """Pages without scripts, videos and adverts, and how many of each went."""
-    no_scripts = F.regexp_replace("html", T.SCRIPTS, "")
-    no_videos = F.regexp_replace(no_scripts, T.VIDEOS, "")
+def strip_distractions(pages: DataFrame, ad_classes: Sequence[str] = T.AD_CLASSES) -> DataFrame:
+    """Pages without scripts, videos and adverts, and how many of each went.
 
-    def found(where, pattern):
-        return F.regexp_count(where, F.lit(pattern)).cast("bigint")
+    Adverts are elements of any tag that have one of the classes. An element ends at its own
+    end tag, whatever is nested in it; of elements in one another of one kind the outermost
+    counts. What stands in comments or in scripts is no element.
+    """
+    away = M.Wanted({"video": T.VIDEO_TAGS}, {"ad": ad_classes}, unseen=("script",))
+    found = pages.select("page_id", "html", M.spans("html", away).alias("_found"))
+
+    def number(kind: str) -> Column:
+        return F.size(M.outermost(M.of_kind(F.col("_found"), kind))).cast("bigint")
 
-    return pages.select(
+    return found.select(
         "page_id",
-        T.without_distractions("html").alias("html"),
-        found(F.col("html"), T.SCRIPTS).alias("scripts"),
-        found(no_scripts, T.VIDEOS).alias("videos"),
-        found(no_videos, T.ADS).alias("ads"),
+        M.without("html", F.col("_found")).alias("html"),
+        number("script").alias("scripts"),
+        number("video").alias("videos"),
+        number("ad").alias("ads"),
     )
 
 
-def split_comments(pages: DataFrame) -> DataFrame:
-    """The markup without user comments, and the comments' text (null if there are none)."""
-    seen = T.drop_unseen("html")
-    inner = F.regexp_extract_all(seen, F.lit(T.COMMENTS), F.lit(1))
-    return pages.select(
+def split_comments(pages: DataFrame, classes: Sequence[str] = T.COMMENT_CLASSES) -> DataFrame:
+    """The markup without user comments, and the comments' text (null if there are none).
+
+    A comment section is an element of any tag that has one of the classes, with all that is nested in it.
+    """
+    apart = M.Wanted(classes={"comments": classes}, unseen=T.NOT_SHOWN)
+    found = pages.select("page_id", "html", M.spans("html", apart).alias("_found"))
+    texts = F.transform(
+        M.of_kind(M.outermost(F.col("_found")), "comments"),
+        lambda s: T.plain_text(T.drop_unseen(M.inside(F.col("html"), s))),
+    )
+    return found.select(
         "page_id",
-        F.regexp_replace(seen, T.COMMENTS, "").alias("main"),
-        F.nullif(F.array_join(F.transform(inner, T.plain_text), "\n"), F.lit("")).alias(
-            "comments"
-        ),
+        M.without("html", F.col("_found"), spaced=T.NOT_SHOWN).alias("main"),
+        F.nullif(F.array_join(texts, "\n"), F.lit("")).alias("comments"),
     )
 
 

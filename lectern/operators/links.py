@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lectern.functions import markup as M
 from lectern.functions.text import drop_unseen
-from lectern.functions.urls import ANCHOR_HREF, IMAGE_SRC, absolute_url, canonical_url
+from lectern.functions.urls import absolute_url, canonical_url
 
 
-def _references(pages: DataFrame, pattern: str) -> DataFrame:
-    found = F.regexp_extract_all(drop_unseen("html"), F.lit(pattern), F.lit(1))
-    # Quotes come with the value; they are a pair or there are none.
-    found = F.transform(found, lambda v: F.regexp_replace(v, "^([\"'])(.*)\\1$", "$2"))
-    return (
-        pages.select(F.col("page_id").alias("item_id"), "url", F.explode(found).alias("_ref"))
-        .select("item_id", absolute_url("url", "_ref").alias("url"))
-        .where(F.col("url").isNotNull())
+def _references(pages: DataFrame, tag: str, attribute: str) -> DataFrame:
+    """What an attribute of all tags of a name refers to, made absolute before it becomes a row."""
+    found = F.transform(
+        M.tags(drop_unseen("html"), tag), lambda t: absolute_url("url", M.attribute(t, attribute))
     )
+    # Outer, as the plain form has Spark do all of the above again to test for rows.
+    return pages.select(
+        F.col("page_id").alias("item_id"), F.explode_outer(found).alias("url")
+    ).where(F.col("url").isNotNull())
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Outgoing links, absolute, one row per link as often as the page has it."""
-    return _references(pages, ANCHOR_HREF)
+    return _references(pages, "a", "href")
 
 
 def hot_links(links: DataFrame, n: int) -> DataFrame:
@@ -53,7 +54,7 @@ def hot_links_estimate(links: DataFrame, rsd: float = 0.02) -> DataFrame:
 def image_manifest(pages: DataFrame) -> DataFrame:
     """Each image with each item that shows it, and the name a cache stores it under."""
     return (
-        _references(pages, IMAGE_SRC)
+        _references(pages, "img", "src")
         .distinct()
         .select("url", "item_id", F.md5("url").alias("cache_key"))
     )

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import first_line
 from lectern.functions.urls import host_of
@@ -191,20 +191,27 @@ class ReaderTables:
 
     @cached_property
     def pages_plus(self) -> DataFrame:
-        """Pages with an image, some with a video and user comments, at the end of the article."""
+        """Pages with an image at the end of the article, some with a video, an advert that
+        holds another one, markup in comments, and user comments of several parts."""
         number = F.col("page_id").cast("string")
+
+        def where(every: int, rest: int, *parts) -> Column:
+            return F.when(F.col("page_id") % every == rest, F.concat(*parts)).otherwise("")
+
         added = F.concat(
             F.lit('<img src="/i/'), (F.col("page_id") % 40).cast("string"), F.lit('.png">'),
-            F.when(
-                F.col("page_id") % 3 == 0,
-                F.concat(F.lit('<iframe src="/v/'), number, F.lit('"></iframe>')),
-            ).otherwise(""),
-            F.when(
-                F.col("page_id") % 4 == 0,
-                F.concat(
-                    F.lit('<div class="comments"><p>Comment on '), number, F.lit("</p></div>")
-                ),
-            ).otherwise(""),
+            where(3, 0, F.lit('<iframe src="/v/'), number, F.lit('"></iframe>')),
+            where(
+                5, 0,
+                F.lit("<aside title=it's class='wide AD'><aside>Buy <div>me</div></aside>"
+                      '<div class="ad">twice</div>BUY NOW</aside>'),
+            ),
+            where(6, 1, F.lit("<!-- <script> --><p title=\"class='ad' >\">Still shown</p><!-- </div> -->")),
+            where(
+                4, 0,
+                F.lit('<div class="user comments"><div>Comment on '), number,
+                F.lit("</div><div>Answer to <div>"), number, F.lit("</div></div></div>"),
+            ),
             F.lit("</article>"),
         )
         return self.pages.withColumn("html", F.replace("html", F.lit("</article>"), added))

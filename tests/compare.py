@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -11,6 +12,9 @@ TABLES = (
 ).split()
 
 
+NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
+
+
 def duck(directory: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in TABLES:
@@ -26,6 +30,16 @@ def _cell(value) -> str:
     return repr(value.item() if hasattr(value, "item") else value)
 
 
+def as_pandas(df) -> pd.DataFrame:
+    """A Spark result whose integers stay integers where some are null, as DuckDB gives them."""
+    table = df.toArrow()
+    columns = {}
+    for name, column in zip(table.column_names, table.columns):
+        mapper = NULLABLE.get if column.null_count else None
+        columns[name] = column.to_pandas(types_mapper=mapper)
+    return pd.DataFrame(columns)
+
+
 def _kind(dtype) -> str:
     return str(dtype)
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
-from compare import differences, duck
+from compare import as_pandas, differences, duck
 from helpers import plan
 
 SF = "/root/testdata/sf0.001"
@@ -43,7 +43,7 @@ def check_plan(name, text):
 def test_query_agrees_with_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     check_plan(name, plan(df))
-    got = df.toPandas()
+    got = as_pandas(df)
     if name in SQL:
         assert differences(got, con.execute(SQL[name]).df()) is None
     else:
