@@ -3,7 +3,7 @@
 import __spark_entry__ as entry_points
 import corpus_pipeline
 import pytest
-from compare import differences, duck
+from compare import as_pandas, differences, duck
 
 from lectern.llm import ngram_join, stages
 from lectern.llm.common import table
@@ -21,7 +21,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(llm_oracles()))
 def test_query_agrees_with_sql(spark, con, name):
-    got = llm_queries()[name](spark, SF).toPandas()
+    got = as_pandas(llm_queries()[name](spark, SF))
     assert differences(got, con.execute(llm_oracles()[name]).df()) is None
 
 
