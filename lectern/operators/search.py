@@ -27,7 +27,7 @@ def find_postings(items: DataFrame, terms: Sequence[str], every: bool = False) -
     into words; with `every`, only those that contain all, as is enough for
     `search_all` and `search_phrase`.
     """
-    wanted = _wanted(terms)
+    wanted = wanted_words(terms)
     has = [F.contains(F.lower("text"), F.lit(t)) for t in wanted]
     candidates = items.where(reduce(lambda a, b: a & b if every else a | b, has))
     return _postings(candidates.select("item_id", tokens("text").alias("_words")), wanted)
@@ -91,7 +91,7 @@ def index_figures(index: DataFrame) -> DataFrame:
     )
 
 
-def _wanted(terms: Sequence[str]) -> list[str]:
+def wanted_words(terms: Sequence[str]) -> list[str]:
     """The words of the terms, cut as texts are cut."""
     return sorted({word for term in terms for word in phrase_words(term)})
 
@@ -130,7 +130,7 @@ def read_figures(spark: SparkSession, path: str) -> DataFrame:
 
 def stored_postings(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame:
     """The postings of `terms`, read from their buckets only, as many as the index was written with."""
-    wanted = _wanted(terms)
+    wanted = wanted_words(terms)
     buckets = read_figures(spark, path).first()["buckets"]
     return read_index(spark, path).where(
         F.col("bucket").isin([_bucket(F.lit(t), buckets) for t in wanted])
@@ -143,7 +143,7 @@ def search_all(postings: DataFrame, terms: Sequence[str]) -> DataFrame:
 
     `postings` is an index or what `find_postings` gives; so in the other searches.
     """
-    wanted = _wanted(terms)
+    wanted = wanted_words(terms)
     return (
         postings.where(F.col("term").isin(wanted))
         .groupBy("item_id")
@@ -168,7 +168,7 @@ def search_ranked(
     with the number of items per term are scalar subqueries. Postings are read
     once: scores and these numbers come from the same shuffle by item.
     """
-    wanted = _wanted(terms)
+    wanted = wanted_words(terms)
     per_item = (
         postings.where(F.col("term").isin(wanted))
         .groupBy("item_id")

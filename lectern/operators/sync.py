@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.plans.ordering import first_n_per_key
 
 
-def _content_hash(columns: Sequence[str]) -> Column:
+def content_hash(columns: Sequence[str]) -> Column:
     """64 bits per row, compared only within one key; null and absent values differ."""
     return F.xxhash64(*[e for c in columns for e in (F.col(c).isNull(), F.col(c))])
 
@@ -19,8 +19,8 @@ def sync_diff(
     local: DataFrame, remote: DataFrame, key: str, columns: Sequence[str]
 ) -> DataFrame:
     """`key` with `status`: new, removed, changed or same. Only key and hash are shuffled."""
-    here = local.select(key, _content_hash(columns).alias("_here"))
-    there = remote.select(key, _content_hash(columns).alias("_there"))
+    here = local.select(key, content_hash(columns).alias("_here"))
+    there = remote.select(key, content_hash(columns).alias("_there"))
     status = (
         F.when(F.col("_here").isNull(), "new")
         .when(F.col("_there").isNull(), "removed")

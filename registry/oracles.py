@@ -204,6 +204,12 @@ RANKED = f"""
                  / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
         FROM tf JOIN df USING (term), corpus
         GROUP BY item_id ORDER BY score DESC, item_id LIMIT 20"""
+LATER_WORDS = r"""
+  later_words AS (
+  SELECT item_id, len(ws) AS item_length, unnest(ws) AS term, unnest(range(0, len(ws))) AS position
+  FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'),
+                                    lambda w: w <> '') AS ws FROM remote_copy))
+"""
 UPSERTED = """
   SELECT coalesce(r.item_id, l.item_id) AS item_id,
          CASE WHEN r.item_id IS NOT NULL THEN r.feed_id ELSE l.feed_id END AS feed_id,
@@ -269,6 +275,12 @@ QUERIES = {
         LEFT JOIN local_copy l ON l.item_id = k.item_id
         LEFT JOIN remote_copy r ON r.item_id = k.item_id""",
     "sync_upsert": UPSERTED,
+    "sync_changes": """
+        SELECT coalesce(l.item_id, r.item_id) AS item_id,
+               CASE WHEN l.item_id IS NULL THEN 'new' WHEN r.item_id IS NULL THEN 'removed' ELSE 'changed' END AS status
+        FROM local_copy l FULL JOIN remote_copy r ON l.item_id = r.item_id
+        WHERE l.item_id IS NULL OR r.item_id IS NULL OR l.text <> r.text""",
+    "sync_incremental": UPSERTED,
     "new_since": """
         SELECT item_id, feed_id, title FROM remote_copy
         WHERE item_id > (SELECT max(item_id) FROM local_copy)""",
@@ -489,6 +501,19 @@ QUERIES = {
     "search_ranked": RANKED,
     "search_phrase": PHRASE_HITS,
     "search_stored_index": RANKED,
+    "update_index": f"""
+        , {LATER_WORDS}
+        SELECT term, item_id, count(*) AS tf,
+               string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions,
+               CAST(any_value(item_length) AS BIGINT) AS item_length
+        FROM later_words GROUP BY term, item_id""",
+    "search_updated_index": f", {LATER_WORDS} {RANKED.replace('FROM words', 'FROM later_words')}",
+    "search_filtered": f"""
+        , {LATER_WORDS}
+        SELECT item_id, count(*) AS hits FROM later_words
+        WHERE term IN {TERMS} AND item_id IN (
+          SELECT item_id FROM flagged JOIN feed_groups USING (feed_id) WHERE group_id = 4 AND NOT is_read)
+        GROUP BY item_id HAVING count(DISTINCT term) = 3""",
     # Streams
     "stream_items": """
         SELECT item_id, feed_id, lang, title, url, md5(text) AS text_md5, created_at FROM items""",

@@ -13,6 +13,7 @@ from lectern.operators import (
     articles,
     counts,
     display,
+    incremental,
     links,
     listings,
     overrides,
@@ -24,6 +25,7 @@ from lectern.plans.reader_list import reader_list
 from lectern.plans.views import build_views
 from lectern.session import new_folder, prepare
 from lectern.sources import ingest, reader_model as model, tables
+from lectern.sources.change_table import ChangeTable
 from lectern.sources.reader_model import ReaderTables
 from lectern.streaming import feeds as streams, runner
 
@@ -148,6 +150,28 @@ def q_sync_upsert(r: ReaderTables) -> DataFrame:
     return merged.select("item_id", "feed_id", "title", F.md5("text").alias("text_md5"))
 
 
+def _copy(r: ReaderTables) -> ChangeTable:
+    """The local copy, stored."""
+    copy = incremental.copy_table(
+        r.spark, new_folder(r.spark, "changes"), r.local_copy.schema, "item_id", INDEX_BUCKETS
+    )
+    incremental.sync_incremental(copy, r.local_copy, incremental.changes(copy, r.local_copy))
+    return copy
+
+
+def q_sync_changes(r: ReaderTables) -> DataFrame:
+    """What a sync with the later copy would write."""
+    return incremental.changes(_copy(r), r.remote_copy)
+
+
+def q_sync_incremental(r: ReaderTables) -> DataFrame:
+    """A sync that writes changes only, some buckets compacted, and the copy read back."""
+    copy = _copy(r)
+    incremental.sync_incremental(copy, r.remote_copy, incremental.changes(copy, r.remote_copy))
+    copy.compact(range(0, INDEX_BUCKETS, 3))
+    return copy.read().select("item_id", "feed_id", "title", F.md5("text").alias("text_md5"))
+
+
 def q_new_since(r: ReaderTables) -> DataFrame:
     return sync.new_since(r.remote_copy, r.local_copy, "item_id").select(
         "item_id", "feed_id", "title"
@@ -471,6 +495,39 @@ def q_search_stored_index(r: ReaderTables) -> DataFrame:
     return search.search_ranked(postings, figures, SEARCH_TERMS, 20)
 
 
+def _index_in_step(r: ReaderTables) -> incremental.Index:
+    """The index of the local copy, brought up to date with what changed in the later one."""
+    index = incremental.Index(r.spark, new_folder(r.spark, "index"), INDEX_BUCKETS)
+    index.update(r.local_copy)
+    found = sync.sync_diff(r.local_copy, r.remote_copy, "item_id", ["feed_id", "title", "text"])
+    coming = found.where("status in ('new', 'changed')").select("item_id")
+    void = found.where("status in ('changed', 'removed')").select("item_id")
+    index.update(r.remote_copy.join(coming, "item_id", "left_semi"), void)
+    return index
+
+
+def q_update_index(r: ReaderTables) -> DataFrame:
+    return _index_in_step(r).postings.read().select(
+        "term", "item_id", "tf", F.array_join("positions", ",").alias("positions"), "item_length"
+    )
+
+
+def q_search_updated_index(r: ReaderTables) -> DataFrame:
+    """The ranked search from the index kept in step, half of its buckets compacted."""
+    index = _index_in_step(r)
+    index.compact(range(0, INDEX_BUCKETS, 2))
+    return search.search_ranked(index.find(SEARCH_TERMS), index.figures(), SEARCH_TERMS, 20)
+
+
+def q_search_filtered(r: ReaderTables) -> DataFrame:
+    """All the terms, among unread items of one group only, from the index kept in step."""
+    index = _index_in_step(r)
+    chosen = listings.filter_items(
+        r.items, group=4, feed_groups=r.feed_groups, flags=_account(r), read=False
+    )
+    return search.search_all(index.find_in(SEARCH_TERMS, chosen), SEARCH_TERMS)
+
+
 # Streams
 
 
