@@ -29,7 +29,7 @@ def hash_bucket(columns: Sequence[str | Column], buckets: int) -> Column:
 
 @dataclass(frozen=True)
 class ChangeTable:
-    """`key` says which rows a change makes void, `bucket_by` where rows lie; keys aren't null."""
+    """`key` says which rows a change makes void, `bucket_by` where rows lie; a null key is a key."""
 
     spark: SparkSession
     path: str
@@ -85,7 +85,7 @@ class ChangeTable:
         )
         same = F.col("run") < F.col("_void")
         for k in self.key:
-            same = same & (F.col(k) == F.col(f"_{k}"))
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
         return rows.join(void, same, "left_anti").select(*columns)
 
     def write(self, rows: DataFrame, void: DataFrame | None = None) -> int:

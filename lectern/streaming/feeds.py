@@ -48,9 +48,13 @@ def stream_counts(
     events: DataFrame, width: str = "6 hours", delay: str | None = None
 ) -> DataFrame:
     """Reads and saves per time window, from events that may be sent again."""
+    return stream_windows(stream_dedupe(events, delay), width)
+
+
+def stream_windows(events: DataFrame, width: str = "6 hours") -> DataFrame:
+    """Reads and saves per time window, of events that come once; also of a table of them."""
     return (
-        stream_dedupe(events, delay)
-        .groupBy(F.window("ts", width))
+        events.groupBy(F.window("ts", width))
         .agg(
             F.count_if(F.col("action") == "read").alias("reads"),
             F.count_if(F.col("action") == "save").alias("saves"),

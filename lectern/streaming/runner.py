@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def _finish(query: StreamingQuery, timeout: int | None) -> None:
+def finish(query: StreamingQuery, timeout: int | None) -> None:
     """Wait for the end, without a limit if `timeout` is None; a failed query raises."""
     if timeout is None:
         query.awaitTermination()
@@ -30,7 +30,7 @@ def run_append(
         .trigger(availableNow=True)
         .start()
     )
-    _finish(query, timeout)
+    finish(query, timeout)
     spark = stream.sparkSession
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), query
 
@@ -60,7 +60,7 @@ def run_update(
         .trigger(availableNow=True)
         .start()
     )
-    _finish(query, timeout)
+    finish(query, timeout)
     values = [c for c in stream.columns if c not in keys]
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     changes = spark.read.schema(schema).parquet(f"{folder}/rows")

@@ -247,7 +247,8 @@ QUERIES = {
         SELECT 'documents' AS table_name, doc_id AS id,
                md5(text || '|' || lang || '|' || source || '|' || n_chars) AS digest FROM documents
         UNION ALL SELECT 'pages', page_id, md5(url || '|' || html) FROM pages
-        UNION ALL SELECT 'events', event_id, md5(user_id || '|' || event_type || '|' || props)
+        UNION ALL SELECT 'events', event_id, md5(epoch_us(ts) || '|' || user_id || '|' || event_type || '|'
+                 || printf('%.12e', value) || '|' || props)
         FROM events
         UNION ALL SELECT 'labels', doc_id, md5(quality || '|' || toxic) FROM labels""",
     "ingest_snapshot": "SELECT event_id, account_id, item_id, action, ts FROM state_events",
@@ -527,6 +528,10 @@ QUERIES = {
         {WINDOWS},
                (SELECT count(*) FROM state_events, edge WHERE ts <= mark) AS late
         FROM accepted GROUP BY window_start""",
+    "stream_late_rows": """
+        SELECT event_id + 1000000000000 AS event_id, account_id, item_id, action, ts FROM state_events
+        WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAYS FROM events)""",
+    "stream_unread": "SELECT item_id, feed_id, title FROM flagged WHERE NOT is_read",
     "stream_enriched": """
         SELECT i.item_id, i.feed_id, f.title AS feed_title,
                coalesce(v.data, 'data:image/gif;base64,default') AS icon, i.title, i.url

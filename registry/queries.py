@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern import schemas
 from lectern.functions.urls import canonical_url
@@ -27,7 +27,8 @@ from lectern.session import new_folder, prepare
 from lectern.sources import ingest, reader_model as model, tables
 from lectern.sources.change_table import ChangeTable
 from lectern.sources.reader_model import ReaderTables
-from lectern.streaming import feeds as streams, runner
+from lectern.streaming import feeds as streams, live, runner
+from lectern.streaming.once import Taken, take_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +56,15 @@ def q_load_tables(r: ReaderTables) -> DataFrame:
     """Every row of all four tables, their long columns as digests."""
 
     def shown(table: str, key: str, *values: str) -> DataFrame:
-        parts = [F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values]
+        def text(column: str) -> Column:
+            kind = r.source[table].schema[column].dataType.typeName()
+            if kind == "double":
+                return F.format_string("%.12e", column)
+            if kind == "timestamp_ntz":
+                return F.unix_micros(F.col(column).cast("timestamp")).cast("string")
+            return F.col(column).cast("string")
+
+        parts = [F.coalesce(text(v), F.lit("")) for v in values]
         return r.source[table].select(
             F.lit(table).alias("table_name"),
             F.col(key).cast("bigint").alias("id"),
@@ -65,7 +74,7 @@ def q_load_tables(r: ReaderTables) -> DataFrame:
     return (
         shown("documents", "doc_id", "text", "lang", "source", "n_chars")
         .unionByName(shown("pages", "page_id", "url", "html"))
-        .unionByName(shown("events", "event_id", "user_id", "event_type", "props"))
+        .unionByName(shown("events", "event_id", "ts", "user_id", "event_type", "value", "props"))
         .unionByName(shown("labels", "doc_id", "quality", "toxic"))
     )
 
@@ -544,14 +553,6 @@ def _event_stream(r: ReaderTables) -> DataFrame:
     return model.state_events(_landed(r, "events"))
 
 
-def _whole_event_stream(r: ReaderTables) -> DataFrame:
-    """The log in one file: what is late must not depend on how it was cut."""
-    path = new_folder(r.spark, "landed-log")
-    r.source["events"].coalesce(1).write.parquet(path)
-    schema = schemas.SOURCE_TABLES["events"]
-    return model.state_events(streams.stream_items(r.spark, path, schema, files_per_batch=1))
-
-
 def _sent_twice(r: ReaderTables) -> DataFrame:
     return _event_stream(r).unionByName(_event_stream(r))
 
@@ -563,10 +564,7 @@ def q_stream_items(r: ReaderTables) -> DataFrame:
 
 
 def q_stream_dedupe(r: ReaderTables) -> DataFrame:
-    once, _ = runner.run_append(
-        streams.stream_dedupe(_sent_twice(r)), new_folder(r.spark, "dedupe")
-    )
-    return once.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return take_once(_sent_twice(r), new_folder(r.spark, "once")).rows
 
 
 def q_stream_state(r: ReaderTables) -> DataFrame:
@@ -574,28 +572,46 @@ def q_stream_state(r: ReaderTables) -> DataFrame:
     return runner.run_update(flags, new_folder(r.spark, "state"), state.KEYS)[0]
 
 
+def q_stream_unread(r: ReaderTables) -> DataFrame:
+    """The unread list from the live table, which takes up the log file by file."""
+    folder = new_folder(r.spark, "live")
+    flags = live.live_flags(r.spark, f"{folder}/flags", INDEX_BUCKETS)
+    live.fold_flags(_event_stream(r), flags, f"{folder}/progress", most_runs=2)
+    mine = live.account_flags(flags, model.ACCOUNT)
+    return state.unread_items(r.items.select("item_id", "feed_id", "title"), mine)
+
+
 def q_stream_counts(r: ReaderTables) -> DataFrame:
-    windows = streams.stream_counts(_sent_twice(r))
-    return runner.run_update(windows, new_folder(r.spark, "counts"), ["window_start"])[0]
+    """Windows over the stream of events taken up once; their state is the windows only."""
+    folder = new_folder(r.spark, "counts")
+    taken = take_once(_sent_twice(r), folder).rows
+    once = streams.stream_items(r.spark, f"{folder}/rows", taken.schema)
+    windows = streams.stream_windows(streams.with_event_time(once))
+    return runner.run_update(windows, f"{folder}/windows", ["window_start"])[0]
 
 
-def q_stream_late(r: ReaderTables) -> DataFrame:
-    """The whole log, then the whole log again under new ids: most of it is too late by then."""
+def _taken_with_late(r: ReaderTables) -> Taken:
+    """The whole log in several files, then the whole log again under new ids: most of it is too late by then."""
     folder = new_folder(r.spark, "late")
     landing = f"{folder}/landing"
-    first = _whole_event_stream(r)
+    first = _event_stream(r)
     late = r.state_events.withColumn("event_id", F.col("event_id") + LATE_ID)
     r.spark.createDataFrame([], late.schema).write.parquet(landing)
+    events = first.unionByName(streams.stream_items(r.spark, landing, late.schema))
+    take_once(events, folder, LATE_DELAY)
+    late.write.mode("append").parquet(landing)
+    return take_once(events, folder, LATE_DELAY)
 
-    def run():
-        resent = streams.stream_items(r.spark, landing, late.schema)
-        windows = streams.stream_counts(first.unionByName(resent), delay=LATE_DELAY)
-        return runner.run_update(windows, folder, ["window_start"])
 
-    run()
-    late.write.mode("append").parquet(landing)
-    windows, query = run()
-    return windows.withColumn("late", F.lit(runner.dropped_late(query)).cast("bigint"))
+def q_stream_late(r: ReaderTables) -> DataFrame:
+    taken = _taken_with_late(r)
+    windows = streams.stream_windows(streams.with_event_time(taken.rows))
+    return windows.withColumn("late", taken.late.select(F.count(F.lit(1))).scalar())
+
+
+def q_stream_late_rows(r: ReaderTables) -> DataFrame:
+    """The late events themselves."""
+    return _taken_with_late(r).late
 
 
 def q_stream_enriched(r: ReaderTables) -> DataFrame:
