@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.functions import markup as M, text as T
 from lectern.functions.html_part import selected_text
 from lectern.functions.urls import canonical_url, host_of
+from lectern.plans.steps import stored
 
 
 def _with_longest_suffix(df: DataFrame, host: str, patterns: DataFrame) -> DataFrame:
@@ -24,8 +25,10 @@ def _with_longest_suffix(df: DataFrame, host: str, patterns: DataFrame) -> DataF
         patterns.groupBy(F.lower("host_suffix").alias("host_suffix"))
         .agg(F.max("body_pattern").alias("body_pattern"))
         .withColumn("_labels", F.size(F.split("host_suffix", r"\.")))
+        # A host name has no more labels.
+        .where(F.col("_labels") <= 127)
     )
-    # At most 127, as a host name has no more labels.
+    labelled = stored(labelled, "patterns")
     depths = [r[0] for r in labelled.select("_labels").distinct().collect()]
     depths.sort(reverse=True)
     for depth in depths:
@@ -60,13 +63,10 @@ def match_site_pattern(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """Pages with `host` and the most specific pattern for it, null if there is none.
 
     A pattern applies to its host and to hosts below it (`example.net` to
-    `m.example.net`, not to `notexample.net`). Patterns are matched to the distinct
-    hosts; only those that have one meet the pages.
+    `m.example.net`, not to `notexample.net`). The patterns are stored by suffix, so the
+    planner knows that they are small and pages stay where they are.
     """
-    hosted = pages.withColumn("host", host_of("url"))
-    hosts = hosted.select("host").distinct()
-    known = _with_longest_suffix(hosts, "host", patterns).where(F.col("host_suffix").isNotNull())
-    return hosted.join(known, "host", "left")
+    return _with_longest_suffix(pages.withColumn("host", host_of("url")), "host", patterns)
 
 
 def clean_article(pages: DataFrame) -> DataFrame:
@@ -143,7 +143,11 @@ def with_reader_view(pages: DataFrame) -> DataFrame:
 
 
 def article_page(items: DataFrame, template: str) -> DataFrame:
-    """`template` with `{title}`, `{url}` and `{text}` filled in, HTML-escaped.
+    return with_article_page(items, template).select("item_id", "page")
+
+
+def with_article_page(items: DataFrame, template: str) -> DataFrame:
+    """Items with `page`: `template` with `{title}`, `{url}` and `{text}` filled in, HTML-escaped.
 
     The template is cut at its placeholders, so a value that looks like one is
     not filled again.
@@ -158,7 +162,7 @@ def article_page(items: DataFrame, template: str) -> DataFrame:
         if name:
             parts.append(T.escape_html(F.coalesce(name, F.lit(""))))
             rest = rest[len(name) + 2:]
-    return items.select("item_id", F.concat(*parts).alias("page"))
+    return items.withColumn("page", F.concat(*parts))
 
 
 def backfill_titles(items: DataFrame, html: str = "html") -> DataFrame:

@@ -43,6 +43,33 @@ def feed_counts(items: DataFrame, state: DataFrame) -> DataFrame:
     return with_flags(narrow, state).groupBy("feed_id").agg(*_measures())
 
 
+def account_counts(items: DataFrame, flags: DataFrame, account_feeds: DataFrame) -> DataFrame:
+    """Total, unread and saved items per account and feed it follows, of all accounts at once.
+
+    No account meets items that it never touched: totals are those of the feeds, and only
+    flags that are set are counted by account, in part before the shuffle, so that neither an
+    account nor an item that holds most flags gathers in one task.
+    """
+    sizes = items.groupBy("feed_id").agg(F.count(F.lit(1)).alias("total"))
+    touched = (
+        flags.where("is_read or is_saved")
+        .join(items.select("item_id", "feed_id"), "item_id")
+        .groupBy("account_id", "feed_id")
+        .agg(F.count_if("is_read").alias("_read"), F.count_if("is_saved").alias("saved"))
+    )
+    total, read = F.coalesce("total", F.lit(0)), F.coalesce("_read", F.lit(0))
+    return (
+        account_feeds.select("account_id", "feed_id")
+        .distinct()
+        .join(sizes, "feed_id", "left")
+        .join(touched, ["account_id", "feed_id"], "left")
+        .select(
+            "account_id", "feed_id", total.alias("total"), (total - read).alias("unread"),
+            F.coalesce("saved", F.lit(0)).alias("saved"),
+        )
+    )
+
+
 def group_counts(items: DataFrame, state: DataFrame, feed_groups: DataFrame) -> DataFrame:
     """The same per group, and for all groups together with a null group.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import markup as M
 from lectern.functions.text import drop_unseen
@@ -51,6 +51,26 @@ def hot_links_estimate(links: DataFrame, rsd: float = 0.02) -> DataFrame:
     )
 
 
+def land_sketches(links: DataFrame, path: str, landing: int, lg_k: int = 12) -> None:
+    """Store, for one landing of links, a sketch per URL of the items that have it.
+
+    Written again, a landing replaces itself; an item that lands twice counts once anyway.
+    """
+    sketches = links.groupBy(canonical_url("url").alias("url")).agg(
+        F.hll_sketch_agg("item_id", F.lit(lg_k)).alias("sketch")
+    )
+    sketches.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+        f"{path}/landing={landing}"
+    )
+
+
+def merged_links(spark: SparkSession, path: str) -> DataFrame:
+    """About how many items have each URL, from the sketches of all landings; links aren't counted again."""
+    stored = spark.read.schema("url string, sketch binary, landing bigint").parquet(path)
+    union = F.hll_union_agg("sketch").alias("sketch")
+    return stored.groupBy("url").agg(union).select("url", F.hll_sketch_estimate("sketch").alias("items"))
+
+
 def image_manifest(pages: DataFrame) -> DataFrame:
     """Each image with each item that shows it, and the name a cache stores it under."""
     return (

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.plans.ordering import first_n_per_key
+from lectern.plans.steps import stored
 
 
 def content_hash(columns: Sequence[str]) -> Column:
@@ -69,13 +70,17 @@ def dedupe_items(items: DataFrame, by: str = "text", key: str = "item_id") -> Da
     digest = F.md5(F.lower(F.col(by)))
     # An item without content is no copy of another one.
     content = F.coalesce(digest, F.concat(F.lit("#"), F.col(key).cast("string")))
-    keyed = items.select(key, content.alias("_content"))
-    groups = (
+    # Stored, so that texts are digested once and the planner knows how few copies there are:
+    # it then sends these to the items and not the texts to them.
+    keyed = stored(items.select(key, content.alias("_content")), "digests")
+    groups = stored(
         keyed.groupBy("_content")
         .agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
+        .where("copies > 1"),
+        "copies",
     )
     losers = keyed.join(groups, "_content").where(F.col(key) != F.col("_first")).select(key)
+    losers = stored(losers, "losers")
     counted = groups.select(F.col("_first").alias(key), "copies")
     return (
         items.join(losers, key, "left_anti")

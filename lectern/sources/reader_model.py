@@ -121,6 +121,14 @@ class ReaderTables:
             "event_id",
         )
 
+    @cached_property
+    def account_feeds(self) -> DataFrame:
+        """An account follows the feeds of the items whose links it opened."""
+        opened = self.state_events.where(F.col("action") == "open").select("account_id", "item_id")
+        return opened.join(self.items.select("item_id", "feed_id"), "item_id").select(
+            "account_id", "feed_id"
+        ).distinct()
+
     @cached_property
     def favicons(self) -> DataFrame:
         """Every third feed has no icon data."""

@@ -318,6 +318,15 @@ QUERIES = {
         SELECT feed_id, item_id, title, created_at FROM items
         ORDER BY created_at DESC, item_id DESC LIMIT 25""",
     "feed_counts": f"SELECT feed_id, {MEASURES} FROM flagged GROUP BY feed_id",
+    "account_counts": """
+        SELECT a.account_id, a.feed_id, count(*) AS total,
+               count(*) FILTER (NOT coalesce(c.is_read, false)) AS unread,
+               count(*) FILTER (coalesce(c.is_saved, false)) AS saved
+        FROM (SELECT DISTINCT account_id, feed_id FROM state_events JOIN items USING (item_id)
+              WHERE action = 'open') a
+        JOIN items i ON i.feed_id = a.feed_id
+        LEFT JOIN current_flags c ON c.account_id = a.account_id AND c.item_id = i.item_id
+        GROUP BY a.account_id, a.feed_id""",
     "group_counts": f"""
         SELECT CAST(group_id AS VARCHAR) AS group_id, total, unread, saved FROM ({GROUP_COUNTS})""",
     "zero_count_groups": f"""
@@ -426,6 +435,13 @@ QUERIES = {
           || '</title></head><body><h1><a href="' || {_escaped("url")} || '">'
           || {_escaped("title")} || '</a></h1><div>' || {_escaped("text")}
           || '</div></body></html>' AS page FROM items""",
+    "article_pages_written": f"""
+        SELECT item_id, md5('<html><head><title>' || {_escaped("later")}
+          || '</title></head><body><h1><a href="' || {_escaped("url")} || '">'
+          || {_escaped("later")} || '</a></h1><div>' || {_escaped("text")}
+          || '</div></body></html>') AS page_md5,
+          CASE WHEN feed_id = 'src3' THEN 'changed' END AS status
+        FROM (SELECT *, CASE WHEN feed_id = 'src3' THEN title || '!' ELSE title END AS later FROM items)""",
     "alternative_url": """
         SELECT i.item_id, i.feed_id, i.url,
                CASE WHEN f.feed_no % 2 = 0
@@ -454,6 +470,8 @@ QUERIES = {
     "hot_links_estimate": f"""
         SELECT url, count(DISTINCT item_id) AS items, true AS near FROM {LINKS}
         WHERE url IS NOT NULL GROUP BY url""",
+    "hot_links_merged": f"""
+        SELECT url, count(DISTINCT item_id) AS items FROM {LINKS} WHERE url IS NOT NULL GROUP BY url""",
     "image_manifest": f"""
         SELECT DISTINCT url, page_id AS item_id, md5(url) AS cache_key FROM (
           SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/i/' || (page_id % 40)
@@ -499,6 +517,9 @@ QUERIES = {
     "search_all": f"""
         SELECT item_id, count(*) AS hits FROM words WHERE term IN {TERMS}
         GROUP BY item_id HAVING count(DISTINCT term) = 3""",
+    "search_unindexed": f"""
+        SELECT item_id, count(*) AS hits FROM words WHERE term IN {TERMS}
+        GROUP BY item_id HAVING count(DISTINCT term) = 3""",
     "search_ranked": RANKED,
     "search_phrase": PHRASE_HITS,
     "search_stored_index": RANKED,

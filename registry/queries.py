@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lectern import schemas
 from lectern.functions.urls import canonical_url
@@ -26,6 +27,7 @@ from lectern.plans.views import build_views
 from lectern.session import new_folder, prepare
 from lectern.sources import ingest, reader_model as model, tables
 from lectern.sources.change_table import ChangeTable
+from lectern.sources.partition_sink import read_parts, write_changed
 from lectern.sources.reader_model import ReaderTables
 from lectern.streaming import feeds as streams, live, runner
 from lectern.streaming.once import Taken, take_once
@@ -43,6 +45,8 @@ MARK_TIME = datetime(2024, 2, 1)
 LATE_ID = 1_000_000_000_000
 LANDED_FILES = 3
 LATE_DELAY = "2 days"
+# Where indexes kept for a session lie, by session and table directory.
+KEPT: dict[tuple[str, str], str] = {}
 
 
 def _account(r: ReaderTables) -> DataFrame:
@@ -234,6 +238,10 @@ def q_feed_counts(r: ReaderTables) -> DataFrame:
     return counts.feed_counts(r.items, _account(r))
 
 
+def q_account_counts(r: ReaderTables) -> DataFrame:
+    return counts.account_counts(r.items, state.current_state(r.state_events), r.account_feeds)
+
+
 def _group_counts(r: ReaderTables) -> DataFrame:
     return counts.group_counts(r.items, _account(r), r.feed_groups)
 
@@ -372,6 +380,20 @@ def q_article_page(r: ReaderTables) -> DataFrame:
     return articles.article_page(r.items, TEMPLATE)
 
 
+def q_article_pages_written(r: ReaderTables) -> DataFrame:
+    """Pages written by feed, then again after one feed's titles changed, and read back."""
+    path = new_folder(r.spark, "article-pages")
+
+    def build(items: DataFrame) -> DataFrame:
+        return articles.with_article_page(items, TEMPLATE).select("item_id", "page", "feed_id")
+
+    later = F.when(F.col("feed_id") == "src3", F.concat("title", F.lit("!"))).otherwise(F.col("title"))
+    for items in (r.items, r.items.withColumn("title", later)):
+        changed = write_changed(items, "feed_id", build, path, of=["item_id", "title", "url", "text"])
+    pages = read_parts(r.spark, path, StructType.fromDDL("item_id bigint, page string, feed_id string"), "feed_id")
+    return pages.join(changed, "feed_id", "left").select("item_id", F.md5("page").alias("page_md5"), "status")
+
+
 def q_alternative_url(r: ReaderTables) -> DataFrame:
     return display.alternative_url(
         r.items.select("item_id", "feed_id", "url"), r.alt_url_templates
@@ -414,6 +436,15 @@ def q_hot_links_estimate(r: ReaderTables) -> DataFrame:
     return exact.join(estimate, "url").select("url", "items", near.alias("near"))
 
 
+def q_hot_links_merged(r: ReaderTables) -> DataFrame:
+    """Pages land in three parts, one of them twice; the stored sketches are merged."""
+    path = new_folder(r.spark, "sketches")
+    found = links.extract_links(r.pages)
+    for landing, part in enumerate([0, 1, 2, 1]):
+        links.land_sketches(found.where(F.col("item_id") % 3 == part), path, landing)
+    return links.merged_links(r.spark, path)
+
+
 def q_image_manifest(r: ReaderTables) -> DataFrame:
     return links.image_manifest(r.pages_plus)
 
@@ -480,19 +511,33 @@ def q_build_index(r: ReaderTables) -> DataFrame:
     )
 
 
+def _kept_index(r: ReaderTables) -> incremental.Index:
+    """The index of all items, built by the first search of a session and kept for the others."""
+    place = (r.spark.sparkContext.applicationId, r.directory)
+    if place not in KEPT:
+        index = incremental.Index(r.spark, new_folder(r.spark, "index"), INDEX_BUCKETS)
+        index.update(r.items)
+        KEPT[place] = index.path
+    return incremental.Index(r.spark, KEPT[place], INDEX_BUCKETS)
+
+
 def q_search_all(r: ReaderTables) -> DataFrame:
-    return search.search_all(search.find_postings(r.items, SEARCH_TERMS, every=True), SEARCH_TERMS)
+    return search.search_all(_kept_index(r).find(SEARCH_TERMS), SEARCH_TERMS)
 
 
 def q_search_ranked(r: ReaderTables) -> DataFrame:
-    postings = search.find_postings(r.items, SEARCH_TERMS)
-    return search.search_ranked(postings, search.corpus_figures(r.items), SEARCH_TERMS, 20)
+    index = _kept_index(r)
+    return search.search_ranked(index.find(SEARCH_TERMS), index.figures(), SEARCH_TERMS, 20)
 
 
 def q_search_phrase(r: ReaderTables) -> DataFrame:
-    return search.search_phrase(
-        search.find_postings(r.items, search.phrase_words(PHRASE), every=True), PHRASE
-    )
+    words = search.phrase_words(PHRASE)
+    return search.search_phrase(_kept_index(r).find(words), PHRASE)
+
+
+def q_search_unindexed(r: ReaderTables) -> DataFrame:
+    """All the terms, straight from the articles, where no index is kept."""
+    return search.search_all(search.find_postings(r.items, SEARCH_TERMS, every=True), SEARCH_TERMS)
 
 
 def q_search_stored_index(r: ReaderTables) -> DataFrame:
