@@ -12,8 +12,10 @@ the highest of all its windows of a few sizes, so that an insult counts in a lon
 too. A logistic curve over these, fitted on labelled texts the models haven't seen,
 gives the score.
 
-The models learn from at most TRAIN_ROWS labelled rows and TRAIN_BYTES of text per class,
-taken in the order of a hash of the id; these bounds also limit the broadcast model.
+The models learn from at most TRAIN_ROWS labelled rows per class, taken in the order of a hash
+of the id, and of these from TRAIN_BYTES of text, the shortest texts first, so that one very long
+text can't crowd out the others; these bounds also limit the broadcast model. A word counts no
+more often in a class than there are texts that have it.
 
 Defined results: a null or empty text has no evidence and gets the curve's value there;
 null labels and labels without a document teach nothing; repeated rows count as often
@@ -214,12 +216,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text:
         .union(usable.where("label = 0").orderBy("order", "id").limit(TRAIN_ROWS))
     )
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    so_far = Window.partitionBy("label").orderBy("order", "id").rowsBetween(
+    # From the shortest on, so that a few very long texts leave room for all others.
+    so_far = Window.partitionBy("label").orderBy("size", "order", "id").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         texts.join(F.broadcast(chosen), "id")
-        .withColumn("bytes", F.sum(F.octet_length("text")).over(so_far))
+        .withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
+        .withColumn("bytes", F.sum("size").over(so_far))
         .where(F.col("bytes") <= TRAIN_BYTES)
         .select("text", "label", crc_mod("id", FOLDS).alias("fold"))
     )
@@ -245,6 +249,17 @@ def pairs_of(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np
     return pairs // len(vocabulary) - 1, pairs % len(vocabulary), counts.astype(np.float64)
 
 
+def texts_with(texts: list[bytes], vocabulary: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """How many of the texts have each stem; `place` is the stem of each word."""
+    counts = np.zeros(size, dtype=np.int64)
+    for begin, end in chunks(texts):
+        (words, *_), begins = word_and_prefix_hashes(texts[begin:end], BY_LETTER, ())
+        stems = place[np.searchsorted(vocabulary, words)]
+        of = np.repeat(np.arange(end - begin), np.diff(begins))
+        counts += np.bincount(np.unique(of * size + stems) % size, minlength=size)
+    return counts
+
+
 def discounted(counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
     """What is left of counts, and what was taken."""
     taken = np.minimum(counts, discount)
@@ -267,13 +282,15 @@ def train_models(toxic: list[bytes], ordinary: list[bytes], continuations: np.nd
         levels.append(table)
         place.append(at)
     classes = [pairs_of(texts, words) for texts in (toxic, ordinary)]
-    # Continuations of every level: distinct words before it, per class.
+    # Continuations of every level: distinct words before it, per class, but no more than there
+    # are texts that have it. A word that one text repeats is no habit of its class.
     seen = [
         [
-            np.bincount(
-                np.unique((before + 1) * len(table) + at[word]) % len(table), minlength=len(table)
+            np.minimum(
+                np.bincount(np.unique((before + 1) * len(table) + at[word]) % len(table), minlength=len(table)),
+                texts_with(texts, words, at, len(table)),
             ).astype(np.float64)
-            for before, word, _ in classes
+            for (before, word, _), texts in zip(classes, (toxic, ordinary), strict=True)
         ]
         for table, at in zip(levels, place, strict=True)
     ]
@@ -384,9 +401,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text:
         return None
     learns = ~fits if not fits.all() else fits
     groups = [without_copies([texts[i] for i in np.flatnonzero(learns & (label_of == c))]) for c in (1, 0)]
-    # Models of unlike size would differ in what they leave to the shared level.
-    size = min(map(len, groups))
-    model = train_models(groups[0][:size], groups[1][:size], shared_continuations(docs, text))
+    model = train_models(*groups, shared_continuations(docs, text))
     chosen = np.flatnonzero(fits)
     present = np.bincount(label_of[chosen], minlength=2)
     odds = np.array([of_class[0], of_class[1]], dtype=np.float64) / np.maximum(present, 1)
