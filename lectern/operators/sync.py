@@ -73,12 +73,7 @@ def dedupe_items(items: DataFrame, by: str = "text", key: str = "item_id") -> Da
     # Stored, so that texts are digested once and the planner knows how few copies there are:
     # it then sends these to the items and not the texts to them.
     keyed = stored(items.select(key, content.alias("_content")), "digests")
-    groups = stored(
-        keyed.groupBy("_content")
-        .agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1"),
-        "copies",
-    )
+    groups = stored(copy_groups(keyed, key), "copies")
     losers = keyed.join(groups, "_content").where(F.col(key) != F.col("_first")).select(key)
     losers = stored(losers, "losers")
     counted = groups.select(F.col("_first").alias(key), "copies")
@@ -89,6 +84,15 @@ def dedupe_items(items: DataFrame, by: str = "text", key: str = "item_id") -> Da
     )
 
 
+def copy_groups(keyed: DataFrame, key: str) -> DataFrame:
+    """Contents (`_content`) of more than one row, with the lowest key and the number of rows."""
+    return (
+        keyed.groupBy("_content")
+        .agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("copies"))
+        .where("copies > 1")
+    )
+
+
 def union_accounts(copies: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """All rows of several copies, one per key: the copy listed first wins.
 
