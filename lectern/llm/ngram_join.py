@@ -9,14 +9,18 @@ overlap is counted, and the partial counts are summed per pair.
 What keeps it in proportion to the input:
 
 * Equal sets are one class (128-bit signature), so copies cost nothing further.
-* Prefix shingles that only one class has are found by grouped minima, and left out by
-  a bitmap of fixed size before anything else moves; the join stays exact however full
-  the bitmap is.
+* Shingles of one text are told from others by a bitmap of fixed size, come first in the
+  order and are never moved. Of the other prefix shingles those of one class are found by
+  grouped minima and left out by a second bitmap. The join stays exact however full the
+  bitmaps are.
 * Shingles that the same classes have are one list from then on.
 * A list's classes are compared with a few leaders first. Classes that are in one
-  component then need no comparison, so a large group of near copies costs its size
-  times the leaders, not its square. After that, all pairs left across components that
-  pass the filters are counted, so no link between components is lost.
+  component then need no comparison. Those outside the component that most of a list's
+  classes are in are compared with more leaders of it, so a large group of near copies
+  costs its size times the first leaders, and its stragglers times the others, not its
+  square. After that, all pairs left across components that pass the filters are counted,
+  so no link between components is lost.
+* Sets are cut into fragments once for all rounds.
 
 Defined results: a null text or one without words has an empty set, links with nothing
 and is its own component; a null id never names a component that has another id;
@@ -35,14 +39,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import stored, text_bytes
 from lectern.llm.components import components
-from lectern.llm.shingles import Order, global_order, shingle_sets, signature
+from lectern.llm.shingles import BITMAP_BITS, Order, global_order, in_bitmap, shingle_sets, signature
 
 # Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 FRAGMENTS = 4
-LEADERS = 16
-# Bits of a filter: 16 MB, whatever the corpus.
-BITMAP_BITS = 1 << 27
+# Leaders of a list in the first round, and of its commonest component in the second.
+LEADERS = 8
+HOME_LEADERS = 64
 # Places of one piece of a bitmap, as Spark's bitmap functions cut it.
 PIECE_BITS = 32768
 
@@ -96,9 +100,10 @@ def postings(text: str, shared_order, shared_bits=None):
                 seen.add(node)
                 tokens = order.sort(hashes)[: prefix_size(len(hashes))]
                 places = np.arange(len(tokens), dtype=np.int32)
+                kept = order.shared(tokens)
                 if bits is not None:
-                    kept = in_bitmap(bits, tokens)
-                    tokens, places = tokens[kept], places[kept]
+                    kept &= in_bitmap(bits, tokens)
+                tokens, places = tokens[kept], places[kept]
                 for column, values in zip(
                     columns,
                     (
@@ -138,11 +143,6 @@ def bitmap_of(keys: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-    return ((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def fragments(text: str, shared_order, shared_nodes):
     """For `mapInArrow`: the ordered shingles of candidate sets, cut into fragments."""
 
@@ -158,9 +158,11 @@ def fragments(text: str, shared_order, shared_nodes):
                 if not len(hashes) or key in seen or not in_bitmap(nodes, np.array([one], dtype=np.uint64))[0]:
                     continue
                 seen.add(key)
-                part = order.fragment(hashes, FRAGMENTS)
+                # A shingle that no other set has adds to the size only.
+                common = hashes[order.shared(hashes)]
+                part = order.fragment(common, FRAGMENTS)
                 rows += [
-                    (as_long(one), key, len(hashes), f, hashes[part == f].view(np.int64))
+                    (as_long(one), key, len(hashes), f, common[part == f].view(np.int64))
                     for f in range(FRAGMENTS)
                 ]
             if rows:
@@ -235,6 +237,21 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
     return node_pairs(met.where("x.node <> y.node AND x.label <> y.label"))
 
 
+def home_pairs(lists: DataFrame) -> DataFrame:
+    """Every class outside the component that most of its list's classes are in, with up to
+    HOME_LEADERS classes of that component in the list."""
+    sizes = lists.groupBy("list", "label").agg(F.count("*").alias("n"))
+    homes = sizes.groupBy("list").agg(F.max(F.struct("n", "label"))["label"].alias("home"))
+    placed = lists.join(homes, "list")
+    leaders = (
+        placed.where("label = home")
+        .groupBy("list", F.pmod(F.xxhash64("node"), F.lit(HOME_LEADERS)).alias("part"))
+        .agg(F.min(F.struct(*MEMBER)).alias("y"))
+    )
+    strays = placed.where("label <> home").select("list", F.struct(*MEMBER).alias("x"))
+    return node_pairs(strays.join(leaders.select("list", "y"), "list"))
+
+
 def open_pairs(lists: DataFrame) -> DataFrame:
     """All pairs across components that share a list and pass the filters."""
     x = F.struct(*MEMBER)
@@ -242,13 +259,14 @@ def open_pairs(lists: DataFrame) -> DataFrame:
     return node_pairs(met.where("x.node < y.node AND x.label <> y.label"))
 
 
-def cut_sets(docs: DataFrame, text: str, order, pairs: DataFrame) -> DataFrame:
-    """The sets of candidate pairs, cut into fragments, each once."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(ends, "node"))
+def cut_sets(docs: DataFrame, text: str, order, lists: DataFrame) -> DataFrame:
+    """The sets of all classes in the lists, cut into fragments, each once."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(lists.select("node"), "node"))
     cut = docs.select(text).mapInArrow(fragments(text, order, bits), FRAGMENT)
     # Copies in other partitions.
-    return stored(cut.dropDuplicates(["signature", "fragment"]), "join-fragments")
+    out = stored(cut.dropDuplicates(["signature", "fragment"]), "join-fragments")
+    bits.destroy()
+    return out
 
 
 def similar_pairs(cut: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -312,15 +330,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     bits = spark.sparkContext.broadcast(bitmap_of(met, "token"))
     shared = stored(docs.select(text).mapInArrow(postings(text, order, bits), POSTING), "join-shared")
+    bits.destroy()
     lists = stored(merged_lists(shared), "join-lists")
-    tested = stored(leader_pairs(lists.withColumn("label", F.col("node"))), "join-pairs")
-    edges = stored(similar_pairs(cut_sets(docs, text, order, tested), tested), "join-edges")
+    cut = cut_sets(docs, text, order, lists)
+    order.destroy()
+
+    still = lists.withColumn("label", F.col("node"))
+    tested = stored(leader_pairs(still), "join-pairs")
+    edges = stored(similar_pairs(cut, tested), "join-edges")
     found = components(edges)
-    still = stored(open_lists(lists, found), "join-open")
-    rest = stored(open_pairs(still).join(tested, ["a", "b"], "left_anti"), "join-pairs")
-    if not rest.isEmpty():
-        more = stored(similar_pairs(cut_sets(docs, text, order, rest), rest), "join-edges")
-        found = components(edges.union(more))
+    for pairs_of in (home_pairs, open_pairs):
+        still = stored(open_lists(still.drop("label"), found), "join-open")
+        pairs = stored(pairs_of(still).join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        if not pairs.isEmpty():
+            edges = edges.union(stored(similar_pairs(cut, pairs), "join-edges"))
+            found = components(edges)
+            tested = tested.union(pairs)
     filled = measured.where("n_shingles > 0")
     filled = filled.join(
         found.select(F.col("node").alias("signature"), "component"), "signature", "left"

@@ -16,6 +16,8 @@ WORDS = 5
 # Counters of the order, and the pieces they travel in. Fixed, whatever the corpus.
 COUNTERS = 1 << 22
 PIECES = 128
+# Bits of a filter: 16 MB, whatever the corpus.
+BITMAP_BITS = 1 << 27
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -48,53 +50,116 @@ def signature(hashes: np.ndarray) -> tuple[int, int]:
     return int(ends[0]), int(ends[1])
 
 
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    return ((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def set_bits(bits: np.ndarray, places: np.ndarray) -> None:
+    """Set bits at sorted places."""
+    if len(places):
+        at = places >> 3
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        masks = np.left_shift(np.uint8(1), (places & 7).astype(np.uint8))
+        bits[at[first]] |= np.bitwise_or.reduceat(masks, first)
+
+
+class Seen:
+    """Which places of a filter were met once at least, and which twice at least."""
+
+    def __init__(self, size: int) -> None:
+        self.once, self.twice = np.zeros(size, dtype=np.uint8), np.zeros(size, dtype=np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        places = np.sort((hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64))
+        fresh = np.diff(places, prepend=-1) != 0
+        known = in_bitmap(self.once, places.view(np.uint64))
+        repeated = places[~fresh | known]
+        set_bits(self.twice, repeated)
+        set_bits(self.once, places[fresh & ~known])
+
+    def merge(self, once: np.ndarray, twice: np.ndarray) -> None:
+        self.twice |= twice | (self.once & once)
+        self.once |= once
+
+
+PIECE = "piece int, counts binary, once binary, twice binary"
+
+
 def count_pieces(text: str):
-    """For `mapInArrow`: how many texts of the partition hold shingles of each counter, in pieces."""
+    """For `mapInArrow`: how many texts of the partition hold shingles of each counter, and
+    which places of the filter its texts meet once and twice, in pieces.
+
+    A set that the partition holds again is met once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int32)
+        met, known = Seen(BITMAP_BITS // 8), set()
         for batch in batches:
+            fresh = []
             for hashes in shingle_sets(text_bytes(batch.column(text))):
+                name = signature(hashes)
+                if name not in known:
+                    known.add(name)
+                    fresh.append(hashes)
+            if fresh:
+                hashes = np.concatenate(fresh)
                 slots = (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
-                np.add.at(counts, slots, 1)
-        pieces = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, PIECES)]
+                counts += np.bincount(slots, minlength=COUNTERS).astype(np.int32)
+                met.add(hashes)
+        packed = [
+            pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(values, PIECES)], pa.binary())
+            for values in (counts, met.once, met.twice)
+        ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(pieces, pa.binary())],
-            names=["piece", "counts"],
+            [pa.array(np.arange(PIECES, dtype=np.int32)), *packed],
+            names=["piece", "counts", "once", "twice"],
         )
 
     return run
 
 
-def packed_counts(total: np.ndarray) -> bytes:
-    return np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()
-
-
 def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum pieces that come sorted by number, one sum in memory at a time."""
-    piece, total = None, None
+
+    def packed(piece: int, total: np.ndarray, met: Seen) -> pa.RecordBatch:
+        counts = np.minimum(total, (1 << 31) - 1).astype(np.int32)
+        return pa.RecordBatch.from_pydict(
+            {
+                "piece": pa.array([piece], pa.int32()),
+                "counts": pa.array([counts.tobytes()], pa.binary()),
+                "twice": pa.array([met.twice.tobytes()], pa.binary()),
+            }
+        )
+
+    piece = total = met = None
     for batch in batches:
-        for number, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            values = np.frombuffer(zlib.decompress(packed), dtype=np.int32).astype(np.int64)
-            if number == piece:
-                total += values
-                continue
-            if piece is not None:
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [packed_counts(total)]})
-            piece, total = number, values
+        for number, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts, once, twice = (zlib.decompress(part) for part in parts)
+            if number != piece:
+                if piece is not None:
+                    yield packed(piece, total, met)
+                piece, total = number, np.zeros(COUNTERS // PIECES, dtype=np.int64)
+                met = Seen(BITMAP_BITS // 8 // PIECES)
+            total += np.frombuffer(counts, dtype=np.int32)
+            met.merge(np.frombuffer(once, dtype=np.uint8), np.frombuffer(twice, dtype=np.uint8))
     if piece is not None:
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": [packed_counts(total)]})
+        yield packed(piece, total, met)
 
 
 @dataclass
 class Order:
-    """A total order of all shingles, about rarest first, from a fixed table of counters.
+    """A total order of all shingles: those of one set first, then about rarest first.
 
-    Any total order gives right results; counters shared by several shingles only make
-    it less sharp. `fragment` cuts it into parts of about equal mass.
+    A shingle whose place in the filter `met_twice` is unset belongs to one set only, so
+    it can't be in any overlap. Counters and places that several shingles share only make
+    the order less sharp: any total order gives right results. `fragment` cuts the
+    shingles of several sets into parts of about equal mass.
     """
 
     counts: np.ndarray
+    met_twice: np.ndarray
 
     def __post_init__(self) -> None:
         # For each count, the mass of all counters with less, and with the same.
@@ -106,9 +171,14 @@ class Order:
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
 
+    def shared(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes several sets may have."""
+        return in_bitmap(self.met_twice, hashes)
+
     def sort(self, hashes: np.ndarray) -> np.ndarray:
         """The hashes, which come sorted, in the global order."""
-        return hashes[np.argsort(self.counts[self.slots(hashes)], kind="stable")]
+        rank = np.where(self.shared(hashes), self.counts[self.slots(hashes)], 0)
+        return hashes[np.argsort(rank, kind="stable")]
 
     def fragment(self, hashes: np.ndarray, parts: int) -> np.ndarray:
         at = np.searchsorted(self.values, self.counts[self.slots(hashes)])
@@ -117,16 +187,17 @@ class Order:
 
 
 def global_order(docs: DataFrame, text: str) -> Order:
-    """Counted over all documents; the driver receives COUNTERS sums, a fixed size."""
-    pieces = docs.select(text).mapInArrow(count_pieces(text), "piece int, counts binary")
+    """Counted over all documents; the driver receives COUNTERS sums and BITMAP_BITS bits, a fixed size."""
+    pieces = docs.select(text).mapInArrow(count_pieces(text), PIECE)
     sums = (
         pieces.repartition("piece")
         .sortWithinPartitions("piece")
-        .mapInArrow(add_pieces, "piece int, counts binary")
-        .collect()
+        .mapInArrow(add_pieces, "piece int, counts binary, twice binary")
     )
     counts = np.zeros(COUNTERS, dtype=np.int32)
-    size = COUNTERS // PIECES
-    for row in sums:
-        counts[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.int32)
-    return Order(counts)
+    twice = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    for row in sums.toLocalIterator():
+        for whole, name in ((counts, "counts"), (twice, "twice")):
+            size = len(whole) // PIECES
+            whole[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row[name], dtype=whole.dtype)
+    return Order(counts, twice)
