@@ -196,7 +196,8 @@ def global_order(docs: DataFrame, text: str) -> Order:
     )
     counts = np.zeros(COUNTERS, dtype=np.int32)
     twice = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in sums.toLocalIterator():
+    # Not an iterator over partitions, for which Spark runs the counting twice.
+    for row in sums.collect():
         for whole, name in ((counts, "counts"), (twice, "twice")):
             size = len(whole) // PIECES
             whole[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row[name], dtype=whole.dtype)
