@@ -343,7 +343,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         still = stored(open_lists(still.drop("label"), found), "join-open")
         pairs = stored(pairs_of(still).join(tested, ["a", "b"], "left_anti"), "join-pairs")
         if not pairs.isEmpty():
-            edges = edges.union(stored(similar_pairs(cut, pairs), "join-edges"))
+            # Few sets are left, so the others stay where they are.
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            few = cut.join(ends, "node", "left_semi")
+            edges = edges.union(stored(similar_pairs(few, pairs), "join-edges"))
             found = components(edges)
             tested = tested.union(pairs)
     filled = measured.where("n_shingles > 0")
