@@ -86,11 +86,12 @@ def secrets_sql() -> str:
     for rank, rule in enumerate(RULES):
         p = rule.pattern.replace("'", "''")
         scans.append(f"""
-    SELECT row, '{rule.kind}' AS kind, {rank} AS rank, len(m[i]) AS size,
+    SELECT row, '{rule.kind}' AS kind, {rank} AS rank, len(s[i]) AS span,
         list_sum(list_transform(gaps[:i], lambda x: len(x)))
-        + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) AS start
-    FROM (SELECT row, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+        + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) + len(m[i]) - len(s[i]) AS start
+    FROM (SELECT row, m, s, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
         SELECT row, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {rule.group}) AS g,
+            regexp_extract_all(text, '{p}', {rule.span}) AS s,
             string_split_regex(text, '{p}') AS gaps
         FROM docs WHERE regexp_matches(text, '{p}')))
     WHERE len(g[i]) >= {rule.least}""")
@@ -98,7 +99,7 @@ def secrets_sql() -> str:
         f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in BASE
     )
     base = ", ".join(f"'{k}'" for k in BASE)
-    span = "kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT"
+    span = "kind || ':' || start::BIGINT || ':' || (start + span)::BIGINT"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 spans AS ({" UNION ALL ".join(scans)}),

@@ -34,6 +34,8 @@ class Rule:
     group: int = 0
     least: int = 1
     version: int = 1
+    # The part that is the finding; it ends the match.
+    span: int = 0
 
     @property
     def key(self) -> str:
@@ -57,7 +59,13 @@ RULES = (
     # A run of hex digits ends where none follows, so short runs need not be matched at all.
     Rule("hex", "[0-9a-f]{24,}", least=24),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", least=40),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # It starts where a run of its letters starts, so that no run is read from each of its places.
+    Rule(
+        "jwt",
+        r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)",
+        version=2,
+        span=1,
+    ),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
@@ -69,17 +77,18 @@ class Ledger:
     """Scanned pairs and findings, each a table that runs append to.
 
     Findings are written before their pairs: a run that fails in between is repeated by
-    the next one, and its findings count once, as reads are distinct.
+    the next one, and its findings count once, as they are made distinct when read.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = folder or new_folder(spark, "secret-ledger")
+        for name, schema in (("pairs", PAIR), ("findings", FINDING)):
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.folder}/{name}")
 
     def read(self, name: str, schema: str) -> DataFrame:
         reader = self.spark.read.schema(schema).option("pathGlobFilter", "*.parquet")
-        self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.folder}/{name}")
-        return reader.parquet(f"{self.folder}/{name}").distinct()
+        return reader.parquet(f"{self.folder}/{name}")
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.folder}/{name}")
@@ -90,18 +99,25 @@ def content_key(text: str) -> Column:
 
 
 def matches(text: Column, rule: Rule) -> Column:
-    """array<struct<gap, size, counts>>: characters before each match since the last, its own,
-    and whether it is long enough."""
+    """array<struct<gap, size, span, counts>>: characters before each match since the last, its own,
+    those of the finding at its end, and whether it is long enough."""
     pattern = F.lit(rule.pattern)
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    spans = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.span)), F.length)
     parts = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
     # The last gap follows the last match.
     found = F.transform(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), parts.alias("part")),
+        F.arrays_zip(
+            F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"),
+            sizes.alias("size"),
+            spans.alias("span"),
+            parts.alias("part"),
+        ),
         lambda m: F.struct(
             m["gap"].cast("bigint").alias("gap"),
             m["size"].cast("bigint").alias("size"),
+            m["span"].cast("bigint").alias("span"),
             (m["part"] >= rule.least).alias("counts"),
         ),
     )
@@ -133,7 +149,7 @@ def scan(contents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         hits.select("content", "rule", "kind", F.posexplode("found").alias("i", "m"))
         .withColumn("end", F.sum(F.col("m.gap") + F.col("m.size")).over(by_text))
         .where("m.counts")
-        .select("content", "rule", "kind", (F.col("end") - F.col("m.size")).alias("start"), "end")
+        .select("content", "rule", "kind", (F.col("end") - F.col("m.span")).alias("start"), "end")
     )
 
 
@@ -141,17 +157,23 @@ def unseen_contents(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...], te
     """One text per content that lacks a rule, with the rules it was scanned under."""
     contents = docs.select(
         content_key(text).alias("content"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).dropDuplicates(["content"])
+    )
     scanned = ledger.read("pairs", PAIR)
     if scanned.isEmpty():
-        return contents.withColumn("seen", F.array().cast("array<string>"))
+        return contents.dropDuplicates(["content"]).withColumn("seen", F.array().cast("array<string>"))
+    # Only digests meet the ledger. What it lacks is stored, so that its size is known: while it is
+    # small, texts stay in place and known ones are passed over there.
     seen = scanned.groupBy("content").agg(F.collect_set("rule").alias("seen"))
     wanted = F.array(*[F.lit(rule.key) for rule in rules])
-    return (
-        contents.join(seen, "content", "left")
+    lacking = stored(
+        contents.select("content")
+        .distinct()
+        .join(seen, "content", "left")
         .withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        .where(F.size(F.array_except(wanted, F.col("seen"))) > 0)
+        .where(F.size(F.array_except(wanted, F.col("seen"))) > 0),
+        "unseen-contents",
     )
+    return contents.join(lacking, "content").dropDuplicates(["content"])
 
 
 def update_ledger(
@@ -180,7 +202,7 @@ def findings_by_path(
         rank = F.when(F.col("kind") == kind, F.lit(i)).otherwise(rank)
     findings = ledger.read("findings", FINDING).where(
         F.col("rule").isin([rule.key for rule in rules])
-    )
+    ).distinct()
     per_content = findings.groupBy("content").agg(
         F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("spans")
     )

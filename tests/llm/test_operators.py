@@ -296,6 +296,7 @@ def test_secrets_positions_and_ledger(spark):
     texts = [
         None, "", 'é password = "abc123XYZ" end', "token: short", 'secret="token: abcdefgh', "AKIA" + "A" * 16,
         "ab" * 12 + "-" + "cd" * 20, "token=" + "ab" * 12, "x " * 20_000 + "api_key:" + "q" * 9,
+        "eyJa.eyJb.c, x.eyJa-.eyJ_b.c.d xeyJa.eyJb.c\neyJa.eyJb eyJa.eyJb.c", "eyJ" * 100_000 + " " + "eyJ-" * 100_000,
     ]
     rows = [(n, t) for n, t in enumerate(texts)] + [(2, texts[2]), (99, texts[2])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("content", F.lit(1))
@@ -303,12 +304,17 @@ def test_secrets_positions_and_ledger(spark):
     first = secrets.RULES[:2]
     secrets.update_ledger(docs.where("doc_id < 5"), ledger, first)
     unseen = secrets.unseen_contents(docs, ledger, first, "text").count()
-    assert unseen == 4  # four new texts; copies and known ones are not scanned again
+    assert unseen == 6  # six new texts; copies and known ones are not scanned again
     secrets.update_ledger(docs, ledger, secrets.RULES)
     assert secrets.unseen_contents(docs, ledger, secrets.RULES, "text").count() == 0
     pairs = ledger.read("pairs", secrets.PAIR).count()
     secrets.update_ledger(docs, ledger, secrets.RULES)
     assert ledger.read("pairs", secrets.PAIR).count() == pairs
+    # The ledger outlives its object, and known texts are passed over where they lie.
+    again = secrets.Ledger(spark, ledger.folder)
+    later = secrets.unseen_contents(docs.union(docs.limit(1)), again, secrets.RULES, "text")
+    assert "BroadcastHashJoin" in later._jdf.queryExecution().executedPlan().toString()
+    assert again.read("pairs", secrets.PAIR).count() == pairs and later.count() == 0
     got = secrets.findings_by_path(docs, ledger).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -317,7 +323,7 @@ def test_secrets_positions_and_ledger(spark):
         for rank, rule in enumerate(secrets.RULES):
             for m in re.finditer(rule.pattern, text):
                 if len(m[rule.group]) >= rule.least:
-                    expected.append((m.start(), rank, m.end(), rule.kind))
+                    expected.append((m.start(rule.span), rank, m.end(), rule.kind))
         assert [tuple(s) for s in r.spans] == sorted(expected)
 
 
