@@ -1,25 +1,31 @@
 """Main text of web pages by the distribution of text over lines.
 
-A page is stripped of markup into lines, one per block element; what stands in menus,
-forms, adverts, comments and the like is markup too and leaves an empty line. The text
-lengths of a sliding window of lines are summed. Where the sum surges from nothing the
-text begins, where it dives to nothing it ends; the lines between are kept. A gap shorter
-than the window, such as an advert between two paragraphs, does not end the text.
+A page is stripped of markup into lines, one per block element; menus, forms, adverts,
+comments and the like are markup too and leave no line. A line weighs its characters, or
+nothing where most of them are links or a name in the markup speaks against it. Weights of
+a sliding window of lines are summed. The text begins at the line where a sum surges from
+nothing and ends at the one where the sums dive to nothing again; it counts if some sum in
+between reaches `SURGE` characters, or `PEAK` of the page's highest sum. All lines from surge to dive stay,
+lists of links and lines with odd names among them.
 
-Where a page marks its article, only lines in it have a length. Elsewhere links don't
-count, and of several stretches those stay that have a fair share of the longest one's
-text.
+Where a page marks its article, a text that meets the mark is as long as the mark: no
+line of it is lost however thin it is, and lines beside it go. Marks that hold but teasers are told
+by the same sums: with `TEASERS` times their weight in texts outside, those are taken.
+
+Names are taken by whole class tokens: `ad-slot` is an advert and goes, `has-sidebar` says
+nothing, and `share-price` is a hint only, which takes the line its weight.
 
 Defined results: a null or empty page, and one without text, has an empty text; an
 element left open ends with its parent or at the tag that implies its end; an unclosed
-comment or script reaches to the end; other columns pass through; empty tables give no
-rows.
+comment, script or tag reaches to the end; a quote counts only where a value begins; other
+columns pass through; empty tables give no rows. Every page is read in time linear in its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,19 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Lines in a window, and the share of the longest stretch's text that another must have.
+# Lines in a window; the sum of one that makes a text, in characters or as a share of the
+# page's highest; how much more text outside an article's marks makes them teasers.
 WINDOW = 3
-SHARE = 0.3
+SURGE = 80
+PEAK = 0.3
+TEASERS = 8
 
+# Possessive, so that what was read is never read again from the same place.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r"(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|title|iframe)(?=[\s/>]){ATTRIBUTES}(?:>|\Z)"
+    r".*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>{ATTRIBUTES})(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 PARTS = re.compile(r"[^a-z]+")
 
 # Names of elements.
@@ -68,56 +79,82 @@ AWAY_NAMES = frozenset(
     "subscribe subscription toc toolbar widget".split()
 )
 OUTSIDE_NAMES = frozenset("header masthead topbar".split())
+# Parts that may stand beside such a word in one class token, and first parts that
+# make a token tell of something else than the element itself.
+BESIDE = frozenset(
+    "area bar block body bottom box button buttons container content count form group inner item items left "
+    "link links list main outer page post posts right section site slot text thread title top "
+    "unit wrap wrapper".split()
+)
+OF_OTHERS = frozenset("has no with without is hide hidden show not".split())
 
 
 @dataclass
 class Line:
     parts: list[str] = field(default_factory=list)
+    size: int = 0
     linked: int = 0
     in_article: bool = False
     away: bool = False
+    doubtful: bool = False
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def is_away(tag: str, attributes: str, in_article: bool) -> bool:
+STAYS, DOUBTFUL, GOES = range(3)
+
+
+def evidence(tag: str, attributes: str, in_article: bool) -> int:
+    """What an element's name and the tokens of its class, id and role say of it."""
     if tag in AWAY or (tag == "header" and not in_article):
-        return True
+        return GOES
     if "=" not in attributes:
-        return False
-    names = {
-        part
-        for match in NAMES.finditer(attributes)
-        for part in PARTS.split("".join(g or "" for g in match.groups()).lower())
-    }
-    if tag in ("html", "body", "article", "main") and "comment" not in names and "comments" not in names:
-        return False
-    return bool(names & AWAY_NAMES) or (not in_article and bool(names & OUTSIDE_NAMES))
+        return STAYS
+    words = AWAY_NAMES if in_article else AWAY_NAMES | OUTSIDE_NAMES
+    if tag in ("html", "body", "article", "main"):
+        words = frozenset(("comment", "comments"))
+    found = STAYS
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() not in ("class", "id", "role"):
+            continue
+        for token in "".join(values).lower().split():
+            parts = [part for part in PARTS.split(token) if part]
+            if not parts or parts[0] in OF_OTHERS or words.isdisjoint(parts):
+                continue
+            if all(part in words or part in BESIDE for part in parts):
+                return GOES
+            found = DOUBTFUL
+    return found
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's lines in order; those of boilerplate are marked, not left out."""
     lines = [Line()]
-    # Open elements: name, whether it is boilerplate, whether it is the article or a link.
-    stack: list[tuple[str, bool, bool]] = []
-    away = article = links = 0
+    # Open elements: name, whether they are boilerplate, doubtful, the article.
+    stack: list[tuple[str, bool, bool, bool]] = []
+    opened: Counter[str] = Counter()
+    away = doubtful = article = links = 0
 
     def new_line() -> None:
         if lines[-1].parts:
             lines.append(Line())
 
     def pop_to(depth: int) -> None:
-        nonlocal away, article, links
+        nonlocal away, doubtful, article, links
         while len(stack) > depth:
-            name, was_away, was_article = stack.pop()
+            name, was_away, was_doubtful, was_article = stack.pop()
+            opened[name] -= 1
             away -= was_away
+            doubtful -= was_doubtful
             article -= was_article
             links -= name == "a"
-            if name in BLOCKS or was_away:
+            if name in BLOCKS or was_away or was_doubtful:
                 new_line()
 
     def find_open(name: str, within: tuple[str, ...] = ()) -> int:
+        if not opened[name]:
+            return -1
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 return i
@@ -129,13 +166,14 @@ def lines_of(page: str) -> list[Line]:
         if not text:
             return
         line = lines[-1]
-        if not line.parts:
-            line.away, line.in_article = away > 0, article > 0
-        elif line.away != (away > 0):
+        marks = away > 0, doubtful > 0, article > 0
+        if line.parts and line.away != marks[0]:
             new_line()
             line = lines[-1]
-            line.away, line.in_article = away > 0, article > 0
+        if not line.parts:
+            line.away, line.doubtful, line.in_article = marks
         line.parts.append(text)
+        line.size += len(text)
         if links:
             line.linked += len(text)
 
@@ -175,54 +213,65 @@ def lines_of(page: str) -> list[Line]:
             new_line()
         if tag in VOID or match["attributes"].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        gone = is_away(tag, match["attributes"], article > 0)
-        stack.append((tag, gone, tag in ARTICLE))
-        away += gone
+        if tag in ARTICLE and away and all(e[0] == "form" for e in stack if e[1]):
+            # A form around the whole page is its frame.
+            new_line()
+            stack[:] = [(name, False, *marks) for name, _, *marks in stack]
+            away = 0
+        said = evidence(tag, match["attributes"], article > 0)
+        stack.append((tag, said == GOES, said == DOUBTFUL, tag in ARTICLE))
+        opened[tag] += 1
+        away += said == GOES
+        doubtful += said == DOUBTFUL
         article += tag in ARTICLE
         links += tag == "a"
-        if gone:
+        if said != STAYS:
             new_line()
     add(page[at:])
     return lines
 
 
-def stretches(lengths: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of lines from a surge of the window sums to their dive."""
-    if not len(lengths):
+def stretches(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of lines from a surge of the window sums to their dive, if one sum between is high enough."""
+    if not weights.any():
         return []
-    padded = np.concatenate((np.zeros(WINDOW), lengths, np.zeros(WINDOW)))
+    padded = np.concatenate((np.zeros(WINDOW - 1), weights, np.zeros(WINDOW - 1)))
     sums = np.convolve(padded, np.ones(WINDOW), mode="valid")
     filled = np.concatenate(([0], (sums > 0).astype(np.int8), [0]))
     surges, dives = np.flatnonzero(np.diff(filled) == 1), np.flatnonzero(np.diff(filled) == -1)
-    # A window begins up to WINDOW lines before the text it meets.
+    level = min(SURGE, PEAK * sums.max())
+    # Window `i` ends with line `i`: the first one above nothing ends with the first line of
+    # the text, the last one begins with the last line.
     return [
-        (max(int(surge) - WINDOW, 0), min(int(dive) - 1, len(lengths) - 1) + 1)
+        (int(surge), int(dive) - WINDOW + 1)
         for surge, dive in zip(surges, dives, strict=True)
+        if sums[surge:dive].max() >= level
     ]
 
 
 def main_text(page: str | None) -> str:
-    lines = [line for line in lines_of(page or "")]
-    texts = [line.text() for line in lines]
-    marked = any(line.in_article and text and not line.away for line, text in zip(lines, texts, strict=True))
-    lengths = np.array(
+    read = ((line, line.text()) for line in lines_of(page or "") if not line.away)
+    # A line of nothing but markup and white space is no line.
+    lines = [(line, text) for line, text in read if text]
+    marks = np.array([line.in_article for line, _ in lines], dtype=bool)
+    weights = np.array(
         [
-            0 if line.away or marked and not line.in_article
-            else len(text) if marked
-            else max(len(text) - line.linked, 0)
-            for line, text in zip(lines, texts, strict=True)
+            len(text) if line.in_article
+            else 0 if line.doubtful or 2 * line.linked >= line.size
+            else len(text)
+            for line, text in lines
         ],
         dtype=np.float64,
     )
-    # A line of nothing but markup and white space is no line; boilerplate is.
-    there = np.array([bool(text) for text in texts], dtype=bool)
-    lengths, kept_lines = lengths[there], [t for t in texts if t]
-    ranges = stretches(lengths)
-    weights = [lengths[a:b].sum() for a, b in ranges]
-    if not marked and ranges:
-        least = SHARE * max(weights)
-        ranges = [r for r, w in zip(ranges, weights, strict=True) if w >= least]
-    return "\n\n".join(kept_lines[i] for a, b in ranges for i in range(a, b) if lengths[i] > 0)
+    inside = stretches(np.where(marks, weights, 0))
+    outside = stretches(np.where(marks, 0, weights))
+    marked = weights[marks].sum()
+    if marked and sum(weights[a:b].sum() for a, b in outside) < TEASERS * marked:
+        # The text met by the sums reaches as far as the marks do.
+        kept = np.flatnonzero(marks) if inside else []
+    else:
+        kept = [i for a, b in outside for i in range(a, b) if not marks[i]]
+    return "\n\n".join(lines[i][1] for i in kept)
 
 
 def extract(column: str):

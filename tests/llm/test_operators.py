@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -29,6 +30,7 @@ from lectern.llm.common import BY_LETTER, BY_SPACE, word_hashes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"w{n % 997}x{n % 13}" for n in range(60_000))
+DENSE = "A sentence of the main text that goes on for so long that three lines like it make a dense window."
 
 
 def words_of(text):
@@ -369,12 +371,57 @@ def test_licenses(spark):
         ('<div id="menu"><a href=1>A</a></div><div><p>A long text that is the body of it</p><p>and its end.</p></div>'
          '<div class="sidebar">side</div>', "A long text that is the body of it\n\nand its end."),
         ("<article><p>x<p>y<ul><li>1<li>2</ul></article>", "x\n\ny\n\n1\n\n2"),
+        (f'<div class="content has-sidebar"><p>{DENSE}</p></div>', DENSE),
+        (f"<div class='post no-comments'><p>{DENSE}</p></div><div class='comment-list'><p>{DENSE}</p></div>", DENSE),
+        (f'<article><p>{DENSE}</p><p class="share-price">12</p><p class=search-results>a</p></article>',
+         f"{DENSE}\n\n12\n\na"),
+        ("<article><a title=it's href='/q'>here</a> and<p title='class=ad'>there</p></article>", "here and\n\nthere"),
+        # Adverts leave no line, so they end no text; a menu without a name does.
+        ("<h1>Title</h1><p>Lead</p><ul><li>one<li>two</ul>" + "<div class=ad>buy</div>" * 4 + f"<p>{DENSE}</p>"
+         + "<p><a href=1>next</a></p>" * 4 + "<p>small print</p>", f"Title\n\nLead\n\none\n\ntwo\n\n{DENSE}"),
+        # Links between two lines of the text belong to it.
+        (f"<p>{DENSE}</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>end</p>", f"{DENSE}\n\none\n\ntwo\n\nend"),
+        (f"<form><nav>x</nav><main><p>{DENSE}</p><form>f</form></main></form>", DENSE),
+        ("<article><a href=1>teaser</a></article>" + f"<p>{DENSE}</p>" * 2, f"{DENSE}\n\n{DENSE}"),
+        ("<article><p>short</p></article><p>beside</p>", "short"),
+        ("<!--> a <!-- <script> --><p>b</p><script>c</script ><p>d</p><p title='", "a\n\nb\n\nd"),
     ],
 )
 def test_main_text(page, text):
     assert html_blocks.main_text(page) == text
 
 
+def test_stretches_as_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(500):
+        weights = [rng.choice((0, 0, 0, 5, 30, 200)) for _ in range(rng.randrange(12))]
+        # A text is cut where a whole window of lines weighs nothing.
+        texts, open_from, gap = [], None, 0
+        for i, w in enumerate([*weights, *[0] * html_blocks.WINDOW]):
+            gap = 0 if w else gap + 1
+            if w and open_from is None:
+                open_from = i
+            if open_from is not None and gap == html_blocks.WINDOW:
+                texts.append((open_from, i - gap + 1))
+                open_from = None
+        best = lambda a, b: max(
+            (sum(weights[max(i, a) : min(i + html_blocks.WINDOW, b)]) for i in range(a - 2, b)), default=0
+        )
+        level = min(html_blocks.SURGE, html_blocks.PEAK * max((best(*t) for t in texts), default=0))
+        assert html_blocks.stretches(np.array(weights, dtype=float)) == [t for t in texts if best(*t) >= level]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<script ", "<!", "</", "<a b='>", "<p><b>", "<ul><b><li>", '<div class="ad">'])
+def test_main_text_reads_a_page_once(unit):
+    def seconds(n):
+        start = time.process_time()
+        html_blocks.main_text(unit * n + "x")
+        return time.process_time() - start
+
+    # Reading again from every tag would take a hundred times as long.
+    assert seconds(20_000) < 30 * seconds(2_000) + 0.3
+
+
 def test_main_texts_of_a_table(spark):
     pages = spark.createDataFrame([(1, None), (1, "<p>x</p>"), (None, "<p>x</p>")], "page_id bigint, html string")
     pages = pages.withColumn("text", F.lit("clash"))

@@ -1,5 +1,8 @@
 """The registered queries on the given tables, and the pipeline stage by stage."""
 
+import html
+import re
+
 import __spark_entry__ as entry_points
 import corpus_pipeline
 import pytest
@@ -32,6 +35,17 @@ def test_main_text_of_every_page(spark):
     assert all(r.n_chars == len(r.text) and "©" not in r.text for r in got)
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_main_text_by_the_blocks_of_the_article(spark, tag):
+    """With and without the mark of the article, against a reader of these pages alone."""
+    for r in table(spark, SF, "pages").collect():
+        inner = re.search("<article>(.*?)</article>", r.html, re.DOTALL)[1]
+        blocks = re.split("</?(?:h1|p|ul|li|div)>", re.sub("<br>", " ", inner))
+        texts = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks]
+        page = r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")
+        assert main_text(page) == "\n\n".join(t for t in texts if t)
+
+
 @pytest.mark.parametrize("name", ["op5_shards", "op7_quality", "op8_toxicity"])
 def test_one_row_per_document(spark, name):
     ids = sorted(r.doc_id for r in table(spark, SF, "documents").select("doc_id").collect())
