@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import stored, text_bytes
 from lectern.llm.components import components
-from lectern.llm.shingles import BITMAP_BITS, Order, global_order, in_bitmap, shingle_sets, signature
+from lectern.llm.shingles import BITMAP_BITS, Order, global_order, in_bitmap, in_slices, shingle_sets, signature
 
 # Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -134,10 +134,9 @@ def bitmap_of(keys: DataFrame, name: str) -> np.ndarray:
         keys.select(F.expr(f"({name} & {BITMAP_BITS - 1}) div {PIECE_BITS}").alias("piece"), (low % PIECE_BITS).alias("bit"))
         .groupBy("piece")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        .collect()
     )
     out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in pieces:
+    for row in in_slices(pieces, BITMAP_BITS // PIECE_BITS, "join-bitmap"):
         at = row["piece"] * (PIECE_BITS // 8)
         out[at : at + PIECE_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out

@@ -8,14 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
-from lectern.llm.common import BASE, BY_SPACE, chunks, mix, text_bytes, word_hashes
+from lectern.llm.common import BASE, BY_SPACE, chunks, mix, stored, text_bytes, word_hashes
 
 WORDS = 5
 # Counters of the order, and the pieces they travel in. Fixed, whatever the corpus.
 COUNTERS = 1 << 22
 PIECES = 128
+# Parts in which pieces come to the driver.
+SLICES = 8
 # Bits of a filter: 16 MB, whatever the corpus.
 BITMAP_BITS = 1 << 27
 
@@ -186,6 +189,15 @@ class Order:
         return np.minimum((parts * (self.below[at] + self.width[at] * within)).astype(np.int64), parts - 1)
 
 
+def in_slices(pieces: DataFrame, n: int, purpose: str) -> Iterator[Row]:
+    """Rows of the pieces 0 to n - 1, stored first and brought to the driver a few at a time, so that
+    it holds neither all rows beside what they become nor computes them more than once."""
+    kept = stored(pieces, purpose)
+    step = -(-n // SLICES)
+    for first in range(0, n, step):
+        yield from kept.where(F.col("piece").between(first, first + step - 1)).collect()
+
+
 def global_order(docs: DataFrame, text: str) -> Order:
     """Counted over all documents; the driver receives COUNTERS sums and BITMAP_BITS bits, a fixed size."""
     pieces = docs.select(text).mapInArrow(count_pieces(text), PIECE)
@@ -196,8 +208,7 @@ def global_order(docs: DataFrame, text: str) -> Order:
     )
     counts = np.zeros(COUNTERS, dtype=np.int32)
     twice = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    # Not an iterator over partitions, for which Spark runs the counting twice.
-    for row in sums.collect():
+    for row in in_slices(sums, PIECES, "join-counts"):
         for whole, name in ((counts, "counts"), (twice, "twice")):
             size = len(whole) // PIECES
             whole[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row[name], dtype=whole.dtype)
