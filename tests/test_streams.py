@@ -4,9 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import STATE, at, events, rows
+from lectern import schemas
 from lectern.operators import state
+from lectern.plans import steps
 from lectern.session import new_folder
+from lectern.sources.reader_model import ReaderTables
 from lectern.streaming import feeds as streams, runner
+from registry import queries
 
 
 def land(df, path, files=1):
@@ -145,3 +149,33 @@ def test_items_of_unknown_feeds_stay(spark):
         new_folder(spark, "s"),
     )
     assert rows(shown) == [(1, "a", "A", "data:a", "t", "u"), (2, "new", None, "none", "t", "u")]
+
+
+def test_a_table_lands_in_as_many_files_as_it_is_read_in(spark, monkeypatch):
+    """One file a batch would be one task for a third of the table, however large that is."""
+    directory, landed = new_folder(spark, "tables"), new_folder(spark, "land")
+    known = schemas.SOURCE_TABLES["labels"]
+    some = spark.range(120).select(*[F.col("id").cast(f.dataType).alias(f.name) for f in known])
+    some.repartition(12).write.parquet(f"{directory}/labels.parquet")
+    monkeypatch.setattr(queries, "new_folder", lambda spark, purpose: landed)
+    arriving = queries._landed(ReaderTables(spark, directory), "labels")
+    whole = spark.read.parquet(f"{directory}/labels.parquet")
+    assert len(spark.read.parquet(landed).inputFiles()) >= whole.rdd.getNumPartitions() > queries.LANDED_BATCHES
+    taken, query = runner.run_append(arriving, new_folder(spark, "s"))
+    assert rows(taken) == rows(some)
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == queries.LANDED_BATCHES
+
+
+def test_feeds_are_made_once_and_not_in_each_batch(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(queries, "stored", lambda df, purpose: kept.append(purpose) or steps.stored(df, purpose))
+    r = ReaderTables(spark, new_folder(spark, "tables"))
+    known = schemas.SOURCE_TABLES["documents"]
+    docs = spark.createDataFrame([(n, f"feed{n % 4}", f"title {n}") for n in range(20)], "doc_id long, source string, text string")
+    docs = docs.select(*[(F.col(f.name) if f.name in docs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known])
+    docs.write.parquet(f"{r.directory}/documents.parquet")
+    r.__dict__["source"] = {"documents": docs}
+    shown = queries.q_stream_enriched(r)
+    want = [(n, f"Feed {n % 4}") for n in range(20)]
+    assert rows(shown.select("item_id", "feed_title")) == sorted(want, key=repr)
+    assert sorted(kept) == ["favicons", "feeds"]
