@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lectern.functions.text import tokens
 from lectern.operators.search import build_index, wanted_words
 from lectern.operators.sync import content_hash
 from lectern.schemas import CORPUS_FIGURES, STORED_POSTINGS
@@ -71,10 +70,13 @@ class Index:
     def update(self, items: DataFrame, void: DataFrame | None = None) -> None:
         """Take up new and changed items; `void` holds the ids of items that changed or went.
 
-        Only these items' texts are read, and only their postings are written.
+        Only these items' texts are read, and only their postings are written. It is the texts that are
+        dealt out evenly, as postings take several times their room.
         """
-        lengths = items.select("item_id", F.size(tokens("text")).cast("bigint").alias("item_length"))
-        run = self.lengths.write(lengths.where("item_length > 0"), void)
+        posted = self.postings.next_run()
+        rows = self.postings.lay(build_index(items.select("item_id", "text").hint("rebalance")), posted)
+        # Position 0 exists once per item that has a word.
+        run = self.lengths.write(rows.where(F.col("positions")[0] == 0).select("item_id", "item_length"), void)
         n = F.count(F.lit(1))
         figures = self.lengths.read().agg(
             n.alias("items"),
@@ -83,7 +85,7 @@ class Index:
         )
         figures.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/figures/run={run}")
         # Last, as searches see a run once its postings are listed.
-        self.postings.write(build_index(items), void)
+        self.postings.publish(posted, void)
 
     def compact(self, buckets: Sequence[int] | None = None) -> None:
         self.postings.compact(buckets)

@@ -90,29 +90,50 @@ class ChangeTable:
 
     def write(self, rows: DataFrame, void: DataFrame | None = None) -> int:
         """Add a run of rows; rows of earlier runs whose key is in `void` are no longer in force."""
-        last, parts = self.listing()
-        return self._add(rows, void, last + 1, parts)
+        run = self.next_run()
+        self._lay(rows, run, gathered=True)
+        return self.publish(run, void)
+
+    def next_run(self) -> int:
+        return self.listing()[0] + 1
+
+    def lay(self, rows: DataFrame, run: int) -> DataFrame:
+        """Write rows of a run that `publish` lists later, and give them back as written.
+
+        Each task writes the buckets of its own rows, so nothing is shuffled; a bucket has a file per task
+        until it is compacted. Rows should come in tasks small enough to be sorted in memory.
+        """
+        return self._lay(rows, run, gathered=False)
+
+    def publish(self, run: int, void: DataFrame | None = None) -> int:
+        """List a run whose rows are written; rows of earlier runs whose key is in `void` are no longer in force."""
+        return self._list(run, void, self.listing()[1])
 
     def compact(self, buckets: Iterable[int] | None = None) -> int:
         """Rewrite what is in force of some buckets, or of all, as one run."""
         last, parts = self.listing()
         chosen = {b for _, b in parts} if buckets is None else set(buckets)
         rest = [p for p in parts if p[1] not in chosen]
-        return self._add(self.read(chosen), None, last + 1, rest)
+        self._lay(self.read(chosen), last + 1, gathered=True)
+        return self._list(last + 1, None, rest)
 
-    def _add(self, rows: DataFrame, void: DataFrame | None, run: int, parts: list[tuple[int, int]]) -> int:
+    def _lay(self, rows: DataFrame, run: int, gathered: bool) -> DataFrame:
         place = f"{self.path}/rows/run={run}"
-        (
-            rows.select(*self.schema.fieldNames())
-            .withColumn("bucket", hash_bucket(self.bucket_by, self.buckets))
+        dealt = rows.select(*self.schema.fieldNames()).withColumn("bucket", hash_bucket(self.bucket_by, self.buckets))
+        if gathered:
             # Sizes the files: a hot bucket is split over tasks.
-            .hint("rebalance", "bucket")
-            .sortWithinPartitions("bucket", *self.bucket_by)
+            dealt = dealt.hint("rebalance", "bucket")
+        (
+            dealt.sortWithinPartitions("bucket", *self.bucket_by)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy("bucket")
             .parquet(place)
         )
+        return self.spark.read.schema(StructType([*self.schema.fields, PARTS["bucket"]])).parquet(place)
+
+    def _list(self, run: int, void: DataFrame | None, parts: list[tuple[int, int]]) -> int:
+        place = f"{self.path}/rows/run={run}"
         if void is None:
             void = self.spark.createDataFrame([], StructType([self.schema[k] for k in self.key]))
         # An empty table too, so that there is always something to read.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from helpers import rows
+from helpers import plan, rows
 from lectern.operators import incremental, search, sync
 from lectern.session import new_folder
 from lectern.sources.change_table import ChangeTable
@@ -61,6 +61,33 @@ def test_buckets_not_asked_for_stay_closed(spark):
     assert kept.read([bucket]).where("word = 'w7'").count() == 1
 
 
+def test_rows_that_are_laid_are_not_shuffled_and_not_seen_until_published(spark):
+    kept = table(spark, ("word",), 2)
+    kept.write(spark.createDataFrame([(1, "a", 1), (2, "a", 1)], SCHEMA))
+    coming = spark.createDataFrame([(n, "a", n) for n in range(2, 8)], SCHEMA).repartition(3)
+    run = kept.next_run()
+    laid = kept.lay(coming, run)
+    # A file of each task, where a shuffle by bucket would leave one.
+    assert len(laid.inputFiles()) == 3 and rows(laid.select("item_id")) == [(n,) for n in range(2, 8)]
+    assert rows(kept.read()) == [(1, "a", 1), (2, "a", 1)]
+    assert kept.publish(run, spark.createDataFrame([(2,)], "item_id bigint")) == run
+    assert rows(kept.read()) == [(1, "a", 1)] + [(n, "a", n) for n in range(2, 8)]
+
+
+def test_an_index_writes_each_posting_without_a_shuffle_of_postings(spark):
+    index = incremental.Index(spark, new_folder(spark, "i"), 2)
+    index.update(spark.createDataFrame([(1, "a b a"), (1, "a b a"), (None, "b"), (2, None), (3, " ")], ITEMS))
+    assert rows(index.lengths.read()) == [(1, 3), (1, 3), (None, 1)]
+    laid = []
+    lay = ChangeTable.lay
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ChangeTable, "lay", lambda self, some, run: laid.append(plan(some)) or lay(self, some, run))
+        index.update(spark.createDataFrame([(4, "c")], ITEMS))
+    # What is shuffled, texts, lies below the cutting into words.
+    (shown,) = laid
+    assert "Exchange" in shown and shown.index("Exchange") > shown.index("regexp_extract_all")
+
+
 def copies(spark):
     local = spark.createDataFrame([(n, f"text {n}") for n in range(50)] + [(99, None)], ITEMS)
     remote = spark.createDataFrame(
