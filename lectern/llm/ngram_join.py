@@ -43,7 +43,8 @@ from lectern.llm.shingles import BITMAP_BITS, Order, global_order, in_bitmap, in
 
 # Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-FRAGMENTS = 4
+# Few, as a pair is met once in each.
+FRAGMENTS = 2
 # Leaders of a list in the first round, and of its commonest component in the second.
 LEADERS = 8
 HOME_LEADERS = 64

@@ -198,6 +198,22 @@ def test_near_duplicates_as_by_brute_force(docs, monkeypatch, leaders):
     assert sorted(got, key=repr) == sorted(brute_components(docs.collect()), key=repr)
 
 
+def test_a_pair_is_met_in_few_fragments(docs, monkeypatch):
+    """The rows that the join of pairs makes; all pairs of a group may be among them."""
+    seen = []
+    cut_sets = ngram_join.cut_sets
+
+    def counted(*parts):
+        cut = cut_sets(*parts)
+        seen.append((cut.count(), cut.select("signature").distinct().count()))
+        return cut
+
+    monkeypatch.setattr(ngram_join, "cut_sets", counted)
+    ngram_join.near_duplicates(docs).count()
+    ((cut, classes),) = seen
+    assert 0 < cut <= 2 * classes
+
+
 def test_near_duplicates_of_nothing(empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
