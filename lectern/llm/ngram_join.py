@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import stored, text_bytes
 from lectern.llm.components import components
-from lectern.llm.shingles import BITMAP_BITS, Order, global_order, in_bitmap, in_slices, shingle_sets, signature
+from lectern.llm.shingles import BITMAP_BITS, Order, global_order, in_bitmap, one_by_one, shingle_sets, signature
 
 # Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -137,7 +137,7 @@ def bitmap_of(keys: DataFrame, name: str) -> np.ndarray:
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
     out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in in_slices(pieces, BITMAP_BITS // PIECE_BITS, "join-bitmap"):
+    for row in one_by_one(pieces, "join-bitmap"):
         at = row["piece"] * (PIECE_BITS // 8)
         out[at : at + PIECE_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
@@ -346,8 +346,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             # Few sets are left, so the others stay where they are.
             ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             few = cut.join(ends, "node", "left_semi")
-            edges = edges.union(stored(similar_pairs(few, pairs), "join-edges"))
-            found = components(edges)
+            edges = stored(similar_pairs(few, pairs), "join-edges")
+            if not edges.isEmpty():
+                # Stars stand for the edges of earlier rounds, so few steps are left.
+                stars = found.where("node <> component").toDF("a", "b")
+                found = components(stars.union(edges))
             tested = tested.union(pairs)
     filled = measured.where("n_shingles > 0")
     filled = filled.join(

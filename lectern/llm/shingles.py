@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 from lectern.llm.common import BASE, BY_SPACE, chunks, mix, stored, text_bytes, word_hashes
 
@@ -17,8 +16,8 @@ WORDS = 5
 # Counters of the order, and the pieces they travel in. Fixed, whatever the corpus.
 COUNTERS = 1 << 22
 PIECES = 128
-# Parts in which pieces come to the driver.
-SLICES = 8
+# Counts below this are told apart, larger ones by eighths of a power of two.
+FINE = 16
 # Bits of a filter: 16 MB, whatever the corpus.
 BITMAP_BITS = 1 << 27
 
@@ -123,15 +122,27 @@ def count_pieces(text: str):
     return run
 
 
+def grades(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each: a larger count never has a smaller grade."""
+    part, power = np.frexp(counts.astype(np.float64))
+    coarse = FINE + 8 * (power - 5) + np.floor(16 * part - 8)
+    return np.where(counts < FINE, counts, np.minimum(coarse, 255)).astype(np.uint8)
+
+
+def graded(grade: np.ndarray) -> np.ndarray:
+    """The smallest count of each grade."""
+    step = np.maximum(grade - FINE, 0)
+    return np.where(grade < FINE, grade, np.ldexp(0.5 + step % 8 / 16, step // 8 + 5))
+
+
 def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum pieces that come sorted by number, one sum in memory at a time."""
+    """Sum pieces that come sorted by number and grade the sums, one sum in memory at a time."""
 
     def packed(piece: int, total: np.ndarray, met: Seen) -> pa.RecordBatch:
-        counts = np.minimum(total, (1 << 31) - 1).astype(np.int32)
         return pa.RecordBatch.from_pydict(
             {
                 "piece": pa.array([piece], pa.int32()),
-                "counts": pa.array([counts.tobytes()], pa.binary()),
+                "grades": pa.array([grades(total).tobytes()], pa.binary()),
                 "twice": pa.array([met.twice.tobytes()], pa.binary()),
             }
         )
@@ -156,18 +167,18 @@ class Order:
     """A total order of all shingles: those of one set first, then about rarest first.
 
     A shingle whose place in the filter `met_twice` is unset belongs to one set only, so
-    it can't be in any overlap. Counters and places that several shingles share only make
-    the order less sharp: any total order gives right results. `fragment` cuts the
-    shingles of several sets into parts of about equal mass.
+    it can't be in any overlap. Counters and places that several shingles share, and counts
+    of one grade, only make the order less sharp: any total order gives right results.
+    `fragment` cuts the shingles of several sets into parts of about equal mass.
     """
 
-    counts: np.ndarray
+    grade: np.ndarray
     met_twice: np.ndarray
 
     def __post_init__(self) -> None:
-        # For each count, the mass of all counters with less, and with the same.
-        self.values, numbers = np.unique(self.counts, return_counts=True)
-        mass = self.values.astype(np.float64) * numbers
+        # For each grade, the mass of all counters with less, and with the same.
+        numbers = sum(np.bincount(part, minlength=256) for part in np.split(self.grade, PIECES))
+        mass = graded(np.arange(256)) * numbers
         total = max(float(mass.sum()), 1.0)
         self.below, self.width = (np.cumsum(mass) - mass) / total, mass / total
 
@@ -180,36 +191,33 @@ class Order:
 
     def sort(self, hashes: np.ndarray) -> np.ndarray:
         """The hashes, which come sorted, in the global order."""
-        rank = np.where(self.shared(hashes), self.counts[self.slots(hashes)], 0)
+        rank = np.where(self.shared(hashes), self.grade[self.slots(hashes)], np.uint8(0))
         return hashes[np.argsort(rank, kind="stable")]
 
     def fragment(self, hashes: np.ndarray, parts: int) -> np.ndarray:
-        at = np.searchsorted(self.values, self.counts[self.slots(hashes)])
+        at = self.grade[self.slots(hashes)]
         within = hashes.astype(np.float64) / 2.0**64
         return np.minimum((parts * (self.below[at] + self.width[at] * within)).astype(np.int64), parts - 1)
 
 
-def in_slices(pieces: DataFrame, n: int, purpose: str) -> Iterator[Row]:
-    """Rows of the pieces 0 to n - 1, stored first and brought to the driver a few at a time, so that
-    it holds neither all rows beside what they become nor computes them more than once."""
-    kept = stored(pieces, purpose)
-    step = -(-n // SLICES)
-    for first in range(0, n, step):
-        yield from kept.where(F.col("piece").between(first, first + step - 1)).collect()
+def one_by_one(pieces: DataFrame, purpose: str) -> Iterator[Row]:
+    """Rows stored first and brought to the driver by one plan, a partition at a time, so that it holds
+    neither all rows beside what they become nor computes them more than once."""
+    yield from stored(pieces, purpose).toLocalIterator()
 
 
 def global_order(docs: DataFrame, text: str) -> Order:
-    """Counted over all documents; the driver receives COUNTERS sums and BITMAP_BITS bits, a fixed size."""
+    """Counted over all documents; the driver receives COUNTERS bytes and BITMAP_BITS bits, a fixed size."""
     pieces = docs.select(text).mapInArrow(count_pieces(text), PIECE)
     sums = (
         pieces.repartition("piece")
         .sortWithinPartitions("piece")
-        .mapInArrow(add_pieces, "piece int, counts binary, twice binary")
+        .mapInArrow(add_pieces, "piece int, grades binary, twice binary")
     )
-    counts = np.zeros(COUNTERS, dtype=np.int32)
+    grade = np.zeros(COUNTERS, dtype=np.uint8)
     twice = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in in_slices(sums, PIECES, "join-counts"):
-        for whole, name in ((counts, "counts"), (twice, "twice")):
+    for row in one_by_one(sums, "join-counts"):
+        for whole, name in ((grade, "grades"), (twice, "twice")):
             size = len(whole) // PIECES
-            whole[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row[name], dtype=whole.dtype)
-    return Order(counts, twice)
+            whole[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row[name], dtype=np.uint8)
+    return Order(grade, twice)

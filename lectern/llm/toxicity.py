@@ -43,6 +43,7 @@ from lectern.llm.common import (
     text_bytes,
     word_and_prefix_hashes,
 )
+from lectern.llm.shingles import set_bits
 
 TRAIN_ROWS = 1536
 TRAIN_BYTES = 8 << 20
@@ -58,6 +59,8 @@ HELD_OUT, FOLDS = 0, 5
 CURVE = 4
 # Sketches of continuations: stems share SLOTS of BITMAPS, whatever the corpus.
 SLOTS, BITMAPS, PIECES = 1 << 18, 4, 64
+# Bits of the word pairs that the texts learned from have had.
+COPY_BITS = 1 << 25
 
 
 def pair_hashes(words: np.ndarray, stems: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -239,12 +242,21 @@ def pairs_of(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np
         before = np.full(len(at), -1, dtype=np.int64)
         before[1:] = at[:-1]
         before[begins[:-1][begins[:-1] < len(words)]] = -1
-        keys.append((before + 1) * len(vocabulary) + at)
         first = np.full(len(at), -1, dtype=np.int64)
         first[1:] = before[:-1]
-        earlier.append(np.where(before >= 0, first, -1))
-    pairs, of = np.unique(np.concatenate(keys), return_inverse=True)
-    contexts = np.unique(of * (len(vocabulary) + 1) + np.concatenate(earlier) + 1) // (len(vocabulary) + 1)
+        # Each pair once a chunk for every word before it.
+        pairs, of = np.unique((before + 1) * len(vocabulary) + at, return_inverse=True)
+        contexts = np.unique(of * (len(vocabulary) + 1) + np.where(before >= 0, first, -1) + 1)
+        keys.append(pairs[contexts // (len(vocabulary) + 1)])
+        earlier.append(contexts % (len(vocabulary) + 1) - 1)
+    joined = np.concatenate(keys)
+    keys.clear()
+    pairs, of = np.unique(joined, return_inverse=True)
+    del joined
+    of *= len(vocabulary) + 1
+    of += np.concatenate(earlier) + 1
+    earlier.clear()
+    contexts = np.unique(of) // (len(vocabulary) + 1)
     counts = np.bincount(contexts, minlength=len(pairs))
     return pairs // len(vocabulary) - 1, pairs % len(vocabulary), counts.astype(np.float64)
 
@@ -270,8 +282,10 @@ def train_models(toxic: list[bytes], ordinary: list[bytes], continuations: np.nd
     found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(len(STEMS) + 1)]
     for texts in (toxic, ordinary):
         for begin, end in chunks(texts):
-            for level, hashes in zip(found, word_and_prefix_hashes(texts[begin:end], BY_LETTER, STEMS)[0], strict=True):
-                level.append(hashes)
+            hashed = word_and_prefix_hashes(texts[begin:end], BY_LETTER, STEMS)[0]
+            distinct = np.unique(hashed[0], return_index=True)[1]
+            for level, hashes in zip(found, hashed, strict=True):
+                level.append(hashes[distinct])
     words, first = np.unique(np.concatenate(found[0]), return_index=True)
     found[0].clear()
     # Each word's place in every level's table.
@@ -317,6 +331,7 @@ def train_models(toxic: list[bytes], ordinary: list[bytes], continuations: np.nd
         passed_gains.insert(0, float(np.log(passed[0]) - np.log(passed[1])))
     size = len(words)
     inner = [(b[b >= 0], w[b >= 0], n[b >= 0]) for b, w, n in classes]
+    classes.clear()
     contexts = [np.bincount(b, weights=n, minlength=size) for b, _, n in inner]
     # A context that a class hasn't seen passes all its weight on.
     rest = [
@@ -352,14 +367,15 @@ def without_copies(texts: list[bytes]) -> list[bytes]:
 
     Near copies would make a phrase of one text look like a common one.
     """
-    bits = np.zeros(1 << 25, dtype=bool)
+    bits = np.zeros(COPY_BITS // 8, dtype=np.uint8)
     kept = []
     for text in texts:
         (words,), begins = word_and_prefix_hashes([text], BY_LETTER, ())
-        at = np.unique(pair_hashes(words, words, begins) & np.uint64(len(bits) - 1)).astype(np.int64)
-        if len(at) and 2 * np.count_nonzero(bits[at]) <= len(at):
+        at = np.unique(pair_hashes(words, words, begins) & np.uint64(COPY_BITS - 1)).astype(np.int64)
+        known = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        if len(at) and 2 * np.count_nonzero(known) <= len(at):
             kept.append(text)
-        bits[at] = True
+        set_bits(bits, at)
     return kept
 
 
@@ -386,6 +402,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text:
     texts, label_of = text_bytes(rows["text"]), np.array(rows["label"].to_pylist(), dtype=np.int64)
     fold = np.array(rows["fold"].to_pylist(), dtype=np.int64)
     del rows
+    pa.default_memory_pool().release_unused()
     numbers = (
         labels.where(F.col(label).isin(0, 1) & (crc_mod(id_column, FOLDS) != HELD_OUT))
         .groupBy(F.col(label).cast("int").alias("label"))
