@@ -31,7 +31,7 @@ def test_training_holds_few_times_its_texts():
     toxic, ordinary = made_texts(600, 1), made_texts(600, 2)
     assert peak_mb(lambda: toxicity.without_copies(toxic)) < 12
     continuations = np.ones(toxicity.SLOTS)
-    assert peak_mb(lambda: toxicity.train_models(toxic, ordinary, continuations)) < 65
+    assert peak_mb(lambda: toxicity.train_models(toxic, ordinary, continuations)) < 40
 
 
 def test_copies_are_left_out():
