@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import stored, text_bytes
-from lectern.llm.components import components
+from lectern.llm.components import components, joined_components
 from lectern.llm.shingles import BITMAP_BITS, Order, global_order, in_bitmap, one_by_one, shingle_sets, signature
 
 # Linked when 100 * intersection >= PERCENT * union.
@@ -348,9 +348,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             few = cut.join(ends, "node", "left_semi")
             edges = stored(similar_pairs(few, pairs), "join-edges")
             if not edges.isEmpty():
-                # Stars stand for the edges of earlier rounds, so few steps are left.
-                stars = found.where("node <> component").toDF("a", "b")
-                found = components(stars.union(edges))
+                # Components stand for the edges of earlier rounds, so few steps are left.
+                found = joined_components(found, edges)
             tested = tested.union(pairs)
     filled = measured.where("n_shingles > 0")
     filled = filled.join(

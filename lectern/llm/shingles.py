@@ -107,8 +107,9 @@ def count_pieces(text: str):
                     fresh.append(hashes)
             if fresh:
                 hashes = np.concatenate(fresh)
-                slots = (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
-                counts += np.bincount(slots, minlength=COUNTERS).astype(np.int32)
+                # No second table of counters for every batch.
+                slots, times = np.unique((hashes & np.uint64(COUNTERS - 1)).astype(np.int32), return_counts=True)
+                counts[slots] += times.astype(np.int32)
                 met.add(hashes)
         packed = [
             pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(values, PIECES)], pa.binary())

@@ -6,9 +6,10 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lectern.llm import ngram_join, shingles, toxicity
+from lectern.llm import components, ngram_join, shingles, toxicity
 from lectern.llm.common import BY_LETTER, BY_SPACE, CHUNK_BYTES, Powers, word_hashes
 
 
@@ -92,3 +93,34 @@ def test_later_rounds_start_from_stars(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and len(got) == 12
     # Once only: the later rounds find nothing that is not linked already.
     assert len(seen) == 1
+
+
+def test_stars_take_no_step(spark, monkeypatch):
+    """Each step is some hundred tasks and a plan that the driver keeps."""
+    steps = []
+    large_star = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: steps.append(1) or large_star(edges))
+    edges = spark.createDataFrame([(1, 2), (3, 1), (1, 3), (7, 9), (5, 5)], "a bigint, b bigint")
+    got = {(r.node, r.component) for r in components.components(edges).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)} and not steps
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint")
+    assert {r.component for r in components.components(path).collect()} == {1} and len(steps) == 1
+
+
+def test_components_are_joined_by_further_edges(spark):
+    of = random.Random(5)
+    first = [(of.randrange(300), of.randrange(300)) for _ in range(120)]
+    # Ends that are new, repeated edges, loops, and edges inside one component.
+    more = [(of.randrange(360), of.randrange(360)) for _ in range(60)] + first[:5] + [(7, 7), first[0][::-1]]
+    frame = lambda edges: spark.createDataFrame(edges, "a bigint, b bigint")
+    whole = {r.node: r.component for r in components.components(frame(first + more)).collect()}
+    rows = components.joined_components(components.components(frame(first)), frame(more)).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(rows) == len(got) and {k: v for k, v in got.items() if k in whole} == whole
+    assert all(k == v for k, v in got.items() if k not in whole)
+
+
+def test_counting_holds_one_table_of_counters():
+    batch = pa.RecordBatch.from_pydict({"text": [t.decode() for t in made_texts(200, 4)]})
+    held = shingles.COUNTERS * 4 + 2 * shingles.BITMAP_BITS // 8
+    assert peak_mb(lambda: list(shingles.count_pieces("text")(iter([batch])))) < held / 1e6 + 25
