@@ -25,6 +25,7 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -126,16 +127,16 @@ def shared_continuations(docs: DataFrame, text: str) -> np.ndarray:
         .mapInArrow(join_pieces, "piece int, bits binary")
         .collect()
     )
-    table = np.zeros((SLOTS, BITMAPS), dtype=np.uint32)
+    out = np.zeros(SLOTS)
     size = SLOTS // PIECES
     for row in rows:
-        bits = np.frombuffer(row["bits"], dtype=np.uint32)
-        table[row["piece"] * size : (row["piece"] + 1) * size] = bits.reshape(size, BITMAPS)
-    # Probabilistic counting: the mean place of the lowest bit not set, with the
-    # correction for small numbers.
-    unset = ~table
-    lowest = np.bitwise_count((unset & (~unset + np.uint32(1))) - np.uint32(1)).mean(axis=1)
-    return BITMAPS / 0.77351 * (2.0**lowest - 2.0 ** (-1.75 * lowest))
+        # Probabilistic counting: the mean place of the lowest bit not set, with the
+        # correction for small numbers.
+        unset = ~np.frombuffer(row["bits"], dtype=np.uint32).reshape(size, BITMAPS)
+        lowest = np.bitwise_count((unset & (~unset + np.uint32(1))) - np.uint32(1)).mean(axis=1)
+        at = row["piece"] * size
+        out[at : at + size] = BITMAPS / 0.77351 * (2.0**lowest - 2.0 ** (-1.75 * lowest))
+    return out
 
 
 def find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,20 +397,8 @@ def fit_curve(model: Model, texts: list[bytes], labels: np.ndarray, odds: np.nda
         model.weights = model.weights + step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str) -> Model | None:
+def fitted(texts: list[bytes], label_of: np.ndarray, fold: np.ndarray, of_class: dict[int, int], continuations) -> Model | None:
     """None without both classes among the labels learned from."""
-    rows = sample(docs, labels, label, id_column, text).toArrow()
-    texts, label_of = text_bytes(rows["text"]), np.array(rows["label"].to_pylist(), dtype=np.int64)
-    fold = np.array(rows["fold"].to_pylist(), dtype=np.int64)
-    del rows
-    pa.default_memory_pool().release_unused()
-    numbers = (
-        labels.where(F.col(label).isin(0, 1) & (crc_mod(id_column, FOLDS) != HELD_OUT))
-        .groupBy(F.col(label).cast("int").alias("label"))
-        .count()
-        .collect()
-    )
-    of_class = {r["label"]: r["count"] for r in numbers}
     fits = fold == CURVE
     if len({*label_of[fits].tolist()}) < 2 or len({*label_of[~fits].tolist()}) < 2:
         # Too few labels to set some aside.
@@ -418,7 +407,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text:
         return None
     learns = ~fits if not fits.all() else fits
     groups = [without_copies([texts[i] for i in np.flatnonzero(learns & (label_of == c))]) for c in (1, 0)]
-    model = train_models(*groups, shared_continuations(docs, text))
+    model = train_models(*groups, continuations)
     chosen = np.flatnonzero(fits)
     present = np.bincount(label_of[chosen], minlength=2)
     odds = np.array([of_class[0], of_class[1]], dtype=np.float64) / np.maximum(present, 1)
@@ -426,6 +415,45 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text:
     return model
 
 
+def trainer(shared_continuations, of_class: dict[int, int]):
+    """For `mapInArrow`: the model of the bounded sample, pickled; no row without a model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, label_of, fold = [], [], []
+        for batch in batches:
+            texts += text_bytes(batch.column("text"))
+            label_of += batch.column("label").to_pylist()
+            fold += batch.column("fold").to_pylist()
+        numbers = (np.array(column, dtype=np.int64) for column in (label_of, fold))
+        model = fitted(texts, *numbers, of_class, shared_continuations.value)
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], names=["model"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str) -> Model | None:
+    """None without both classes among the labels learned from.
+
+    Trained in a task, as the driver seldom gives back what its Python once held: the
+    sample is bounded, whatever the corpus, and the driver receives the model only.
+    """
+    numbers = (
+        labels.where(F.col(label).isin(0, 1) & (crc_mod(id_column, FOLDS) != HELD_OUT))
+        .groupBy(F.col(label).cast("int").alias("label"))
+        .count()
+        .collect()
+    )
+    of_class = {r["label"]: r["count"] for r in numbers}
+    if len(of_class) < 2:
+        return None
+    continuations = docs.sparkSession.sparkContext.broadcast(shared_continuations(docs, text))
+    rows = sample(docs, labels, label, id_column, text).coalesce(1)
+    models = rows.mapInArrow(trainer(continuations, of_class), "model binary").collect()
+    continuations.destroy()
+    return pickle.loads(models[0]["model"]) if models else None
+
+
 def scorer(shared, text: str):
     """For `mapInArrow`: `row` and its score."""
 

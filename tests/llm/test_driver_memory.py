@@ -95,6 +95,24 @@ def test_later_rounds_start_from_stars(spark, monkeypatch):
     assert len(seen) == 1
 
 
+def test_the_driver_does_not_train(spark, monkeypatch):
+    """The model comes from a task: the driver's Python keeps what training once held."""
+
+    def refused(*_):
+        raise AssertionError("trained in the driver")
+
+    for name in ("train_models", "without_copies", "fit_curve"):
+        monkeypatch.setattr(toxicity, name, refused)
+    of = random.Random(6)
+    text = lambda k: " ".join([*(f"w{of.randrange(2000)}" for _ in range(20)), *["nasty"] * (k % 2)])
+    rows = [(k, text(k)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id bigint, toxic int")
+    got = {r["row"]["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).select("row", "score").collect()}
+    marked, plain = [got[k] for k in range(1, 200, 2)], [got[k] for k in range(0, 200, 2)]
+    assert len(got) == 200 and np.median(marked) > 0.8 and np.median(plain) < 0.2
+
+
 def test_stars_take_no_step(spark, monkeypatch):
     """Each step is some hundred tasks and a plan that the driver keeps."""
     steps = []
